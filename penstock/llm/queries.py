@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,5 +23,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_benchmark_passages, hit_digest
+
+    return hit_digest(find_benchmark_passages(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op") and callable(f)}
 ORACLES: dict[str, str] = {}
