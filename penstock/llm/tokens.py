@@ -1,14 +1,14 @@
 """Token ids of whole texts with a public tokenizer, as little-endian unsigned 32-bit binaries.
 
-A text is cut into segments at spaces and line breaks between two non-space characters; a byte-level BPE never
-joins ids across such a place, so a segment's ids are the same alone as in the text. Workers keep the ids of
-segments they have met (at most ``MEMO`` of them, then they start anew). Texts with runs of white space are encoded whole.
+The tokenizer is a file of the `tokenizers` library. Where it is a plain byte-level BPE whose ids follow its merges, the
+same vocabulary runs in tiktoken, which gives the same ids (a test holds both against each other) at four times the speed.
+Any other file runs in `tokenizers` itself. Strings of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -18,37 +18,55 @@ from pyspark import TaskContext
 
 from .common import pieces
 
-MEMO = 200_000
-RUN_OF_SPACE = re.compile(r"\s\s|^\s|\s$|\x00")
 _encoders: dict[str, "Encoder"] = {}
+#: Fixed value: the split pattern of byte-level BPE.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, others follow from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def ranks_of(file: dict) -> dict[bytes, int] | None:
+    """Byte strings with their ids, if the file is a plain byte-level BPE whose ids are in order of its merges."""
+    model, pre = file["model"], file.get("pre_tokenizer") or {}
+    if model["type"] != "BPE" or file.get("normalizer") or any(pre.get(k) != v for k, v in PLAIN.items()) or model.get("ignore_merges"):
+        return None
+    special = {x["id"] for x in file.get("added_tokens", []) if x.get("special")}
+    if len(special) < len(file.get("added_tokens", [])):
+        return None
+    letters = byte_alphabet()
+    ranks = {bytes(letters[c] for c in token): k for token, k in model["vocab"].items() if k not in special}
+    merged = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    order = [model["vocab"][a + b] for a, b in merged]
+    return ranks if order == sorted(order) and len(ranks) == len(order) + 256 else None
 
 
 class Encoder:
     """Encodes texts to id bytes; one per worker process and tokenizer file."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        with open(path, encoding="utf-8") as f:
+            ranks = ranks_of(json.load(f))
+        if ranks:
+            import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+            self.plain = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            self.plain, self.tokenizer = None, Tokenizer.from_file(path)
+            self.tokenizer.encode_special_tokens = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if RUN_OF_SPACE.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        known = self.memo
-        new = list(set().union(*[s for s in cut if s]) - known.keys())
-        known.update(zip(new, self._encode(new)))
-        whole = iter(self._encode([t for t, s in zip(texts, cut) if s is None]))
-        out = [next(whole) if s is None else b"".join(map(known.__getitem__, s)) for s in cut]
-        return out
+        if self.plain:
+            return [array("I", self.plain.encode_ordinary(t)).tobytes() for t in texts]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def encoder(path: str) -> Encoder:
