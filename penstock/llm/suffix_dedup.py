@@ -297,7 +297,7 @@ def hash_windows(length: int) -> callable:
 
 
 def cut_out(carry: list[str], length: int) -> callable:
-    """carry, n_bytes, removed (runs of byte places) and kept (the remaining bytes)."""
+    """carry, n_bytes, removed (runs of byte places), kept (the remaining bytes), kept_text (without parts of cut characters)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,6 +320,7 @@ def cut_out(carry: list[str], length: int) -> callable:
                 arrays["n_bytes"] = pa.array(np.diff(offsets))
                 arrays["removed"] = pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
                 arrays["kept"] = pa.array(kept, pa.binary())
+                arrays["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
                 yield pa.record_batch(list(arrays.values()), list(arrays))
 
     return run
@@ -332,7 +333,7 @@ def keyed_texts(docs: DataFrame, *carry: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = 400, group_contexts: int = 100_000) -> DataFrame:
-    """carry, n_bytes, removed (runs of places), kept (bytes) for each row of docs."""
+    """carry, n_bytes, removed (runs of places), kept (bytes), kept_text for each row of docs."""
     if length < SPAN + 16:
         raise ValueError(f"length must be at least {SPAN + 16}")
     texts = keyed_texts(docs).where(F.col("n") >= length)
@@ -365,7 +366,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length
         drop_table(t)
     rows = keyed_texts(docs, *[c for c in carry if c != "text"]).join(covered, ["key", "n"], "left")
     names = [c for c in carry if c != "text"]
-    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
+    schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
     return rows.select(*names, "text", "found").mapInArrow(cut_out(names, length), schema)
 
 
