@@ -44,6 +44,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_shards import order_folder, read_back, write_training_order
+
+    folder = order_folder(spark)
+    written, count = write_training_order(documents(spark, sf_dir), folder)
+    crc = read_back(spark, folder, count).select("slot", F.crc32("ids").alias("ids_crc32"))
+    return written.join(crc, "slot").select("slot", "number", "shard", "record", "n_tokens", "doc_ids", "ids_crc32")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit_language_id, identify_language
     from .toxicity import held_out
