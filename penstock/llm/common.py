@@ -68,7 +68,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about `most` bytes; a longer text is a slice of its own."""
     column = batch.column(batch.schema.get_field_index("text"))
     sizes = np.diff(text_buffer(column)[1])

@@ -92,7 +92,7 @@ def host_verdicts(measured: DataFrame, host: str = "source", host_rate: float =
 
     The prior of a rule: with m the mean rate and v the variance of the hosts' rates (weighted by
     documents, less what sampling alone would give), its strength is m (1 - m) / v - 1, kept within
-    1 and 1e6; alpha and beta are m and 1 - m times the strength.
+    10 and 1e6; alpha and beta are m and 1 - m times the strength.
     """
     counts = (
         measured.where(F.col(host).isNotNull())
@@ -109,7 +109,7 @@ def host_verdicts(measured: DataFrame, host: str = "source", host_rate: float =
         m = F.col(f"_k_{r}") / F.col("_n")
         spread = m * (1 - m)
         v = F.col(f"_q_{r}") / F.col("_n") - m * m - spread * F.col("_h") / F.col("_n")
-        strength = F.when(v > 0, F.least(F.greatest(spread / v - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6))
+        strength = F.when(v > 0, F.least(F.greatest(spread / v - 1, F.lit(10.0)), F.lit(1e6))).otherwise(F.lit(1e6))
         rates.append(((F.col(f"k_{r}") + m * strength) / (F.col("n_docs") + strength)).alias(f"rate_{r}"))
     # The prior is one row, so this join adds two numbers per rule to each host.
     joined = counts.join(F.broadcast(prior), F.lit(True), "inner").select(host, "n_docs", *rates)

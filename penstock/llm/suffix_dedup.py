@@ -195,11 +195,15 @@ def longest_shared(bytes_: np.ndarray, size: np.ndarray, group: np.ndarray) -> n
 
 
 def informative(bytes_: np.ndarray, extent: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Which columns of each row are within its extent and differ somewhere in its group."""
-    inside = np.arange(bytes_.shape[1])[None, :] < extent[:, None]
+    """Which columns of each row are within its extent and differ, or end another row's extent, somewhere in its group."""
+    width = bytes_.shape[1]
+    inside = np.arange(width)[None, :] < extent[:, None]
     high = np.maximum.reduceat(np.where(inside, bytes_, 0), starts, axis=0)
     low = np.minimum.reduceat(np.where(inside, bytes_, 255), starts, axis=0)
-    return inside & (high > low)[group]
+    split = np.zeros((starts.size, width + 1), bool)
+    split[group, extent] = True
+    split[:, :width] |= high > low
+    return inside & split[group, :width]
 
 
 def repeated_windows(left: list[bytes], right: list[bytes], group: np.ndarray, low_u: np.ndarray, high_u: np.ndarray) -> list[tuple[int, int, int]]:
