@@ -342,7 +342,8 @@ def near_duplicate_classes(docs: DataFrame, unit_shingles: int = 8_000_000) -> D
     pair = lambda j: F.xxhash64("root", F.least(j, own), F.greatest(j, own))
     units = F.when(F.col("blocks") == 1, F.array("root")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
     placed = members.join(sizes, "root").select("key", "sig", units.alias("units"))
-    sets = texts.select("key", "text").join(placed, "key").mapInArrow(send_sets, "unit long, sig long, grams binary")
+    # Members grow with the corpus, so they are never broadcast, however few they are.
+    sets = texts.select("key", "text").join(placed.hint("merge"), "key").mapInArrow(send_sets, "unit long, sig long, grams binary")
     links = materialise(sets.repartition("unit").sortWithinPartitions("unit").mapInArrow(solve_units, "a long, b long"), "links")
     classes = connected_components(links) if sizes.where("blocks > 1").limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
