@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import broadcast_if_small, materialise
 from .tokens import default_tokenizer, token_batches
 
 
@@ -199,7 +199,7 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, tokenizer: str | None
     size = F.lit(capacity).cast("long")
     full = (
         table.where(F.col("n_tokens") >= capacity)
-        .join(parts, "part")
+        .join(broadcast_if_small(parts), "part")
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("k"))
         .select("doc_id", "row_id", (F.col("k") * size).alias("start"), size.alias("length"), F.col("n_tokens").alias("doc_tokens"), (F.col("_before") + F.col("full_before") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids", (F.col("k") * size).alias("_from"))
     )

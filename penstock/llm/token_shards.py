@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_table, materialise, mix64, shared_folder
+from .common import broadcast_if_small, drop_table, materialise, mix64, shared_folder
 from .tokens import default_tokenizer, token_batches
 from .warc import open_folder
 
@@ -111,7 +111,7 @@ def write_training_order(docs: DataFrame, folder: str, key: int = 2024, length:
             slot = permuted(b.column(0).to_numpy(), count, key)
             yield pa.record_batch([pa.array(slot), *b.columns], ["slot", *b.schema.names])
 
-    numbered = table.join(parts, "part").select((F.col("before") + F.col("place")).alias("number"), "n_tokens", "doc_ids", "ids")
+    numbered = table.join(broadcast_if_small(parts), "part").select((F.col("before") + F.col("place")).alias("number"), "n_tokens", "doc_ids", "ids")
     slots = numbered.mapInArrow(place_slots, "slot long, number long, n_tokens int, doc_ids array<long>, ids binary")
     shards = max(1, -(-count // shard_sequences))
 
