@@ -53,10 +53,9 @@ SEQUENCES = "part long, place long, n_tokens int, doc_ids array<long>, ids binar
 
 
 def sequences(docs: DataFrame, path: str, end_id: int, length: int, width: int) -> DataFrame:
-    """Sequences of each task, ids as compressed little-endian integers of `width` bytes."""
+    """Sequences of each task, ids as little-endian integers of `width` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
         held, owners, place, part = np.zeros(0, f"<u{width}"), [], 0, None
         # owners: [doc_id, ids of it that are still held]
 
@@ -78,7 +77,7 @@ def sequences(docs: DataFrame, path: str, end_id: int, length: int, width: int)
                     at += left == used
                 if n < length:
                     own = np.concatenate([own, np.full(length - n, end_id, own.dtype)])
-                for c, v in zip(rows, (part, place, n, inside, press.compress(own.tobytes()))):
+                for c, v in zip(rows, (part, place, n, inside, own.tobytes())):
                     rows[c].append(v)
                 place += 1
             owners = owners[at:]
@@ -106,34 +105,53 @@ def write_training_order(docs: DataFrame, folder: str, key: int = 2024, length:
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     count = table.count()
 
+    shards = max(1, -(-count // shard_sequences))
+
     def place_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each batch and shard, its sequences in order of slot, compressed together."""
+        press = zstandard.ZstdCompressor(level=6)
         for b in batches:
             slot = permuted(b.column(0).to_numpy(), count, key)
-            yield pa.record_batch([pa.array(slot), *b.columns], ["slot", *b.schema.names])
+            order = np.argsort(slot)
+            b, slot = b.take(pa.array(order)), slot[order]
+            shard = slot // shard_sequences
+            cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist() + [slot.size]
+            part = lambda c, kind: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), c.cast(kind))
+            ids = b.column(3).to_pylist()
+            blobs = [press.compress(b"".join(ids[x:y])) for x, y in zip(cut, cut[1:])]
+            yield pa.record_batch(
+                [pa.array(shard[cut[:-1]].astype(np.int32)), part(pa.array(slot), pa.int64()), part(b.column(0), pa.int64()), part(b.column(1), pa.int32()), part(b.column(2), pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
+                ["shard", "slots", "numbers", "n_tokens", "doc_ids", "ids"],
+            )
 
     numbered = table.join(broadcast_if_small(parts), "part").select((F.col("before") + F.col("place")).alias("number"), "n_tokens", "doc_ids", "ids")
-    slots = numbered.mapInArrow(place_slots, "slot long, number long, n_tokens int, doc_ids array<long>, ids binary")
-    shards = max(1, -(-count // shard_sequences))
+    slots = numbered.mapInArrow(place_slots, "shard int, slots array<long>, numbers array<long>, n_tokens array<int>, doc_ids array<array<long>>, ids binary")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, root = open_folder(folder)
-        open_, draft, shard = None, "", None
+        """One shard: at most shard_sequences records, put in order and written to a draft that is moved into place."""
         expand = zstandard.ZstdDecompressor()
+        stride, rows, records, shard = length * width, [], {}, None
         for b in batches:
-            for slot, ids in zip(b.column(0).to_pylist(), b.column(4).to_pylist()):
-                if shard is None:
-                    shard = slot // shard_sequences
-                    draft = f"{root}/_draft-{shard:08d}-{uuid.uuid4().hex}"
-                    open_ = place.open_output_stream(draft, compression=None)
-                open_.write(expand.decompress(ids))
-            yield pa.record_batch(b.columns[:4], b.schema.names[:4])
-        if open_:
-            open_.close()
-            place.move(draft, f"{root}/shard-{shard:08d}.bin")
+            for r in b.to_pylist():
+                shard = r["shard"]
+                data = expand.decompress(r["ids"])
+                records |= {s: data[k * stride : (k + 1) * stride] for k, s in enumerate(r["slots"])}
+                rows += zip(r["slots"], r["numbers"], r["n_tokens"], r["doc_ids"])
+        if shard is None:
+            return
+        place, root = open_folder(folder)
+        draft = f"{root}/_draft-{shard:08d}-{uuid.uuid4().hex}"
+        with place.open_output_stream(draft, compression=None) as out:
+            for s in sorted(records):
+                out.write(records[s])
+        place.move(draft, f"{root}/shard-{shard:08d}.bin")
+        rows.sort()
+        columns = list(zip(*rows))
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))], ["slot", "number", "n_tokens", "doc_ids"])
 
     place, root = open_folder(folder)
     place.create_dir(root, recursive=True)
-    dealt = slots.repartitionById(shards, F.expr(f"cast(slot div {shard_sequences} as int)")).sortWithinPartitions("slot")
+    dealt = slots.repartitionById(shards, F.col("shard"))
     written = materialise(dealt.mapInArrow(write, "slot long, number long, n_tokens int, doc_ids array<long>"), "order")
     drop_table(table)
     return written.select("slot", "number", F.expr(f"cast(slot div {shard_sequences} as int)").alias("shard"), F.expr(f"slot % {shard_sequences}").alias("record"), "n_tokens", "doc_ids"), count
