@@ -300,6 +300,11 @@ FROM fx_offsets o LEFT JOIN e ON e.doc_id = o.doc_id AND e.start < pos GROUP BY
     "cloze_grades": f"""WITH {X.ANSWERS.cte()}, n AS (SELECT qid, {_NORM.format(x='answer')} AS norm, {_NORM.format(x='key')} AS k FROM fx_answers),
 s AS (SELECT *, string_split(norm, ' ') AS a, string_split(k, ' ') AS b FROM n)
 SELECT qid, coalesce(norm <> '' AND (norm = k OR (len(a) = len(b) AND len(list_filter(range(1, len(a) + 1), lambda i: NOT (a[i] = b[i] OR (length(b[i]) > 5 AND levenshtein(a[i], b[i]) <= 2)))) = 0)), false) AS correct, norm FROM s""",
+    "open_grades": rf"""WITH {X.OPEN_ANSWERS.cte()}, b AS (SELECT qid, len(list_filter(regexp_split_to_array(trim(answer), '\s+'), lambda x: x <> '')) AS n, ' ' || regexp_replace(lower(answer), '[^a-z0-9]+', ' ', 'g') || ' ' AS low, list_filter(string_split(concepts, '|'), lambda x: x <> '') AS c,
+  regexp_extract_all(lower(answer), '[a-z0-9_]+') AS aw, regexp_extract_all(lower(source), '[a-z0-9_]+') AS sw FROM fx_open),
+g AS (SELECT *, CASE WHEN len(aw) >= 4 THEN {_GRAMS.format(w='aw')} ELSE [] END AS ag, CASE WHEN len(sw) >= 4 THEN {_GRAMS.format(w='sw')} ELSE [] END AS sg FROM b),
+v AS (SELECT qid, n, CASE WHEN len(c) > 0 THEN len(list_filter(c, lambda k: contains(low, ' ' || lower(k) || ' ')))::DOUBLE / len(c) ELSE 0.0::DOUBLE END AS coverage, CASE WHEN len(ag) > 0 THEN len(list_filter(ag, lambda x: list_contains(sg, x)))::DOUBLE / len(ag) ELSE 0.0::DOUBLE END AS share FROM g)
+SELECT qid, round(coverage, 4) AS coverage, n >= 8 AND share >= 0.6 AS copied, round(CASE WHEN n < 3 THEN 0.0::DOUBLE WHEN n >= 8 AND share >= 0.6 THEN least(50.0::DOUBLE, 100 * coverage) ELSE 100 * coverage END, 1) AS score FROM v""",
     "articles": f"WITH {X.WORDS_A.cte()} SELECT word, CASE WHEN regexp_matches(word, '^[A-Z]{{2,}}') THEN CASE WHEN regexp_matches(word, '^[AEFHILMNORSX]') THEN 'an' ELSE 'a' END WHEN regexp_matches(lower(word), '^(?:hour|honest|honour|heir)') THEN 'an' WHEN regexp_matches(lower(word), '^(?:uni|use|usu|eu|one|once)') THEN 'a' WHEN regexp_matches(lower(word), '^[aeiou]') THEN 'an' ELSE 'a' END AS article FROM fx_words",
     "issue_ids": f"WITH {X.ISSUES.cte()} SELECT doc_id, rule, start, \"end\", left(sha1(rule || ':' || start || ':' || \"end\"), 10) AS issue_id FROM fx_issues",
     "review_schedule": f"WITH {X.REVIEWS.cte()}, {_SM2.format(log='fx_reviews').strip()} SELECT card_id, round(f.e, 4) AS ease, f.i AS interval, f.r AS reps, f.x AS lapses, f.d AS due, CASE WHEN f.i < 1 THEN '0 min' WHEN f.i < 30 THEN f.i::BIGINT || ' d' WHEN f.i < 365 THEN round(f.i / 30)::BIGINT || ' mo' ELSE round(f.i / 365, 1)::DECIMAL(10, 1) || ' y' END AS label FROM fd",
