@@ -103,17 +103,18 @@ def host_verdicts(measured: DataFrame, host: str = "source", host_rate: float =
     for r in RULES:
         k = F.col(f"k_{r}")
         sums += [F.sum(k).alias(f"_k_{r}"), F.sum(k * k / F.col("n_docs")).alias(f"_q_{r}")]
-    prior = counts.agg(*sums)
+    # One row of sums comes to the driver: a mean and a variance per rule.
+    prior = counts.agg(*sums).first()
     rates = []
     for r in RULES:
-        m = F.col(f"_k_{r}") / F.col("_n")
+        n, hosts = prior["_n"] or 0, prior["_h"]
+        m = prior[f"_k_{r}"] / n if n else 0.0
         spread = m * (1 - m)
-        v = F.col(f"_q_{r}") / F.col("_n") - m * m - spread * F.col("_h") / F.col("_n")
-        strength = F.when(v > 0, F.least(F.greatest(spread / v - 1, F.lit(10.0)), F.lit(1e6))).otherwise(F.lit(1e6))
+        v = prior[f"_q_{r}"] / n - m * m - spread * hosts / n if n else 0.0
+        strength = min(max(spread / v - 1, 10.0), 1e6) if v > 0 else 1e6
         rates.append(((F.col(f"k_{r}") + m * strength) / (F.col("n_docs") + strength)).alias(f"rate_{r}"))
-    # The prior is one row, so this join adds two numbers per rule to each host.
-    joined = counts.join(F.broadcast(prior), F.lit(True), "inner").select(host, "n_docs", *rates)
-    return joined.withColumn("host_rejected", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) >= host_rate)
+    rated = counts.select(host, "n_docs", *rates)
+    return rated.withColumn("host_rejected", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) >= host_rate)
 
 
 def apply_quality_rules(docs: DataFrame, host: str = "source", text: str = "text", host_rate: float = 0.5) -> DataFrame:
