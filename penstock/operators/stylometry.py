@@ -35,12 +35,12 @@ def reference_statistics(docs: DataFrame, chunk: int = 1000) -> DataFrame:
     rows = docs.select("doc_id", F.posexplode(F.transform(word_list(F.coalesce("text", F.lit(""))), F.lower)).alias("i", "word"))
     rows = rows.withColumn("part", F.floor(F.col("i") / chunk))
     full = rows.groupBy("doc_id", "part").agg(F.count("*").alias("n")).where(F.col("n") == chunk)
-    chunks = full.agg(F.count("*").alias("k"))
+    chunks = max(1, full.count())
     hits = rows.where(F.col("word").isin(FUNCTION_WORDS)).groupBy("doc_id", "part", "word").agg(F.count("*").alias("c")).join(full, ["doc_id", "part"])
     rate = 1000.0 * F.col("c") / chunk
-    sums = hits.groupBy("word").agg(F.sum(rate).alias("s"), F.sum(rate * rate).alias("q")).join(F.broadcast(chunks), F.lit(True), "inner")
-    mean = F.col("s") / F.col("k")
-    return sums.select("word", mean.alias("mean"), F.greatest(F.lit(0.5), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("k") - mean * mean))).alias("sd"))
+    sums = hits.groupBy("word").agg(F.sum(rate).alias("s"), F.sum(rate * rate).alias("q"))
+    mean = F.col("s") / chunks
+    return sums.select("word", mean.alias("mean"), F.greatest(F.lit(0.5), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / chunks - mean * mean))).alias("sd"))
 
 
 def burrows_delta(rates: DataFrame, profile: DataFrame, reference: DataFrame, by: str) -> DataFrame:
