@@ -1,10 +1,12 @@
-"""The registered queries of this subpackage, and the SQL that gives their rows where SQL can."""
+"""The registered queries of this subpackage; ORACLES has the SQL that gives their rows where SQL can."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLES  # noqa: F401
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -82,13 +84,3 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op") and callable(f)}
-ORACLES: dict[str, str] = {
-    "op8_warc": """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS h FROM p),
-g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM d)
-SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest,
-       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
-FROM g""",
-}
