@@ -26,11 +26,10 @@ def issue_id(rule: Column, start: Column, end: Column) -> Column:
 def article_for(word: Column) -> Column:
     """a or an: vowel start, a few spoken exceptions, and letters that are spelt out in acronyms."""
     low = F.lower(word)
-    spelt = word.rlike("^[A-Z]{2,}")
     return (
-        F.when(spelt, F.when(word.rlike("^[AEFHILMNORSX]"), "an").otherwise("a"))
-        .when(low.rlike("^(?:hour|honest|honour|heir)"), "an")
+        F.when(low.rlike("^(?:hour|honest|honour|heir)"), "an")
         .when(low.rlike("^(?:uni|use|usu|eu|one|once)"), "a")
+        .when(word.rlike("^[A-Z]{2,}"), F.when(word.rlike("^[AEFHILMNORSX]"), "an").otherwise("a"))
         .when(low.rlike("^[aeiou]"), "an")
         .otherwise("a")
     )

@@ -11,9 +11,21 @@ from ..functions.text import word_list
 
 #: Our own list of English function words.
 FUNCTION_WORDS = "the of and to in a is that for it was on with as by at from this be are or an but not have which were".split()
-#: Where distances begin and end to count, words of prior weight.
-DELTA_RANGE, FEATURE_RANGE, PRIOR_WORDS = (0.3, 1.5), (0.3, 2.0), 250
-FEATURE_SCALE = {"sentence_length_mean": 6.0, "sentence_length_sd": 4.0, "word_length_mean": 0.5, "commas_per_sentence": 0.8}
+#: Where distances begin and end to count, words of prior weight, typical spread of features between writers.
+DELTA_RANGE, FEATURE_RANGE, PRIOR_WORDS = (0.35, 1.6), (0.4, 2.2), 250
+FEATURE_SCALE = {
+    "sentence_length_mean": 5.0,
+    "sentence_length_sd": 4.0,
+    "word_length_mean": 0.35,
+    "mtld": 25.0,
+    "commas_per_sentence": 0.7,
+    "semicolons_per_sentence": 0.15,
+    "parentheses_per_sentence": 0.25,
+    "questions_per_sentence": 0.1,
+    "contractions_per_sentence": 0.3,
+    "passive_ratio": 0.2,
+    "first_person_per_1000": 15.0,
+}
 
 
 def word_counts(docs: DataFrame, by: str) -> DataFrame:
@@ -67,7 +79,7 @@ def voice_match(deltas: DataFrame, distances: DataFrame, by: str) -> DataFrame:
 
 def top_differences(features: DataFrame, profile: dict[str, float], by: str, most: int = 3, least: float = 0.5) -> DataFrame:
     """by, feature, z of the largest differences."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("feature"), ((F.col(k) - F.lit(profile[k])) / FEATURE_SCALE[k]).alias("z")) for k in FEATURE_SCALE])
+    pairs = F.array(*[F.struct(F.lit(k).alias("feature"), ((F.col(k) - F.lit(profile[k])) / FEATURE_SCALE[k]).alias("z")) for k in FEATURE_SCALE if k in profile])
     rows = features.select(by, F.explode(pairs).alias("d")).select(by, "d.*").where(F.abs("z") >= least)
     order = Window.partitionBy(by).orderBy(F.abs("z").desc(), "feature")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)

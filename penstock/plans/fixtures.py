@@ -57,8 +57,8 @@ ANSWERS = Fixture("fx_answers", "qid long, answer string, key string", [
 OPEN_ANSWERS = Fixture("fx_open", "qid long, answer string, source string, concepts string", [
     (1, "The pump moves water and the valve stops it when pressure is high", "The pump moves water through the pipe and the valve stops it when pressure is high.", "pump|valve|pressure"), (2, "water moves", "The pump moves water.", "pump|water"), (3, "My own idea is that a pump adds energy", "The pump moves water through the pipe.", "pump|energy|pipe"), (4, "it is a thing we saw", "Heat flows from hot to cold.", "heat|cold"), (5, "heat goes from the hot side over to the cold side", "Heat flows from hot to cold.", ""),
 ])
-ORIGINS = Fixture("fx_origins", "doc_id long, origin string, text string", [(1, "user", "I wrote this bit."), (1, "ai", "Generated words here"), (1, "edited", "half mine"), (1, None, "untagged"), (2, "ai", "all made"), (3, "user", "mine only")])
-PROGRESS = Fixture("fx_progress", "doc_id long, offered int, decided int, spots int, filled int, paragraphs int, got int, quiz double, teach double", [(1, 10, 8, 4, 3, 6, 5, 80.0, 60.0), (2, 0, 0, 0, 0, 4, 4, None, 40.0), (3, 5, 5, 2, 0, 0, 0, 70.0, None), (4, 3, 0, 1, 1, 5, 1, None, None)])
+ORIGINS = Fixture("fx_origins", "doc_id long, origin string, text string", [(1, "student_insert", "I wrote this bit."), (1, "ai", "Generated words here"), (1, "student_edit", "half mine"), (1, None, "untagged"), (1, "engine", "swapped"), (2, "ai", "all made"), (3, "student_insert", "mine only")])
+PROGRESS = Fixture("fx_progress", "doc_id long, offered int, decided int, spots int, filled int, paragraphs int, got int, marked int, quiz double, teach double", [(1, 10, 8, 4, 3, 6, 5, 6, 80.0, 60.0), (2, 0, 0, 0, 0, 4, 4, 4, None, 40.0), (3, 5, 5, 2, 0, 0, 0, 0, 70.0, None), (4, 3, 0, 1, 1, 5, 1, 2, None, None)])
 VIVA = Fixture("fx_viva", "doc_id long, level int, score double, concept string", [(1, 1, 90.0, "pump"), (1, 1, 60.0, "Valve"), (1, 2, 75.0, "pump"), (1, 3, 30.0, "valve"), (1, 3, 20.0, "heat"), (2, 1, 10.0, "heat"), (2, 2, 95.0, "flow")])
 REVIEWS = Fixture("fx_reviews", "card_id long, at_min double, grade int", [(1, 0.0, 3), (1, 1500.0, 3), (1, 12000.0, 4), (1, 40000.0, 1), (1, 40020.0, 3), (2, 10.0, 1), (2, 30.0, 1), (2, 60.0, 2), (2, 3000.0, 2), (2, 12000.0, 2), (3, 5.0, 4)])
 WORDS_A = Fixture("fx_words", "word string", [("apple",), ("hour",), ("university",), ("NASA",), ("UFO",), ("MRI",), ("one",), ("European",), ("umbrella",), ("Heir",), ("GUI",), ("user",)])

@@ -231,7 +231,7 @@ st AS (SELECT doc_id, count(*) AS m, avg(len(words)) AS lm, stddev_pop(len(words
 ft AS (SELECT d.doc_id, coalesce(lm, 0.0::DOUBLE) AS sentence_length_mean, CASE WHEN coalesce(m, 0) < 2 THEN 8.0::DOUBLE ELSE sd END AS sentence_length_sd,
   CASE WHEN len(w.w) > 0 THEN list_sum(list_transform(w.w, lambda x: length(x)))::DOUBLE / len(w.w) ELSE 0.0::DOUBLE END AS word_length_mean,
   CASE WHEN m > 0 THEN len(regexp_extract_all(d.text, ','))::DOUBLE / m ELSE 0.0::DOUBLE END AS commas_per_sentence, d.lang FROM documents d JOIN w USING (doc_id) LEFT JOIN st USING (doc_id))"""
-_Z = {k: f"(({k} - {PROFILE[k]!r}::DOUBLE) / {s!r}::DOUBLE)" for k, s in ST.FEATURE_SCALE.items()}
+_Z = {k: f"(({k} - {PROFILE[k]!r}::DOUBLE) / {s!r}::DOUBLE)" for k, s in ST.FEATURE_SCALE.items() if k in PROFILE}
 _RMS = "sqrt((" + " + ".join(f"{z} * {z}" for z in _Z.values()) + ") / 4)"
 _GRAMS = r"list_transform(range(1, greatest(len({w}) - 2, 1)), lambda i: array_to_string({w}[i:i+3], ' '))"
 
@@ -305,21 +305,22 @@ SELECT qid, coalesce(norm <> '' AND (norm = k OR (len(a) = len(b) AND len(list_f
 g AS (SELECT *, CASE WHEN len(aw) >= 4 THEN {_GRAMS.format(w='aw')} ELSE [] END AS ag, CASE WHEN len(sw) >= 4 THEN {_GRAMS.format(w='sw')} ELSE [] END AS sg FROM b),
 v AS (SELECT qid, n, CASE WHEN len(c) > 0 THEN len(list_filter(c, lambda k: contains(low, ' ' || lower(k) || ' ')))::DOUBLE / len(c) ELSE 0.0::DOUBLE END AS coverage, CASE WHEN len(ag) > 0 THEN len(list_filter(ag, lambda x: list_contains(sg, x)))::DOUBLE / len(ag) ELSE 0.0::DOUBLE END AS share FROM g)
 SELECT qid, round(coverage, 4) AS coverage, n >= 8 AND share >= 0.6 AS copied, round(CASE WHEN n < 3 THEN 0.0::DOUBLE WHEN n >= 8 AND share >= 0.6 THEN least(50.0::DOUBLE, 100 * coverage) ELSE 100 * coverage END, 1) AS score FROM v""",
-    "articles": f"WITH {X.WORDS_A.cte()} SELECT word, CASE WHEN regexp_matches(word, '^[A-Z]{{2,}}') THEN CASE WHEN regexp_matches(word, '^[AEFHILMNORSX]') THEN 'an' ELSE 'a' END WHEN regexp_matches(lower(word), '^(?:hour|honest|honour|heir)') THEN 'an' WHEN regexp_matches(lower(word), '^(?:uni|use|usu|eu|one|once)') THEN 'a' WHEN regexp_matches(lower(word), '^[aeiou]') THEN 'an' ELSE 'a' END AS article FROM fx_words",
+    "articles": f"WITH {X.WORDS_A.cte()} SELECT word, CASE WHEN regexp_matches(lower(word), '^(?:hour|honest|honour|heir)') THEN 'an' WHEN regexp_matches(lower(word), '^(?:uni|use|usu|eu|one|once)') THEN 'a' WHEN regexp_matches(word, '^[A-Z]{{2,}}') THEN CASE WHEN regexp_matches(word, '^[AEFHILMNORSX]') THEN 'an' ELSE 'a' END WHEN regexp_matches(lower(word), '^[aeiou]') THEN 'an' ELSE 'a' END AS article FROM fx_words",
     "issue_ids": f"WITH {X.ISSUES.cte()} SELECT doc_id, rule, start, \"end\", left(sha1(rule || ':' || start || ':' || \"end\"), 10) AS issue_id FROM fx_issues",
     "review_schedule": f"WITH {X.REVIEWS.cte()}, {_SM2.format(log='fx_reviews').strip()} SELECT card_id, round(f.e, 4) AS ease, f.i AS interval, f.r AS reps, f.x AS lapses, f.d AS due, CASE WHEN f.i < 1 THEN '0 min' WHEN f.i < 30 THEN f.i::BIGINT || ' d' WHEN f.i < 365 THEN round(f.i / 30)::BIGINT || ' mo' ELSE round(f.i / 365, 1)::DECIMAL(10, 1) || ' y' END AS label FROM fd",
     "event_schedule": f"WITH ev AS (SELECT user_id AS card_id, event_id::DOUBLE AS at_min, (event_id % 4 + 1)::INTEGER AS grade FROM events), {_SM2.format(log='ev').strip()} SELECT card_id, round(f.e, 4) AS ease, f.r AS reps, f.x AS lapses FROM fd",
     "review_streaks": "WITH d AS (SELECT DISTINCT user_id, ts::DATE AS day FROM events), r AS (SELECT *, day - (row_number() OVER (PARTITION BY user_id ORDER BY day))::INTEGER AS run FROM d) SELECT user_id, min(day)::DATE::VARCHAR AS first_day, max(day)::DATE::VARCHAR AS last_day, count(*) AS days FROM r GROUP BY user_id, run",
-    "gates": f"WITH {X.PROGRESS.cte()}, g AS (SELECT doc_id, coalesce(quiz >= 70, false) AS quiz_ok, coalesce(teach >= 60, false) AS teach_ok, CASE WHEN paragraphs > 0 THEN 100.0 * got / paragraphs ELSE 0 END >= 80 AS walkthrough_ok FROM fx_progress) SELECT *, quiz_ok AND teach_ok AND walkthrough_ok AS open FROM g",
+    "gates": f"WITH {X.PROGRESS.cte()}, g AS (SELECT doc_id, coalesce(quiz >= 70, false) AS quiz_ok, coalesce(teach >= 60, false) AS teach_ok, CASE WHEN paragraphs > 0 THEN 100.0 * marked / paragraphs ELSE 0 END >= 80 AS walkthrough_ok FROM fx_progress) SELECT *, quiz_ok AND teach_ok AND walkthrough_ok AS open FROM g",
     "viva_levels": f"WITH {X.VIVA.cte()}, a AS (SELECT doc_id, level, count(*) AS n, avg(score) AS v FROM fx_viva GROUP BY 1, 2), l AS (SELECT DISTINCT doc_id, unnest([1, 2, 3, 4]) AS level FROM fx_viva) SELECT l.doc_id, l.level::BIGINT AS level, coalesce(n, 0) AS n, round(v, 4) AS average, coalesce(v >= 70, false) AS passed FROM l LEFT JOIN a ON a.doc_id = l.doc_id AND a.level = l.level",
     "concept_lists": f"WITH {X.VIVA.cte()}, w AS (SELECT DISTINCT doc_id, lower(concept) AS concept FROM fx_viva WHERE score < 40), m AS (SELECT DISTINCT doc_id, lower(concept) AS concept FROM fx_viva WHERE score >= 70) SELECT *, 'weak' AS kind FROM w UNION ALL SELECT *, 'mastered' FROM m ANTI JOIN w USING (doc_id, concept)",
     "ownership": f"""WITH {X.ORIGINS.cte()}, {X.PROGRESS.cte()},
-o AS (SELECT doc_id, sum(CASE WHEN coalesce(origin, 'ai') = 'user' THEN n WHEN coalesce(origin, 'ai') = 'edited' THEN 0.5::DOUBLE * n ELSE 0 END) AS own, sum(n) AS size FROM (SELECT *, length(regexp_replace(text, '\\s', '', 'g')) AS n FROM fx_origins) GROUP BY doc_id),
-p AS (SELECT f.doc_id, CASE WHEN size > 0 THEN 100.0::DOUBLE * own / size END AS own_text, CASE WHEN offered > 0 THEN 100.0::DOUBLE * decided / offered END AS decisions, CASE WHEN spots > 0 THEN 100.0::DOUBLE * filled / spots END AS personal,
-  list_avg(list_filter([CASE WHEN paragraphs > 0 THEN 100.0::DOUBLE * got / paragraphs END, quiz, teach], lambda x: x IS NOT NULL)) AS understanding FROM fx_progress f LEFT JOIN o ON o.doc_id = f.doc_id),
-w AS (SELECT *, (own_text IS NOT NULL)::INTEGER * 0.45::DOUBLE + (decisions IS NOT NULL)::INTEGER * 0.2::DOUBLE + (personal IS NOT NULL)::INTEGER * 0.2::DOUBLE + (understanding IS NOT NULL)::INTEGER * 0.15::DOUBLE AS wt FROM p)
-SELECT doc_id, round(own_text, 4) AS own_text, round(decisions, 4) AS decisions, round(personal, 4) AS personal, round(understanding, 4) AS understanding, round(own_text * 0.45::DOUBLE / wt, 4) AS points_own_text, round(decisions * 0.2::DOUBLE / wt, 4) AS points_decisions, round(personal * 0.2::DOUBLE / wt, 4) AS points_personal, round(understanding * 0.15::DOUBLE / wt, 4) AS points_understanding,
-  CASE WHEN wt > 0 THEN round((coalesce(own_text, 0) * 0.45::DOUBLE + coalesce(decisions, 0) * 0.2::DOUBLE + coalesce(personal, 0) * 0.2::DOUBLE + coalesce(understanding, 0) * 0.15::DOUBLE) / wt, 1) END AS ownership FROM w""",
+o AS (SELECT doc_id, sum(CASE WHEN origin IN ('student_edit', 'student_insert') THEN n ELSE 0 END)::DOUBLE AS own, sum(n) AS size FROM (SELECT *, length(regexp_replace(text, '\\s', '', 'g')) AS n FROM fx_origins) GROUP BY doc_id),
+p AS (SELECT f.doc_id, coalesce(CASE WHEN size > 0 THEN own / size END, 0.0::DOUBLE) AS authorship, CASE WHEN offered > 0 THEN least(1.0::DOUBLE, decided::DOUBLE / offered) END AS decisions, CASE WHEN spots > 0 THEN filled::DOUBLE / spots END AS personalization,
+  (CASE WHEN paragraphs > 0 THEN got::DOUBLE / paragraphs ELSE 0.0::DOUBLE END + coalesce(quiz, 0.0::DOUBLE) / 100.0::DOUBLE + coalesce(teach, 0.0::DOUBLE) / 100.0::DOUBLE) / 3 AS understanding FROM fx_progress f LEFT JOIN o ON o.doc_id = f.doc_id),
+w AS (SELECT *, 0.65::DOUBLE + (decisions IS NOT NULL)::INTEGER * 0.2::DOUBLE + (personalization IS NOT NULL)::INTEGER * 0.15::DOUBLE AS wt FROM p)
+SELECT doc_id, round(authorship, 4) AS authorship, round(decisions, 4) AS decisions, round(understanding, 4) AS understanding, round(personalization, 4) AS personalization,
+  round(100.0::DOUBLE * authorship * 0.45::DOUBLE / wt, 4) AS points_authorship, round(100.0::DOUBLE * decisions * 0.2::DOUBLE / wt, 4) AS points_decisions, round(100.0::DOUBLE * understanding * 0.2::DOUBLE / wt, 4) AS points_understanding, round(100.0::DOUBLE * personalization * 0.15::DOUBLE / wt, 4) AS points_personalization,
+  round(100.0::DOUBLE * (authorship * 0.45::DOUBLE + coalesce(decisions, 0) * 0.2::DOUBLE + understanding * 0.2::DOUBLE + coalesce(personalization, 0) * 0.15::DOUBLE) / wt)::BIGINT AS ownership FROM w""",
     "quality_rollup": f"""WITH {SENTENCES}, {RUNS.strip()}, st AS (SELECT doc_id, avg(len(words)) AS lm FROM sents GROUP BY 1)
 SELECT source, count(*) AS n, round(avg(coalesce(lm, 0.0::DOUBLE)), 4) AS length_mean, sum(coalesce(monotone_runs, 0))::BIGINT AS runs, round(avg(quality::DOUBLE), 4) AS quality FROM documents JOIN labels USING (doc_id) LEFT JOIN st USING (doc_id) LEFT JOIN runs USING (doc_id) GROUP BY ROLLUP (source)""",
 }
