@@ -2,11 +2,11 @@
 
 import pytest
 
-from penstock.plans import queries_model, queries_rules, queries_text
+from penstock.plans import queries_model, queries_rules, queries_study, queries_text
 
 from .oracle import compare, connection
 
-MODULES = (queries_text, queries_model, queries_rules)
+MODULES = (queries_text, queries_model, queries_rules, queries_study)
 CASES = [(n, m.QUERIES[n], sql) for m in MODULES for n, sql in m.ORACLES.items()]
 #: The smallest tables have no such rows.
 MAY_BE_EMPTY = {"heading_lines", "word_limit"}
