@@ -5,11 +5,13 @@
 2. Candidates. Linked sets of n and m shingles share at least ceil(0.75 n), so of the first ceil(0.25 n) + c shingles
    of both, c are common (c: 0.15 n of the smaller). A task that gets all of a shingle among these counts its sets; a set with
    too few shared ones is linked with nothing. Of the others the rarest shingles that prefix filtering asks for become edges
-   to one set of the shingle, never between all its sets. Components of these edges hold all links.
+   to one set of the shingle, never between all its sets. Components of these edges hold all links. Shingles that very many
+   sets have are found first, by partial counts; they stay with their sets instead of meeting in a task.
 3. T-occurrence search. A component's sets meet in one task (a large component in several, by pairs of blocks). There
    each set looks for sets that share at least T of its shingles: short inverted lists are merged and counted, what they
    find is looked up in the long lists by binary search (DivideSkip), and sizes decide exactly. A set that has been
-   reached need not be found again, so a search only looks for sets that are not in a class yet.
+   reached need not be found again, so a search only looks for sets that are not in a class yet. In a large component all
+   sets are first held against one of them, row by row; only those that it does not link to need searches.
 4. Classes get the least doc_id of their documents.
 
 Nulls and edge cases: a null, empty or blank text has no shingles and is linked with nothing; texts of one to four words have
@@ -35,8 +37,9 @@ from .components import connected_components
 WORDS = 5
 #: Similarity as a fraction of integers.
 NEED, OF = 75, 100
-#: Bytes of text handled at once.
+#: Bytes of text handled at once, and how many sets of such a slice make a shingle worth counting.
 SLICE = 2 << 20
+OFTEN = 4
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -88,8 +91,60 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("key")), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], ["doc_id", "key", "n", "sig"])
 
 
-def deal_samples(buckets: int) -> callable:
-    """For each slice and bucket of shingles: the sampled shingles (48 bits), which set of the slice has each, and the sets."""
+def often_sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sampled shingles that several sets of a slice have: how many, and one of the sets."""
+    for batch in batches:
+        for part in pieces(batch, SLICE):
+            sets = {signature(s): s[: int(sample_size(s.size))] for s in shingle_sets(part.column(part.schema.get_field_index("text"))) if s.size}
+            if sets:
+                token = np.concatenate(list(sets.values()))
+                sig = np.repeat(np.array(list(sets), np.int64), [t.size for t in sets.values()])
+                token, first, many = np.unique(token, return_index=True, return_counts=True)
+                often = many >= OFTEN
+                yield pa.record_batch([pa.array((token[often] >> np.uint64(16)).astype(np.int64)), pa.array(many[often]), pa.array(sig[first[often]])], ["token", "n", "root"])
+
+
+def common_shingles(texts: DataFrame, hot_sets: int) -> pa.Table:
+    """(token, n, root) of shingles that at least hot_sets sets have, or a thousandth of all rows where that is more.
+
+    So there are at most a thousand times the shingles of an average sample: some megabytes at any size.
+    """
+    least = max(hot_sets, texts.count() // 1000)
+    counted = texts.select("text").mapInArrow(often_sampled, "token long, n long, root long").groupBy("token").agg(F.sum("n").alias("n"), F.min("root").alias("root"))
+    return counted.where(F.col("n") >= least).orderBy("token").toArrow()
+
+
+def own_common_shingles(shared) -> callable:
+    """For each set its sampled shingles that are common, as shared_shingles() gives the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, many, root = shared.value
+        seen: set[int] = set()
+        for batch in batches:
+            for part in pieces(batch, SLICE):
+                out = {c: [] for c in ("sig", "n", "df", "token", "root")}
+                for s in shingle_sets(part.column(part.schema.get_field_index("text"))):
+                    own = s[: int(sample_size(s.size))] >> np.uint64(16)
+                    at = np.searchsorted(token, own)
+                    at[at == token.size] = 0
+                    at = at[token[at] == own] if own.size else at
+                    if at.size and (g := signature(s)) not in seen:
+                        seen.add(g)
+                        for c, v in zip(out, (g, s.size, np.minimum(many[at], 0xFFFFFFFF).astype("<u4").tobytes(), token[at].astype("<u8").tobytes(), root[at].astype("<i8").tobytes())):
+                            out[c].append(v)
+                if len(seen) > 100_000:
+                    seen.clear()
+                if out["sig"]:
+                    yield pa.record_batch([pa.array(v, pa.int64() if c in ("sig", "n") else pa.binary()) for c, v in out.items()], list(out))
+
+    return run
+
+
+def deal_samples(buckets: int, shared=None) -> callable:
+    """For each slice and bucket of shingles: the sampled shingles (48 bits), which set of the slice has each, and the sets.
+
+    Common shingles (shared) are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -108,6 +163,12 @@ def deal_samples(buckets: int) -> callable:
                     continue
                 own = np.repeat(np.arange(len(sigs), dtype="<u4"), [t.size for t in tokens])
                 token = np.concatenate(tokens)
+                if shared is not None:
+                    common = shared.value[0]
+                    at = np.searchsorted(common, token >> np.uint64(16))
+                    at[at == common.size] = 0
+                    rare = common[at] != token >> np.uint64(16)
+                    own, token = own[rare], token[rare]
                 bucket = (token & np.uint64(0xFFFF)).astype(np.int64) * buckets >> 16
                 order = np.argsort(bucket, kind="stable")
                 token, own, bucket = token[order] >> np.uint64(16), own[order], bucket[order]
@@ -190,7 +251,9 @@ def prefix_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     sig, n, df, token, root = (np.concatenate(v) for v in parts.values())
     order = np.lexsort((token, df, sig))
-    sig, n, root = sig[order], n[order], root[order]
+    sig, n, root, token = sig[order], n[order], root[order], token[order]
+    once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (token[1:] != token[:-1])])  # copies in other tasks
+    sig, n, root = sig[once], n[once], root[once]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     many = np.diff(np.append(first, sig.size))
     place = np.arange(sig.size) - np.repeat(first, many)
@@ -319,38 +382,83 @@ def solve_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from solved(rows)
 
 
-def near_duplicate_classes(docs: DataFrame, unit_shingles: int = 8_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs. A task's unit holds about unit_shingles shingles at most."""
+def against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sig and whether the set links to its component's pivot."""
+    for batch in batches:
+        linked = []
+        for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+            overlap = np.intersect1d(x, y, assume_unique=True).size
+            linked.append((NEED + OF) * overlap >= NEED * (x.size + y.size))
+        yield pa.record_batch([batch.column(0), pa.array(linked, pa.bool_())], ["sig", "linked"])
+
+
+def split_components(members: DataFrame, texts: DataFrame, large: DataFrame, unit_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """(links to pivots, (key, sig, units) of the rest) of components that are too large for a task.
+
+    The sets a pivot does not link to are dealt to blocks, all sets of the component to blocks too, and each pair of the two
+    kinds is a unit. A set goes to as many units as there are blocks of the other kind.
+    """
+    inside = members.join(large.select("root"), "root")
+    pivots = inside.groupBy("root").agg(F.min("sig").alias("pivot"))
+    with_root = inside.select("key", "sig", "root", F.array(F.lit(0).cast("long")).alias("units"))
+    grams = materialise(texts.select("key", "text").join(with_root.hint("merge"), "key").mapInArrow(send_sets, "unit long, sig long, grams binary").dropDuplicates(["sig"]).join(inside.select("sig", "root"), "sig"), "large")
+    of_pivot = grams.join(pivots, (grams["root"] == pivots["root"]) & (F.col("sig") == F.col("pivot"))).select(pivots["root"].alias("_root"), F.col("grams").alias("_grams"))
+    held = materialise(grams.join(of_pivot, F.col("root") == F.col("_root")).select("sig", "grams", "_grams").mapInArrow(against_pivot, "sig long, linked boolean"), "pivots")
+    state = inside.join(held, "sig").join(pivots, "root")
+    links = state.where("linked and sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
+    half = F.lit(unit_shingles / 2)
+    sizes = state.groupBy("root").agg(F.ceil(F.sum("n") / half).cast("int").alias("all_blocks"), F.ceil(F.sum(F.when(~F.col("linked"), F.col("n")).otherwise(0)) / half).cast("int").alias("open_blocks")).where("open_blocks > 0")
+    of = lambda blocks, salt: F.pmod(F.xxhash64("sig", F.lit(salt)), F.col(blocks)).cast("int")
+    unit = lambda i, j: F.xxhash64("root", i, j)
+    every = F.transform(F.sequence(F.lit(0), F.col("open_blocks") - 1), lambda i: unit(i, of("all_blocks", 1)))
+    open_ = F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda j: unit(of("open_blocks", 2), j))
+    units = F.when(F.col("linked"), every).otherwise(F.array_distinct(F.concat(every, open_)))
+    return links, state.join(sizes, "root").select("key", "sig", units.alias("units"))
+
+
+def near_duplicate_classes(docs: DataFrame, unit_shingles: int = 8_000_000, hot_sets: int = 20_000) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs.
+
+    A task's unit holds about unit_shingles shingles at most; a shingle of hot_sets sets or more is not dealt to a task.
+    """
     text = F.coalesce("text", F.lit(""))
     key = F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("key"))
     described = materialise(texts.mapInArrow(describe, "doc_id long, key long, n long, sig long"), "sets")
 
-    buckets = partitions(docs.sparkSession)
-    dealt = texts.select("text").mapInArrow(deal_samples(buckets), "bucket int, low binary, high binary, own binary, sig binary, size binary")
+    spark = docs.sparkSession
+    buckets = partitions(spark)
+    common = common_shingles(texts, hot_sets)
+    known = None
+    if common.num_rows:
+        known = spark.sparkContext.broadcast((common["token"].to_numpy().astype(np.uint64), common["n"].to_numpy(), common["root"].to_numpy()))
+    dealt = texts.select("text").mapInArrow(deal_samples(buckets, known), "bucket int, low binary, high binary, own binary, sig binary, size binary")
     shared = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(shared_shingles, "sig long, n long, df binary, token binary, root binary")
+    if known is not None:
+        shared = shared.union(texts.select("text").mapInArrow(own_common_shingles(known), "sig long, n long, df binary, token binary, root binary"))
     edges = materialise(shared.repartition("sig").mapInArrow(prefix_edges, "a long, b long"), "candidates")
     candidates = connected_components(edges)
 
-    # One text stands for each class of equal sets; components of too many shingles are dealt to pairs of blocks.
+    # One text stands for each class of equal sets.
     stand = described.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.first("n").alias("n"))
     members = materialise(candidates.join(stand, F.col("node") == F.col("sig")).select("sig", "key", "n", "root"), "members")
-    sizes = members.groupBy("root").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(2 * F.col("total") / F.lit(unit_shingles)).cast("int")
-    sizes = sizes.select("root", F.when(F.col("total") > unit_shingles, blocks).otherwise(1).alias("blocks"))
-    own = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    pair = lambda j: F.xxhash64("root", F.least(j, own), F.greatest(j, own))
-    units = F.when(F.col("blocks") == 1, F.array("root")).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
-    placed = members.join(sizes, "root").select("key", "sig", units.alias("units"))
+    sizes = materialise(members.groupBy("root").agg(F.sum("n").alias("total")), "sizes")
+    large = sizes.where(F.col("total") > unit_shingles)
+    placed = members.join(sizes.where(F.col("total") <= unit_shingles), "root").select("key", "sig", F.array("root").alias("units"))
+    split = large.limit(1).count() > 0
+    if split:
+        pivoted, rest = split_components(members, texts, large, unit_shingles)
+        placed = placed.unionByName(rest)
     # Members grow with the corpus, so they are never broadcast, however few they are.
     sets = texts.select("key", "text").join(placed.hint("merge"), "key").mapInArrow(send_sets, "unit long, sig long, grams binary")
     links = materialise(sets.repartition("unit").sortWithinPartitions("unit").mapInArrow(solve_units, "a long, b long"), "links")
-    classes = connected_components(links) if sizes.where("blocks > 1").limit(1).count() else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    classes = connected_components(links.union(pivoted)) if split else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
     rows = described.join(classes, F.col("sig") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "sig").alias("class"))
     rows = materialise(rows, "classes")
     least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    for t in (edges, members, links, described):
+    for t in (edges, members, sizes, links, described):
         drop_table(t)
     named = rows.join(least, "class", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -48,8 +48,11 @@ def edited(text, seed, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("unit", [8_000_000, 600])
-def test_classes(spark, hard, unit):
+@pytest.mark.parametrize("unit,hot", [(8_000_000, 20_000), (600, 20_000), (8_000_000, 6), (600, 6)])
+def test_classes(spark, hard, unit, hot, monkeypatch):
+    from penstock.llm import ngram_jaccard
+
+    monkeypatch.setattr(ngram_jaccard, "OFTEN", 2)
     rows = [(r.doc_id, r.text) for r in hard.collect()]
     for b in range(6):
         base = prose(60 + 20 * b, 50 + b)
@@ -57,7 +60,7 @@ def test_classes(spark, hard, unit):
     chain = prose(80, 99).split()
     rows += [(5000 + k, " ".join(chain[4 * k : 4 * k + 48])) for k in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = Counter(tuple(r) for r in near_duplicate_classes(docs, unit).collect())
+    got = Counter(tuple(r) for r in near_duplicate_classes(docs, unit, hot).collect())
     assert got == brute_classes(rows)
     assert len({c for _, _, c in got}) < len(rows) - 20
 
