@@ -35,7 +35,7 @@ from .suffix_array import common_prefixes, suffix_array
 
 #: A power of two; SPAN + 15 bytes must fit into a window.
 SPAN = 256
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 ANCHOR = "core long, ctx long, key long, n int, a int, s1 int, s2 int"
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
