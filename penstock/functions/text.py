@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Marks a sentence break between two captured neighbours.
 BREAK = "\u0001"
@@ -68,23 +69,19 @@ def looks_like_heading(line: Column) -> Column:
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, para_idx, start, end, para_text: blocks between blank lines, or lines where a text has no blank line.
 
-    Trimmed; empty ones are not counted. A document's paragraphs come from its own row, without a shuffle.
+    Trimmed; empty ones are not counted. Offsets are running sums over the blocks of a row.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     blocks = F.when(t.rlike(r"\n[ \t]*\n"), F.split(F.regexp_replace(t, r"(\n[ \t]*\n)", "$1\u0002"), "\u0002")).otherwise(
         F.split(F.regexp_replace(t, "(\n)", "$1\u0002"), "\u0002")
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,t:string>>").alias("out"))
-    step = lambda a, x: F.struct(
-        (a["at"] + F.length(x)).cast("int").alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].cast("int").alias("at"), x.alias("t")))).alias("out")
-    )
-    placed = F.filter(F.aggregate(blocks, start, step, lambda a: a["out"]), lambda x: x["t"].rlike(r"\S"))
-    lead = F.length("p.t") - F.length(F.regexp_replace("p.t", r"^\s+", ""))
-    own = F.regexp_replace(F.col("p.t"), r"^\s+|\s+$", "")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", blocks.alias("_b")).select("_row", "doc_id", F.posexplode("_b").alias("_k", "t"))
+    order = Window.partitionBy("_row").orderBy("_k")
+    rows = rows.withColumn("at", F.sum(F.length("t")).over(order) - F.length("t")).where(F.col("t").rlike(r"\S"))
+    bare = F.regexp_replace("t", r"^\s+", "")
     return (
-        docs.select("doc_id", placed.alias("_p"))
-        .select("doc_id", F.posexplode("_p").alias("para_idx", "p"))
-        .select("doc_id", F.col("para_idx").cast("long"), (F.col("p.at") + lead).cast("long").alias("start"), own.alias("para_text"))
+        rows.withColumn("para_idx", (F.row_number().over(order) - 1).cast("long"))
+        .select("doc_id", "para_idx", (F.col("at") + F.length("t") - F.length(bare)).cast("long").alias("start"), F.regexp_replace(bare, r"\s+$", "").alias("para_text"))
         .withColumn("end", F.col("start") + F.length("para_text"))
         .select("doc_id", "para_idx", "start", "end", "para_text")
     )
@@ -122,18 +119,15 @@ def find_spans(docs: DataFrame, patterns: dict[str, str], text: str = "text") ->
     """
     t = F.coalesce(F.col(text), F.lit(""))
 
-    def placed(kind: str, pattern: str) -> Column:
-        gaps = F.transform(F.split(t, pattern, -1), lambda x: F.length(x))
+    def alternating(kind: str, pattern: str) -> Column:
         found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,surface:string>>").alias("out"))
-
-        def step(a, x):
-            span = F.struct(F.lit(kind).alias("kind"), (a["at"] + x["g"]).cast("int").alias("start"), x["m"].alias("surface"))
-            return F.struct((a["at"] + x["g"] + F.length(x["m"])).cast("int").alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
-
-        return F.aggregate(pairs, start, step, lambda a: a["out"])
-
-    arrays = [placed(kind, pattern) for kind, pattern in patterns.items()]
-    rows = docs.select("doc_id", F.explode(F.concat(*arrays)).alias("s"))
-    return rows.select("doc_id", "s.kind", F.col("s.start").cast("long").alias("start"), (F.col("s.start") + F.length("s.surface")).cast("long").alias("end"), "s.surface")
+        gaps = F.transform(F.split(t, pattern, -1), lambda x: F.length(x))
+        return F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.lit(kind).alias("kind"), g.alias("gap"), m.alias("surface")))
+
+    pairs = F.concat(*[alternating(kind, pattern) for kind, pattern in patterns.items()])
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", pairs.alias("_p"))
+    rows = rows.select("_row", "doc_id", F.posexplode("_p").alias("_k", "s")).select("_row", "_k", "doc_id", "s.*")
+    end = F.sum(F.col("gap") + F.length("surface")).over(Window.partitionBy("_row", "kind").orderBy("_k"))
+    # One exchange by row serves the running sums; spans are a few dozen bytes each.
+    placed = rows.repartition("_row").withColumn("end", end.cast("long"))
+    return placed.select("doc_id", "kind", (F.col("end") - F.length("surface")).cast("long").alias("start"), "end", "surface")
