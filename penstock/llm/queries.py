@@ -52,7 +52,8 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = order_folder(spark)
     written, count = write_training_order(documents(spark, sf_dir), folder)
     crc = read_back(spark, folder, count).select("slot", F.crc32("ids").alias("ids_crc32"))
-    return written.join(crc, "slot").select("slot", "number", "shard", "record", "n_tokens", "doc_ids", "ids_crc32")
+    # Both sides have a row per sequence, so neither is broadcast, whatever the planner guesses of a Python step's size.
+    return written.hint("merge").join(crc.hint("merge"), "slot").select("slot", "number", "shard", "record", "n_tokens", "doc_ids", "ids_crc32")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
