@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_title_line
 from ..functions.text import sentences as split_sentences
+from ..operators import editing as E
 from ..operators import issues as I
 from ..operators import questions as Q
 from ..operators import scoring as S
 from . import fixtures as X
+from .queries_model import ORACLES as MODEL_SQL
+from .queries_model import protected_spans
 from .queries_rules import fixture_sentences
 from .queries_text import SENTENCES, docs
 
@@ -80,7 +83,19 @@ def viva_next(spark, sf_dir):
     return Q.next_level(HISTORY.df(spark))
 
 
-QUERIES = {f.__name__: f for f in (length_fits, candidate_gates, centroid_cosines, turn_overlap, stacked_hedges, title_lines, cloze_gaps, swapped_numbers, option_order, glossary, card_sync, viva_next)}
+def greedy_spans(spark, sf_dir):
+    """Non-overlapping protected spans of the corpus, from the left, the longest first."""
+    return E.greedy_spans(protected_spans(spark, sf_dir))
+
+
+def turn_edits(spark, sf_dir):
+    """How many word-level hunks turn one conversation turn into the next."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before"))
+    return t.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.size(E.diff_hunks("before", "text")).cast("long").alias("hunks"))
+
+
+QUERIES = {f.__name__: f for f in (length_fits, candidate_gates, centroid_cosines, turn_overlap, stacked_hedges, title_lines, cloze_gaps, swapped_numbers, option_order, glossary, card_sync, viva_next, greedy_spans, turn_edits)}
 
 _HEDGES = "[" + ", ".join(f"'{h}'" for h in sorted(I.LEXICONS["hedge"])) + "]"
 ORACLES = {
@@ -106,3 +121,8 @@ SELECT doc_id, term, arg_min(array_to_string(v, ' '), line_idx) AS expansion FRO
     "card_sync": f"WITH {OFFERED.cte()}, {OWNED.cte()} SELECT card_id, min(front) AS front FROM fx_offered ANTI JOIN fx_owned USING (card_id) GROUP BY 1",
     "viva_next": f"""WITH {HISTORY.cte()}, l AS (SELECT doc_id, arg_max(level, "at") AS level, arg_max(score, "at") AS score FROM fx_history GROUP BY 1) SELECT doc_id, least(greatest(level + CASE WHEN score >= 70 THEN 1 ELSE -1 END, 1), 4)::BIGINT AS level FROM l""",
 }
+ORACLES["greedy_spans"] = f"""WITH f AS ({MODEL_SQL['protected_spans']}),
+g AS (SELECT doc_id, list({{'s': start, 'e': "end", 'ok': false}} ORDER BY start, "end" DESC) AS l FROM f WHERE start < "end" GROUP BY 1),
+r AS (SELECT doc_id, list_reduce(list_prepend({{'at': 0::BIGINT, 'out': []::STRUCT(s BIGINT, e BIGINT)[]}}, list_transform(l, lambda x: {{'at': -1::BIGINT, 'out': [{{'s': x.s, 'e': x.e}}]}})),
+  lambda a, x: CASE WHEN x.out[1].s >= a.at THEN {{'at': x.out[1].e, 'out': list_concat(a.out, x.out)}} ELSE a END) AS r FROM g)
+SELECT doc_id, p.s AS start, p.e AS "end" FROM (SELECT doc_id, unnest(r.out) AS p FROM r)"""
