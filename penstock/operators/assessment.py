@@ -17,14 +17,13 @@ def word_grams(text: Column, n: int = 4) -> Column:
     return let(words, grams)
 
 
-def copied_share(answer: Column, source: Column) -> Column:
-    """Share of the answer's 4-grams that the source has too."""
+def copied_share(answer: Column, source_grams: Column) -> Column:
+    """Share of the answer's 4-grams that are among the source's (a column, so that they are made once per row)."""
 
     def share(a: Column) -> Column:
-        known = F.size(F.filter(a, lambda g: F.array_contains(F.col("_source"), g)))
+        known = F.size(F.filter(a, lambda g: F.array_contains(source_grams, g)))
         return F.when(F.size(a) > 0, known / F.size(a).cast("double")).otherwise(0.0)
 
-    del source  # the caller puts word_grams(source) into _source
     return let(word_grams(answer), share)
 
 
@@ -44,7 +43,7 @@ def grade_open_approx(answers: DataFrame) -> DataFrame:
     found = F.size(F.filter(concepts, lambda c: F.contains(low, F.concat(F.lit(" "), F.lower(c), F.lit(" ")))))
     n = F.size(concepts)
     rows = answers.withColumn("_source", word_grams(F.col("source"))).select(
-        "qid", F.size(words).alias("n"), F.when(n > 0, found / n.cast("double")).otherwise(0.0).alias("coverage"), copied_share(F.col("answer"), F.col("source")).alias("share")
+        "qid", F.size(words).alias("n"), F.when(n > 0, found / n.cast("double")).otherwise(0.0).alias("coverage"), copied_share(F.col("answer"), F.col("_source")).alias("share")
     )
     copied = (F.col("n") >= 8) & (F.col("share") >= 0.6)
     score = F.when(F.col("n") < 3, 0.0).otherwise(F.when(copied, F.least(F.lit(50.0), 100 * F.col("coverage"))).otherwise(100 * F.col("coverage")))
