@@ -21,7 +21,6 @@ empty result; texts of any length are read in overlapping stretches.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

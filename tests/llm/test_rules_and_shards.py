@@ -9,7 +9,7 @@ import pytest
 
 from penstock.llm.decontamination import find_benchmark_passages, hit_digest
 from penstock.llm.quality_rules import apply_quality_rules
-from penstock.llm.sharding import find_boundaries, shard_documents
+from penstock.llm.sharding import shard_documents
 
 
 def measures(t):
