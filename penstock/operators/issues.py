@@ -19,6 +19,22 @@ LEXICONS: dict[str, dict[str, str | None]] = {
     "claim": {"prove": None, "proves": None, "always": None, "never": None, "the best": None, "undoubtedly": None},
     "vague_source": {"many studies": None, "research shows": None, "it is often said": None, "experts agree": None},
 }
+_TAKEN = "do does did doing done make makes made making perform performs performed performing conduct conducts conducted conducting give gives gave giving given".split() + ["carry out", "carries out", "carried out", "carrying out"]
+_NOUNS = ("an analysis of", "an assessment of", "a calculation of", "a comparison of", "a description of", "an evaluation of", "an examination of", "an investigation of", "a study of", "a test of", "an explanation of", "a measurement of")
+#: Our own phrases that only the scores count: stock phrases; and a weak verb with the noun that could be the verb.
+SCORED: dict[str, dict[str, str | None]] = {
+    "stock_phrase": dict.fromkeys(["in today's world", "it is important to note", "it is worth noting", "plays a crucial role", "plays a vital role", "plays a key role", "a wide range of", "in conclusion", "delve into", "delves into", "a testament to", "ever-evolving", "rich tapestry", "in the realm of", "navigate the complexities", "cutting-edge"]),
+}
+WEAK_VERB = r"(?i)(?:^|[^A-Za-z])((?:" + "|".join(_TAKEN) + ") (?:" + "|".join(_NOUNS) + r"))(?=$|[^A-Za-z])"
+#: Hedges that count only where another hedge stands within so many words before.
+STACKED, STACK_WORDS = {"may"}, 6
+#: Words whose repetition is natural: function words of four letters or more, and very common ones. Stands in for parts of speech.
+QUIET = """about above after again against also although among because been before being below between both cannot could does doing down during each
+either else even ever every from further have having hers herself himself however into itself just many might mine more most much must myself neither
+never once only other ours ourselves over perhaps quite rather same shall should since some such than that their theirs them themselves then there
+therefore these they this those though through thus under unless until upon very were what whatever when where whereas whether which while whom whose
+will with within without would your yours yourself yourselves make take give include first well system result value data time figure table show
+makes made takes took gives gave includes included systems results values times figures tables shows shown used uses using said says goes gets""".split()
 #: Which rule names a span that several rules mark: the first one.
 PRIORITY = ["stock_phrase", "cliche", "wordy_phrase", "filler", "hedge", "weak_verb"]
 

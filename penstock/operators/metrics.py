@@ -15,6 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import band_score
 from ..functions.text import let, match_count, sentence_array, word_list
+from .issues import LEXICONS, QUIET, SCORED, STACK_WORDS, STACKED, WEAK_VERB, alternation
 
 #: Good bands as (metric, score) points, and weights of metrics and of sub-scores.
 BANDS = {
@@ -26,18 +27,27 @@ BANDS = {
     "vocabulary": {
         "mtld": (0.3, [(0, 0), (30, 20), (50, 50), (70, 80), (90, 100)]),
         "repeats_per_100w": (0.2, [(0, 100), (1, 90), (2, 70), (4, 40), (7, 0)]),
+        "stock_per_100w": (0.35, [(0, 100), (0.5, 80), (1, 60), (2, 30), (3, 0)]),
+        "cliche_per_100w": (0.15, [(0, 100), (0.3, 80), (0.7, 55), (1.5, 20), (2.5, 0)]),
     },
     "clarity": {
         "grade_excess": (0.35, [(0, 100), (2, 85), (4, 65), (6, 45), (9, 15), (12, 0)]),
         "long_sentence_pct": (0.25, [(0, 100), (10, 85), (20, 65), (35, 35), (60, 0)]),
         "nominalizations_per_100w": (0.2, [(0, 100), (3, 95), (5, 80), (8, 50), (12, 20), (16, 0)]),
+        "wordy_per_100w": (0.2, [(0, 100), (0.5, 90), (1, 75), (2, 50), (4, 10), (5, 0)]),
+    },
+    "voice": {
+        "passive_ratio": (0.3, [(0, 100), (0.15, 95), (0.25, 80), (0.4, 55), (0.6, 25), (0.8, 0)]),
+        "hedges_per_100w": (0.2, [(0, 100), (1, 90), (2, 70), (4, 35), (6, 0)]),
+        "fillers_per_100w": (0.25, [(0, 100), (0.5, 90), (1, 75), (2, 45), (4, 0)]),
+        "weak_verbs_per_100w": (0.25, [(0, 100), (0.5, 85), (1, 65), (2, 35), (3, 0)]),
     },
-    "voice": {"passive_ratio": (0.3, [(0, 100), (0.15, 95), (0.25, 80), (0.4, 55), (0.6, 25), (0.8, 0)])},
 }
 WEIGHTS = {"clarity": 0.25, "rhythm": 0.2, "vocabulary": 0.2, "voice": 0.2, "correctness": 0.15}
 TARGET_GRADE = 12
 NOMINAL = r"(?:tion|sion|ment|ance|ence)s?$"
 PASSIVE = r"(?i)(?:^|[^a-z])(?:is|are|was|were|be|been|being)\s+(?:[a-z]+ly\s+)?[a-z]+(?:ed|en|wn|lt|ught)(?:[^a-z]|$)"
+EXPLETIVE = r"(?i)^\W*there\s+(?:is|are|was|were)\s.*[^a-z](?:that|who|which)(?:[^a-z]|$)"
 MTLD_THRESHOLD = 0.72
 
 
@@ -206,11 +216,64 @@ def punctuation_rates(docs: DataFrame) -> DataFrame:
     )
 
 
+def hits(sents: Column, pattern: str) -> Column:
+    """How many matches the sentences hold; of a lexicon's alternation, as lexicon_hits counts them."""
+    return total(sents, lambda x: F.size(F.regexp_extract_all(x["sentence"], F.lit(pattern), F.lit(1))))
+
+
+def stacked_hedges(words: Column) -> Column:
+    """How many of the hedges that count only when stacked have a hedge at most six words before them."""
+    near = lambda i: F.slice(words, F.greatest(F.lit(1), i - STACK_WORDS), F.least(i, F.lit(STACK_WORDS + 1)))
+    return F.size(F.filter(words, lambda x, i: x.isin(*STACKED) & (i > 0) & F.exists(near(i), lambda y: y.isin(*LEXICONS["hedge"]))))
+
+
+def near_repeat_count(sents: Column) -> Column:
+    """How many words of a sentence, quiet ones aside, one of the two before it in its paragraph has too; as near_repeats."""
+    bags = F.transform(sents, lambda x: F.struct(x["para_idx"].alias("para"), F.array_distinct(F.filter(x["w"], lambda w: (F.length(w) >= 4) & ~w.isin(*QUIET))).alias("b")))
+
+    def folded(b: Column) -> Column:
+        def before(x: Column, i: Column) -> Column:
+            y = F.get(b, i)
+            return F.when(y["para"] == x["para"], y["b"]).otherwise(F.array().cast("array<string>"))
+
+        return total(F.transform(b, lambda x, i: F.size(F.array_intersect(x["b"], F.concat(before(x, i - 1), before(x, i - 2))))))
+
+    return let(bags, folded)
+
+
+def issue_rates(docs: DataFrame) -> DataFrame:
+    """doc_id and repeats, stock phrases, cliches, wordy phrases, hedges, fillers and weak verbs per 100 words.
+
+    All from a document's own row, without a shuffle: the counts are those of issues.near_repeats and issues.lexicon_hits.
+    """
+    s = F.transform(sentence_array(F.col("text")), lambda x: F.struct(x["para_idx"].alias("para_idx"), x["sentence"].alias("sentence"), F.transform(word_list(x["sentence"]), F.lower).alias("w")))
+
+    def all_of(x: Column) -> Column:
+        per = lambda c: 100.0 * c / F.greatest(total(x, lambda y: F.size(y["w"])), F.lit(1.0))
+        hedges = hits(x, alternation(set(LEXICONS["hedge"]) - STACKED)) + total(x, lambda y: stacked_hedges(y["w"]))
+        expletives = total(x, lambda y: ((F.size(y["w"]) > 3) & y["sentence"].rlike(EXPLETIVE)).cast("int"))
+        return F.struct(
+            per(near_repeat_count(x)).alias("repeats_per_100w"),
+            per(hits(x, alternation(SCORED["stock_phrase"]))).alias("stock_per_100w"),
+            per(hits(x, alternation(LEXICONS["cliche"]))).alias("cliche_per_100w"),
+            per(hits(x, alternation(LEXICONS["wordy_phrase"]))).alias("wordy_per_100w"),
+            per(hedges).alias("hedges_per_100w"),
+            per(hits(x, alternation(LEXICONS["filler"]))).alias("fillers_per_100w"),
+            per(hits(x, WEAK_VERB) + expletives).alias("weak_verbs_per_100w"),
+        )
+
+    return docs.select("doc_id", let(s, all_of).alias("r")).select("doc_id", "r.*")
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, clarity, rhythm, vocabulary, voice, correctness (never available here), overall."""
     r = rhythm(docs).withColumn("rhythm", F.when(F.col("n_sents") > 0, sub_score("rhythm"))).select("doc_id", "rhythm")
-    v = vocabulary(docs).withColumn("repeats_per_100w", F.lit(None).cast("double")).withColumn("vocabulary", F.when(F.col("n_words") > 0, sub_score("vocabulary"))).select("doc_id", "vocabulary")
-    c = clarity(docs).withColumn("clarity", F.when(F.col("n_sents") > 0, sub_score("clarity"))).select("doc_id", "clarity")
-    p = voice(docs).withColumn("voice", sub_score("voice")).select("doc_id", "voice")
-    rows = r.join(v, "doc_id").join(c, "doc_id").join(p, "doc_id").withColumn("correctness", F.lit(None).cast("double"))
-    return rows.withColumn("overall", overall_score(["clarity", "rhythm", "vocabulary", "voice", "correctness"]))
+    rows = r.join(vocabulary(docs), "doc_id").join(clarity(docs).drop("n_words"), "doc_id").join(voice(docs), "doc_id").join(issue_rates(docs), "doc_id")
+    rows = rows.select(
+        "doc_id", "rhythm",
+        F.when(F.col("n_words") > 0, sub_score("vocabulary")).alias("vocabulary"),
+        F.when(F.col("n_sents") > 0, sub_score("clarity")).alias("clarity"),
+        sub_score("voice").alias("voice"),
+        F.lit(None).cast("double").alias("correctness"),
+    )
+    return rows.select("doc_id", "rhythm", "vocabulary", "clarity", "voice", "correctness", overall_score(["clarity", "rhythm", "vocabulary", "voice", "correctness"]).alias("overall"))
