@@ -55,6 +55,37 @@ def reference_statistics(docs: DataFrame, chunk: int = 1000) -> DataFrame:
     return sums.select("word", mean.alias("mean"), F.greatest(F.lit(0.5), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / chunks - mean * mean))).alias("sd"))
 
 
+def corpus_statistics(docs: DataFrame, chunk: int = 1000, ranges: int = 256) -> DataFrame:
+    """word, mean, sd (at least 0.5) of rates over chunks of the corpus's words, in the order of doc_id, then text.
+
+    Chunks run across texts, so only the last remainder is left out. Every listed word has a row. Words are numbered by running
+    sums per range of doc_id and a table of the ranges' offsets; without one full chunk, all means are 0.
+    """
+    cuts = sorted(set(docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.001)))
+    # Long to double keeps order, so a range never splits the order of doc_id; nulls come first, as in the window.
+    at = F.lit(0)
+    if cuts:
+        at = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda x: x < F.col("doc_id").cast("double"))), F.lit(0))
+    at = F.when(F.col("doc_id").isNull(), -1).otherwise(at)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), at.alias("range")).withColumn("n", F.size(word_list(F.col("text"))).cast("long"))
+    offsets, words = [], 0
+    for r, n in sorted(tuple(x) for x in rows.groupBy("range").agg(F.sum("n")).collect()):  # a row per range
+        offsets.append((r, words))
+        words += n
+    chunks = words // chunk
+    table = docs.sparkSession.createDataFrame(offsets, "range int, base long")
+    order = Window.partitionBy("range").orderBy("doc_id", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("first", F.sum("n").over(order) - F.col("n")).join(F.broadcast(table), "range")
+    listed = F.array(*[F.lit(w) for w in FUNCTION_WORDS])
+    numbered = F.transform(word_list(F.col("text")), lambda x, i: F.struct((F.floor((F.col("base") + F.col("first") + i) / chunk)).alias("part"), F.lower(x).alias("word")))
+    found = rows.select(F.explode(F.filter(numbered, lambda x: F.array_contains(listed, x["word"]))).alias("h")).select("h.*").where(F.col("part") < chunks)
+    rate = 1000.0 * F.col("c") / chunk
+    sums = found.groupBy("part", "word").agg(F.count("*").alias("c")).groupBy("word").agg(F.sum(rate).alias("s"), F.sum(rate * rate).alias("q"))
+    sums = docs.sparkSession.createDataFrame([(w,) for w in FUNCTION_WORDS], "word string").join(sums, "word", "left").fillna(0.0)
+    mean = F.col("s") / max(1, chunks)
+    return sums.select("word", mean.alias("mean"), F.greatest(F.lit(0.5), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / max(1, chunks) - mean * mean))).alias("sd"))
+
+
 def burrows_delta(rates: DataFrame, profile: DataFrame, reference: DataFrame, by: str) -> DataFrame:
     """by, delta: mean absolute difference of z-scores, rates drawn towards the reference by 250 words of prior weight."""
     # Profile and reference have a row per function word.

@@ -94,6 +94,18 @@ def style_delta(spark, sf_dir):
     return ST.burrows_delta(rates, rates.where("source = 'src1'"), ST.reference_statistics(d, 200), "source").select("source", F.round("delta", 4).alias("delta"))
 
 
+def style_reference_corpus(spark, sf_dir):
+    """Statistics over chunks of 1,000 words that run across the English documents."""
+    return ST.corpus_statistics(docs(spark, sf_dir).where("lang = 'en'")).select("word", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"))
+
+
+def style_delta_corpus(spark, sf_dir):
+    """style_delta against the statistics of style_reference_corpus."""
+    d = docs(spark, sf_dir).where("lang = 'en'")
+    rates = ST.function_word_rates(d, "source")
+    return ST.burrows_delta(rates, rates.where("source = 'src1'"), ST.corpus_statistics(d), "source").select("source", F.round("delta", 4).alias("delta"))
+
+
 def _features(d):
     p = M.punctuation_rates(d)
     r = M.rhythm(d).select("doc_id", F.col("length_mean").alias("sentence_length_mean"), "sentence_length_sd")
@@ -117,7 +129,7 @@ def voice_match(spark, sf_dir):
     """Match of every English document with a profile of source src1."""
     d = docs(spark, sf_dir).where("lang = 'en'")
     profile = ST.function_word_rates(d.where("source = 'src1'"), "source")
-    delta = ST.burrows_delta(ST.function_word_rates(d), profile, ST.reference_statistics(d, 200), "doc_id")
+    delta = ST.burrows_delta(ST.function_word_rates(d), profile, ST.corpus_statistics(d), "doc_id")
     return ST.voice_match(delta, ST.feature_distance(_features(d), PROFILE, "doc_id"), "doc_id")
 
 
@@ -190,7 +202,7 @@ def quality_rollup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    protected_spans, protected_merged, span_merge, span_priority, span_joins, edits_applied, offsets_mapped, ngram_counts, fluency_fixture, fluency, function_word_rates, style_reference, style_delta,
+    protected_spans, protected_merged, span_merge, span_priority, span_joins, edits_applied, offsets_mapped, ngram_counts, fluency_fixture, fluency, function_word_rates, style_reference, style_delta, style_reference_corpus, style_delta_corpus,
     style_distance, style_differences, voice_match, copied_from_benchmark, copied_turns, cloze_grades, open_grades, articles, issue_ids, review_schedule, event_schedule, review_streaks, ownership, gates,
     viva_levels, concept_lists, quality_rollup,
 )}
@@ -225,6 +237,11 @@ _REF = f"""en AS (SELECT w.doc_id, list_transform(w.w, lambda x: lower(x)) AS l
 ei AS (SELECT doc_id, unnest(l) AS word, (generate_subscripts(l, 1) - 1) // 200 AS part FROM en), fu AS (SELECT doc_id, part FROM ei GROUP BY 1, 2 HAVING count(*) = 200), kk AS (SELECT count(*) AS k FROM fu),
 hc AS (SELECT doc_id, part, word, 5.0::DOUBLE * count(*) AS r FROM ei SEMI JOIN fu USING (doc_id, part) WHERE list_contains({_FW}, word) GROUP BY 1, 2, 3),
 rf AS (SELECT word, sum(r) / k AS mean, greatest(0.5::DOUBLE, sqrt(greatest(0.0::DOUBLE, sum(r * r) / k - (sum(r) / k) * (sum(r) / k)))) AS sd FROM hc CROSS JOIN kk GROUP BY word, k)"""
+_CORPUS_REF = f"""en AS (SELECT w.doc_id, list_transform(w.w, lambda x: lower(x)) AS l FROM w JOIN documents d ON d.doc_id = w.doc_id WHERE d.lang = 'en'),
+ei AS (SELECT word, (row_number() OVER (ORDER BY doc_id, i) - 1) // 1000 AS part FROM (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM en)), kk AS (SELECT count(*) // 1000 AS k FROM ei),
+hc AS (SELECT part, word, count(*)::DOUBLE AS r FROM ei CROSS JOIN kk WHERE part < k AND list_contains({_FW}, word) GROUP BY 1, 2),
+sm AS (SELECT f.word, coalesce(sum(r), 0.0::DOUBLE) AS s, coalesce(sum(r * r), 0.0::DOUBLE) AS q FROM (SELECT unnest({_FW}) AS word) f LEFT JOIN hc ON hc.word = f.word GROUP BY 1),
+rf AS (SELECT word, s / greatest(k, 1) AS mean, greatest(0.5::DOUBLE, sqrt(greatest(0.0::DOUBLE, q / greatest(k, 1) - (s / greatest(k, 1)) * (s / greatest(k, 1))))) AS sd FROM sm CROSS JOIN kk)"""
 _DELTA = "avg(abs((rt.n_words::DOUBLE / (rt.n_words + 250) * rt.rate + (1 - rt.n_words::DOUBLE / (rt.n_words + 250)) * mean - mean) / sd - (p.rate - mean) / sd))"
 _FEAT = f"""{SENTENCES}, {WORDS},
 st AS (SELECT doc_id, count(*) AS m, avg(len(words)) AS lm, stddev_pop(len(words)) AS sd FROM sents GROUP BY 1),
@@ -293,6 +310,8 @@ FROM fx_offsets o LEFT JOIN e ON e.doc_id = o.doc_id AND e.start < pos GROUP BY
     "function_word_rates": f"WITH {WORDS}, {_rates('source')} SELECT source, word, n_words, round(rate, 4) AS rate FROM rt",
     "style_reference": f"WITH {WORDS}, {_REF} SELECT word, round(mean, 4) AS mean, round(sd, 4) AS sd FROM rf",
     "style_delta": f"WITH {WORDS}, {_rates('source', "WHERE d.lang = 'en'")}, {_REF} SELECT rt.source, round({_DELTA}, 4) AS delta FROM rt JOIN (SELECT * FROM rt WHERE source = 'src1') p ON p.word = rt.word JOIN rf ON rf.word = rt.word GROUP BY rt.source",
+    "style_reference_corpus": f"WITH {WORDS}, {_CORPUS_REF} SELECT word, round(mean, 4) AS mean, round(sd, 4) AS sd FROM rf",
+    "style_delta_corpus": f"WITH {WORDS}, {_rates('source', "WHERE d.lang = 'en'")}, {_CORPUS_REF} SELECT rt.source, round({_DELTA}, 4) AS delta FROM rt JOIN (SELECT * FROM rt WHERE source = 'src1') p ON p.word = rt.word JOIN rf ON rf.word = rt.word GROUP BY rt.source",
     "style_distance": f"WITH {_FEAT} SELECT doc_id, round({_RMS}, 4) AS rms FROM ft",
     "style_differences": f"WITH {_FEAT}, zz AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS feature, {z} AS z FROM ft" for k, z in _Z.items()) + "), rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(z) DESC, feature) AS rank FROM zz WHERE abs(z) >= 0.5) SELECT doc_id, rank, feature, round(z, 4) AS z FROM rk WHERE rank <= 3",
     "copied_from_benchmark": f"WITH {_gram_table('d', 'documents', 'doc_id')}, {_gram_table('b', 'benchmark', 'item_id')}, k AS (SELECT DISTINCT g FROM b) SELECT doc_id, count(*) AS n_grams, count(k.g) AS copied FROM d LEFT JOIN k ON k.g = d.g GROUP BY doc_id",

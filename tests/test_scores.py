@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from penstock.functions.text import sentences
 from penstock.operators import issues as I
 from penstock.operators import metrics as M
+from penstock.operators import stylometry as ST
 
 
 def table(spark, *texts):
@@ -46,3 +47,11 @@ def test_every_metric_moves_its_sub_score(spark):
     plain = "The pump moves water. Two valves open slowly. Cold rain fell on every roof."
     got = {r.doc_id: r for r in M.score_documents(table(spark, plain, plain + " It goes without saying.", plain + " We ran in order to win.", plain + " Perhaps it was really very late.")).collect()}
     assert got[1].vocabulary < got[0].vocabulary and got[2].clarity < got[0].clarity and got[3].voice < got[0].voice
+
+
+def test_style_chunks_run_across_documents(spark):
+    # 7 words each: no document fills a chunk of ten, the corpus fills two and leaves one word.
+    docs = spark.createDataFrame([(3, "the x x x x x the"), (1, "the the x x x x x"), (2, "the x x x x x x"), (4, None)], "doc_id long, text string")
+    got = {r.word: (r.mean, r.sd) for r in ST.corpus_statistics(docs, 10, 3).collect()}
+    assert set(got) == set(ST.FUNCTION_WORDS) and got["of"] == (0.0, 0.5)
+    assert got["the"] == (pytest.approx(200.0), pytest.approx(100.0))
