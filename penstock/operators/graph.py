@@ -44,6 +44,46 @@ def central_sentences(sentences: DataFrame, threshold: float = 0.1) -> DataFrame
     return sentences.select("doc_id", "sent_idx", "words").groupBy("doc_id").applyInPandas(rank, "doc_id long, sent_idx long, rank double")
 
 
+def similarities(sentences: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, a, b, w: bag-of-words cosines of at least the threshold between a document's sentences, both ways."""
+    bags = sentences.select("doc_id", "sent_idx", F.explode(F.transform("words", F.lower)).alias("word")).groupBy("doc_id", "sent_idx", "word").agg(F.count("*").cast("double").alias("k"))
+    norm = bags.groupBy("doc_id", "sent_idx").agg(F.sqrt(F.sum(F.col("k") * F.col("k"))).alias("norm"))
+    unit = bags.join(norm, ["doc_id", "sent_idx"]).select("doc_id", "sent_idx", "word", (F.col("k") / F.col("norm")).alias("v"))
+    x, y = unit.select("doc_id", "word", F.col("sent_idx").alias("a"), F.col("v").alias("_x")), unit.select("doc_id", "word", F.col("sent_idx").alias("b"), F.col("v").alias("_y"))
+    half = x.join(y, ["doc_id", "word"]).where("a < b").groupBy("doc_id", "a", "b").agg(F.sum(F.col("_x") * F.col("_y")).alias("w")).where(F.col("w") >= threshold)
+    return half.unionByName(half.select("doc_id", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+
+
+def joined_ranks(sentences: DataFrame, threshold: float, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
+    """The rows of central_sentences by iterated joins; a document stays as it is once its ranks have settled."""
+    edges = similarities(sentences, threshold).checkpoint()
+    size = sentences.groupBy("doc_id").agg(F.count("*").alias("n"))
+    out = edges.groupBy("doc_id", F.col("a").alias("sent_idx")).agg(F.sum("w").alias("out"))
+    nodes = sentences.select("doc_id", "sent_idx").join(size, "doc_id").join(out, ["doc_id", "sent_idx"], "left")
+    nodes = nodes.select("doc_id", "sent_idx", "n", "out", (1.0 / F.col("n")).alias("rank"), F.lit(False).alias("done")).checkpoint()
+    for _ in range(rounds):
+        given = edges.join(nodes.where("not done").select("doc_id", F.col("sent_idx").alias("a"), (F.col("rank") / F.col("out")).alias("s")), ["doc_id", "a"])
+        given = given.groupBy("doc_id", F.col("b").alias("sent_idx")).agg(F.sum(F.col("s") * F.col("w")).alias("got"))
+        loose = nodes.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose"))
+        new = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))
+        step = nodes.join(given, ["doc_id", "sent_idx"], "left").join(loose, "doc_id").withColumn("new", F.when(F.col("done"), F.col("rank")).otherwise(new))
+        moved = step.groupBy("doc_id").agg(F.sum(F.abs(F.col("new") - F.col("rank"))).alias("moved"))
+        nodes = step.join(moved, "doc_id").select("doc_id", "sent_idx", "n", "out", F.col("new").alias("rank"), (F.col("done") | (F.col("moved") < F.col("n") * tolerance)).alias("done")).checkpoint()
+        if nodes.where("not done").isEmpty():
+            break
+    top = nodes.groupBy("doc_id").agg(F.max("rank").alias("top"))
+    return nodes.join(top, "doc_id").select("doc_id", "sent_idx", (F.col("rank") / F.col("top")).alias("rank"))
+
+
+def central_sentences_any_length(sentences: DataFrame, threshold: float = 0.1, most: int = 500) -> DataFrame:
+    """central_sentences for documents of every length: up to `most` sentences in one group, longer ones by iterated joins."""
+    long_ = sentences.groupBy("doc_id").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("doc_id").checkpoint()
+    short = central_sentences(sentences.join(long_, "doc_id", "left_anti"), threshold)
+    if long_.isEmpty():
+        return short
+    return short.unionByName(joined_ranks(sentences.join(long_, "doc_id", "left_semi"), threshold))
+
+
 def degree_weights(edges: DataFrame) -> DataFrame:
     """node, weight, degree of an undirected edge table (a, b, w)."""
     both = edges.select(F.col("a").alias("node"), "w").unionByName(edges.select(F.col("b").alias("node"), "w"))

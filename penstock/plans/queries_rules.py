@@ -118,9 +118,16 @@ def similarity_degrees(spark, sf_dir):
     return G.degree_weights(edges)
 
 
+def document_central_sentences(spark, sf_dir):
+    """Most central sentence of every document with a word."""
+    r = G.central_sentences_any_length(split_sentences(docs(spark, sf_dir)))
+    return r.groupBy("doc_id").agg(F.max_by("sent_idx", F.struct(F.round("rank", 9), -F.col("sent_idx"))).alias("sent_idx"), F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     long_sentences, repeated_openers, near_repeats, lexicon_hits, lexicon_counts, issues_deduplicated, unsupported_claims, plain_runs, generic_spots, report_sections, report_structure, report_abbreviations,
     report_figures, report_units, rewrite_candidates, rewrite_choice, corpus_rewrites, central_sentences, word_cooccurrence, similarity_degrees,
+    document_central_sentences,
 )}
 
 _FX = f"{X.SENTENCES.cte()}"

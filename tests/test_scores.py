@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from penstock.functions.text import sentences
+from penstock.operators import graph as G
 from penstock.operators import issues as I
 from penstock.operators import metrics as M
 from penstock.operators import stylometry as ST
@@ -55,3 +56,10 @@ def test_style_chunks_run_across_documents(spark):
     got = {r.word: (r.mean, r.sd) for r in ST.corpus_statistics(docs, 10, 3).collect()}
     assert set(got) == set(ST.FUNCTION_WORDS) and got["of"] == (0.0, 0.5)
     assert got["the"] == (pytest.approx(200.0), pytest.approx(100.0))
+
+
+def test_long_documents_rank_as_short_ones(spark):
+    s = sentences(table(spark, "The pump moves water. The pump moves water fast. Water moves the pump. Unrelated words only.", "One thing. Another thing. No link here."))
+    want = {(r.doc_id, r.sent_idx): r.rank for r in G.central_sentences(s).collect()}
+    got = {(r.doc_id, r.sent_idx): r.rank for r in G.central_sentences_any_length(s, most=3).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
