@@ -118,6 +118,20 @@ def similarity_degrees(spark, sf_dir):
     return G.degree_weights(edges)
 
 
+def _concepts(spark):
+    return spark.createDataFrame([(w,) for w in ("with", "that", "from", "have", "which", "this")], "c string")
+
+
+def word_meetings(spark, sf_dir):
+    """word_cooccurrence with the pairs that meet in a single sentence of a document too."""
+    return G.cooccurrence(split_sentences(docs(spark, sf_dir)), _concepts(spark))
+
+
+def meeting_degrees(spark, sf_dir):
+    """Degree weights of the graph of word pairs over the corpus, every meeting counted."""
+    return G.degree_weights(word_meetings(spark, sf_dir).groupBy("a", "b").agg(F.sum("n").alias("w")))
+
+
 def document_central_sentences(spark, sf_dir):
     """Most central sentence of every document with a word."""
     r = G.central_sentences_any_length(split_sentences(docs(spark, sf_dir)))
@@ -127,7 +141,7 @@ def document_central_sentences(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     long_sentences, repeated_openers, near_repeats, lexicon_hits, lexicon_counts, issues_deduplicated, unsupported_claims, plain_runs, generic_spots, report_sections, report_structure, report_abbreviations,
     report_figures, report_units, rewrite_candidates, rewrite_choice, corpus_rewrites, central_sentences, word_cooccurrence, similarity_degrees,
-    document_central_sentences,
+    word_meetings, meeting_degrees, document_central_sentences,
 )}
 
 _FX = f"{X.SENTENCES.cte()}"
@@ -197,6 +211,10 @@ SELECT x.doc_id, x.c AS a, y.c AS b, count(*) AS n FROM w x JOIN w y ON x.doc_id
 }
 ORACLES["similarity_degrees"] = f"WITH e AS ({ORACLES['word_cooccurrence']}), s AS (SELECT a, b, sum(n) AS w FROM e GROUP BY 1, 2), u AS (SELECT a AS node, w FROM s UNION ALL SELECT b, w FROM s) SELECT node, sum(w)::BIGINT AS weight, count(*) AS degree FROM u GROUP BY 1"
 
+ORACLES["word_meetings"] = f"""WITH {SENTENCES}, w AS (SELECT DISTINCT doc_id, sent_idx, c FROM (SELECT doc_id, sent_idx, lower(unnest(words)) AS c FROM sents) WHERE c IN ('with', 'that', 'from', 'have', 'which', 'this'))
+SELECT x.doc_id, x.c AS a, y.c AS b, count(*) AS n FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.sent_idx = y.sent_idx AND x.c < y.c GROUP BY 1, 2, 3"""
+ORACLES["meeting_degrees"] = f"WITH e AS ({ORACLES['word_meetings']}), s AS (SELECT a, b, sum(n) AS w FROM e GROUP BY 1, 2), u AS (SELECT a AS node, w FROM s UNION ALL SELECT b, w FROM s) SELECT node, sum(w)::BIGINT AS weight, count(*) AS degree FROM u GROUP BY 1"
+
 
 def _swap(x: str, phrase: str, plain: str) -> str:
     return f"regexp_replace({x}, '(?i)(^|[^A-Za-z]){phrase.replace(chr(39), chr(39) * 2)}($|[^A-Za-z])', '\\1{plain}\\2', 'g')"

@@ -58,6 +58,19 @@ def test_style_chunks_run_across_documents(spark):
     assert got["the"] == (pytest.approx(200.0), pytest.approx(100.0))
 
 
+def test_single_meetings_count(spark):
+    s = sentences(table(spark, "Take it with that. Now with this.", "Go with that."))
+    concepts = spark.createDataFrame([("with",), ("that",), ("this",)], "c string")
+    assert {tuple(r) for r in G.cooccurrence(s, concepts).collect()} == {(0, "that", "with", 1), (0, "this", "with", 1), (1, "that", "with", 1)}
+
+
+def test_meetings_hold_what_the_filtered_query_drops(spark, sf):
+    from penstock.plans import queries_rules as Q
+
+    every = {tuple(r) for r in Q.word_meetings(spark, sf).collect()}
+    assert {tuple(r) for r in Q.word_cooccurrence(spark, sf).collect()} == {r for r in every if r[3] >= 2} < every
+
+
 def test_long_documents_rank_as_short_ones(spark):
     s = sentences(table(spark, "The pump moves water. The pump moves water fast. Water moves the pump. Unrelated words only.", "One thing. Another thing. No link here."))
     want = {(r.doc_id, r.sent_idx): r.rank for r in G.central_sentences(s).collect()}
