@@ -2,24 +2,54 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import sm2_step
+def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """States of the cards of rows sorted by card and time, sm2_step in Python; only the card at hand is held."""
+    none = object()
+    now, ease, interval, reps, lapses, due = none, 2.5, 0.0, 0, 0, 0.0
+    for batch in batches:
+        rows = []
+        for card, at, grade in zip(*(batch.column(k).to_pylist() for k in ("card_id", "at_min", "grade"))):
+            if now is none or card != now:
+                if now is not none:
+                    rows.append((now, ease, interval, reps, lapses, due))
+                now, ease, interval, reps, lapses = card, 2.5, 0.0, 0, 0
+            miss = 5 - {1: 1, 2: 3, 3: 4}.get(grade, 5)
+            ease = max(1.3, ease + (0.1 - miss * (0.08 + miss * 0.02)))
+            if grade == 1:
+                interval, reps, lapses, wait = 0.0, 0, lapses + 1, 10.0
+            else:
+                reps += 1
+                # As Spark's floor, which stops at the largest long.
+                interval = 1.0 if reps == 1 else 6.0 if reps == 2 else float(math.floor(min(interval * ease + 0.5, 2.0**63)))
+                wait = interval * 1440.0
+            due = None if at is None else at + wait
+        yield _cards(rows, batch.schema.field("card_id").type)
+    if now is not none:
+        yield _cards([(now, ease, interval, reps, lapses, due)], batch.schema.field("card_id").type)
 
 
-def new_card():
-    return F.struct(F.lit(2.5).alias("ease"), F.lit(0.0).alias("interval"), F.lit(0).alias("reps"), F.lit(0).alias("lapses"), F.lit(0.0).alias("due"))
+def _cards(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    types = {"card_id": kind, "ease": pa.float64(), "interval": pa.float64(), "reps": pa.int32(), "lapses": pa.int32(), "due": pa.float64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
 
 
 def schedule(reviews: DataFrame) -> DataFrame:
     """card_id, ease, interval, reps, lapses, due after all reviews (card_id, at_min, grade), in order of time.
 
-    A card's reviews are one array; a person's log of a card is short, and partial aggregation is not possible for a fold.
+    A card's rows are sorted in one task and folded as they come, so memory does not depend on the length of its log.
     """
-    log = reviews.groupBy("card_id").agg(F.sort_array(F.collect_list(F.struct("at_min", "grade"))).alias("log"))
-    return log.select("card_id", F.aggregate("log", new_card(), lambda c, r: sm2_step(c, r["grade"], r["at_min"])).alias("c")).select("card_id", "c.*")
+    rows = reviews.select("card_id", F.col("at_min").cast("double").alias("at_min"), F.col("grade").cast("int").alias("grade"))
+    kind = rows.schema["card_id"].dataType.simpleString()
+    rows = rows.repartition("card_id").sortWithinPartitions("card_id", "at_min", "grade")
+    return rows.mapInArrow(folded, f"card_id {kind}, ease double, interval double, reps int, lapses int, due double")
 
 
 def due_cards(cards: DataFrame, now: float) -> DataFrame:
