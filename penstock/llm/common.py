@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +50,12 @@ def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def reserve(carry: Iterable[str], names: list[str]) -> None:
+    """Raise if a carried column has the name of a result or of a column made on the way."""
+    if clash := sorted({c.lower() for c in carry} & set(names)):
+        raise ValueError(f"columns {clash} cannot be carried: rename them first")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

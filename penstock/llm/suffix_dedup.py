@@ -1,6 +1,6 @@
 """Repeated passages: remove every byte covered by a string of ``length`` bytes that also starts elsewhere.
 
-1. Anchors. Of the first ``SPAN`` places of each window of ``length`` bytes, the one whose 16 bytes hash lowest is the
+1. Anchors. Of the first ``span_of(length)`` places of each window of ``length`` bytes, the one whose 16 bytes hash lowest is the
    window's anchor; equal windows have it at the same place. Windows of one anchor are one row: their core (the bytes
    all of them share, hashed), and all bytes that any of them covers (the context, hashed too).
 2. Contexts that occur twice repeat with all their windows. Cores with two contexts or more, one of them unique, need
@@ -13,10 +13,13 @@
 
 Texts are known by 64 bits of their MD5 and their length, so copies are handled once; a text with a copy repeats as a
 whole. A core with over ``group_contexts`` different contexts is not sent to one task: its windows are hashed and counted.
+Texts with a thousandth of all rows or more as copies (so a thousand texts at most) are thinned out in their tasks before they
+meet, and their copies are spread over ``SALTS`` keys when results go back to rows.
 
 Nulls and edge cases: null and empty texts have 0 bytes and lose nothing, as do texts shorter than ``length``;
 matches never cross texts; repeated rows count as copies of a text; a null doc_id is carried; an empty table gives an
-empty result; texts of any length are read in overlapping stretches.
+empty result; texts of any length are read in overlapping stretches; which of several equal passages comes first does not matter,
+all are cut. Carried columns may have any name but those of the results (ValueError).
 """
 
 from __future__ import annotations
@@ -25,20 +28,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX, drop_table, materialise, mix64, pieces, text_buffer
+from .common import MIX, drop_table, materialise, mix64, pieces, reserve, text_buffer
 from .suffix_array import common_prefixes, suffix_array
 
-#: A power of two; SPAN + 15 bytes must fit into a window.
-SPAN = 256
 STRETCH = 1 << 18
+#: Over so many keys the copies of a very frequent text are spread.
+SALTS = 256
+#: A text is very frequent from so many copies on, or a thousandth of all rows where that is more.
+HOT_COPIES = 1000
+#: Contexts that are solved at once, in whole groups.
+AT_ONCE = 20_000
 ANCHOR = "core long, ctx long, key long, n int, a int, s1 int, s2 int"
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def span_of(length: int) -> int:
+    """How many first places of a window may hold its anchor; at least 49 bytes of a window are its core."""
+    return min(256, length - 48)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64."""
     size = 1 << max(16, int(n).bit_length())
@@ -76,10 +88,12 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     words = np.ascontiguousarray(eight).view("<u8").ravel()
     k = mix64(words[:-8] * MIX ^ mix64(words[8:]))
     low = (k & np.uint64(0xFFFFFFFF00000000)) | np.arange(k.size, dtype=np.uint64)
-    step = 1
-    while step < SPAN:
+    span, step = span_of(length), 1
+    while 2 * step <= span:
         low = np.minimum(low[:-step], low[step:])
         step *= 2
+    if step < span:
+        low = np.minimum(low[: step - span], low[span - step :])
     count = np.maximum(last - first + 1, 0)
     row = np.repeat(np.arange(first.size), count)
     start = np.arange(int(count.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
@@ -88,7 +102,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     end = np.concatenate([new[1:], [at.size]]) - 1
     a, s1, s2 = at[new], start[new], start[end]
     h = Hashes(raw)
-    core = h.of(a, a + length - SPAN + 1)
+    core = h.of(a, a + length - span + 1)
     ctx = mix64(h.of(s1, s2 + length) + mix64(core + (a - s1).astype(np.uint64)))
     return row[new], a, s1, s2, core, ctx
 
@@ -145,6 +159,8 @@ def find_anchors(length: int) -> callable:
 def cut_contexts(length: int) -> callable:
     """The bytes of requested contexts, left of the core (reversed) and right of it."""
 
+    after = length - span_of(length) + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unseen(batches):
             for part in pieces(batch, STRETCH):
@@ -160,7 +176,7 @@ def cut_contexts(length: int) -> callable:
                         out["key"].append(key)
                         out["n"].append(n)
                         out["left"].append(whole[s1:a][::-1])
-                        out["right"].append(whole[a + length - SPAN + 1 : s2 + length])
+                        out["right"].append(whole[a + after : s2 + length])
                 yield pa.record_batch([pa.array(out[c], pa.int64() if c in ("core", "ctx", "key") else pa.binary() if c in ("left", "right") else pa.int32()) for c in out], list(out))
 
     return run
@@ -205,12 +221,11 @@ def informative(bytes_: np.ndarray, extent: np.ndarray, starts: np.ndarray, grou
     return inside & split[group, :width]
 
 
-def repeated_windows(left: list[bytes], right: list[bytes], group: np.ndarray, low_u: np.ndarray, high_u: np.ndarray) -> list[tuple[int, int, int]]:
+def repeated_windows(left: list[bytes], right: list[bytes], group: np.ndarray, low_u: np.ndarray, high_u: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     """(context, first u, last u): windows that start u bytes left of the anchor and occur in another context too.
 
-    A window takes u bytes on the left and SPAN - 1 - u on the right of the core. Rows of a group are adjacent.
+    A window takes u bytes on the left and width - u on the right of the core. Rows of a group are adjacent.
     """
-    width = SPAN - 1
     lb, lz = padded(left, width)
     rb, rz = padded(right, width)
     l_most, r_most = longest_shared(lb, lz, group), longest_shared(rb, rz, group)
@@ -254,44 +269,55 @@ def repeated_windows(left: list[bytes], right: list[bytes], group: np.ndarray, l
     return out
 
 
-def solve_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Window starts that repeat, from all contexts of the cores in this partition."""
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
-        return
-    t = pa.Table.from_batches(batches)
-    col = {c: t[c].to_numpy() for c in ("core", "ctx", "key", "n", "a", "s1", "s2")}
-    order = np.lexsort((col["ctx"], col["core"]))
-    core, ctx = col["core"][order], col["ctx"][order]
-    order = order[np.concatenate([[True], (core[1:] != core[:-1]) | (ctx[1:] != ctx[:-1])])]
-    col = {c: v[order] for c, v in col.items()}
-    left, right = t["left"].take(order).to_pylist(), t["right"].take(order).to_pylist()
-    first = np.flatnonzero(np.concatenate([[True], col["core"][1:] != col["core"][:-1]]))
-    edges = np.append(first, order.size)
-    at = 0
-    while at < first.size:  # whole groups, some ten thousand contexts at once
-        to = at + 1
-        while to < first.size and edges[to + 1] - edges[at] <= 20_000:
-            to += 1
-        a, b = int(edges[at]), int(edges[to])
-        group = np.repeat(np.arange(to - at), np.diff(edges[at : to + 1]))
-        anchor, s1, s2 = col["a"][a:b], col["s1"][a:b], col["s2"][a:b]
-        found = repeated_windows(left[a:b], right[a:b], group, anchor - s2, anchor - s1)
+def solve_groups(length: int) -> callable:
+    """Window starts that repeat, from contexts that come in order of core; some ten thousand are held at once."""
+    width = span_of(length) - 1
+
+    def solved(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches)
+        col = {c: t[c].to_numpy() for c in ("core", "ctx", "key", "n", "a", "s1", "s2")}
+        order = np.lexsort((col["ctx"], col["core"]))
+        core, ctx = col["core"][order], col["ctx"][order]
+        order = order[np.concatenate([[True], (core[1:] != core[:-1]) | (ctx[1:] != ctx[:-1])])]
+        col = {c: v[order] for c, v in col.items()}
+        left, right = t["left"].take(order).to_pylist(), t["right"].take(order).to_pylist()
+        group = np.cumsum(np.concatenate([[0], (col["core"][1:] != col["core"][:-1]).astype(np.int64)]))
+        anchor = col["a"]
+        found = repeated_windows(left, right, group, anchor - col["s2"], anchor - col["s1"], width)
         if found:
             row, u1, u2 = np.array(found).T
-            yield pa.record_batch([pa.array(col["key"][a:b][row]), pa.array(col["n"][a:b][row]), pa.array((anchor[row] - u2).astype(np.int32)), pa.array((anchor[row] - u1).astype(np.int32))], ["key", "n", "s1", "s2"])
-        at = to
+            yield pa.record_batch([pa.array(col["key"][row]), pa.array(col["n"][row]), pa.array((anchor[row] - u2).astype(np.int32)), pa.array((anchor[row] - u1).astype(np.int32))], ["key", "n", "s1", "s2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            core = batch.column(batch.schema.get_field_index("core")).to_numpy()
+            cut = int(np.searchsorted(core, core[-1]))  # rows before the last group, which may go on
+            if rows + cut >= AT_ONCE and (cut or core[0] != last):
+                yield from solved([*held, batch.slice(0, cut)])
+                held, rows, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            rows += batch.num_rows
+            last = core[-1]
+        yield from solved(held)
+
+    return run
 
 
 def hash_windows(length: int) -> callable:
     """(window hash, place) of every window of contexts whose core has too many for one task."""
+    width = span_of(length) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 raw = np.frombuffer(r["left"][::-1] + r["right"], np.uint8)
                 s = np.arange(r["s2"] - r["s1"] + 1)
-                h = Hashes(raw).of(s, s + SPAN - 1)
+                h = Hashes(raw).of(s, s + width)
                 h = mix64(h + mix64(np.uint64(r["core"] % (1 << 64)) + (len(r["left"]) - s).astype(np.uint64)))
                 k = s.size
                 yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.full(k, r["key"])), pa.array(np.full(k, r["n"], np.int32)), pa.array((s + r["s1"]).astype(np.int32))], ["h", "key", "n", "s1"])
@@ -299,7 +325,7 @@ def hash_windows(length: int) -> callable:
     return run
 
 
-def cut_out(carry: list[str], length: int) -> callable:
+def cut_out(carry: list[str], length: int, min_words: int) -> callable:
     """carry, n_bytes, removed (runs of byte places), kept (the remaining bytes), kept_text (without parts of cut characters)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +334,7 @@ def cut_out(carry: list[str], length: int) -> callable:
                 raw, offsets = text_buffer(part.column(part.schema.get_field_index("text")))
                 whole = raw.tobytes()
                 removed, kept = [], []
-                for i, found in enumerate(part.column(part.schema.get_field_index("found")).to_pylist()):
+                for i, found in enumerate(part.column(part.schema.get_field_index("_found")).to_pylist()):
                     runs: list[list[int]] = []
                     for s1, s2 in sorted((x["s1"], x["s2"]) for x in found or []):
                         if runs and s1 <= runs[-1][1]:
@@ -316,6 +342,8 @@ def cut_out(carry: list[str], length: int) -> callable:
                         else:
                             runs.append([s1, s2 + length])
                     text = whole[offsets[i] : offsets[i + 1]]
+                    if min_words:
+                        runs = [r for r in runs if len(text[r[0] : r[1]].split()) >= min_words]
                     removed.append([{"start": a, "end": b} for a, b in runs])
                     ends = [0, *(x for r in runs for x in r), len(text)]
                     kept.append(b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])))
@@ -329,18 +357,20 @@ def cut_out(carry: list[str], length: int) -> callable:
     return run
 
 
-def keyed_texts(docs: DataFrame, *carry: str) -> DataFrame:
+def whole_text() -> tuple[Column, Column, Column]:
+    """The text (null: empty), the first 64 bits of its MD5, and its bytes."""
     text = F.coalesce("text", F.lit(""))
-    digest = F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long")
-    return docs.select(*carry, text.alias("text"), digest.alias("key"), F.octet_length(text).alias("n"))
+    return text, F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long"), F.octet_length(text)
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = 400, group_contexts: int = 100_000) -> DataFrame:
-    """carry, n_bytes, removed (runs of places), kept (bytes), kept_text for each row of docs."""
-    if length < SPAN + 16:
-        raise ValueError(f"length must be at least {SPAN + 16}")
-    texts = keyed_texts(docs).where(F.col("n") >= length)
+def find_repeats(docs: DataFrame, length: int, group_contexts: int) -> tuple[DataFrame, list[int]]:
+    """(key, n, found: ranges of window starts that repeat) of each text that has any, and the keys of very frequent texts."""
+    text, digest, size = whole_text()
+    texts = docs.select(text.alias("text"), digest.alias("key"), size.alias("n")).where(F.col("n") >= length)
     found = materialise(texts.select("key", "n", "text").mapInArrow(find_anchors(length), ANCHOR), "anchors")
+    copies = materialise(texts.groupBy("key", "n").agg(F.count("*").alias("c")).where("c > 1"), "copies")
+    # A thousand keys at most, whatever the input.
+    hot = [r.key for r in copies.where(F.col("c") >= max(HOT_COPIES, docs.count() // 1000)).select("key").collect()]
 
     # Contexts and how they occur; a context occurs twice if its first and last occurrence differ.
     place = F.struct("key", "n", "a", "s1", "s2")
@@ -351,26 +381,48 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length
     same = found.join(contexts.where("twice").select(F.col("ctx").alias("_ctx")), F.col("ctx") == F.col("_ctx"), "left_semi").select("key", "n", "s1", "s2")
 
     wanted = contexts.join(cores, F.col("core") == F.col("_core")).select("core", "ctx", "many", "lo.*").groupBy("key", "n").agg(F.collect_list(F.struct("core", "ctx", "a", "s1", "s2")).alias("wanted"))
-    bytes_ = materialise(
-        texts.join(wanted, ["key", "n"]).select("key", "n", "text", "wanted").mapInArrow(cut_contexts(length), ANCHOR + ", left binary, right binary"), "bytes"
-    )
+    single = texts.select("key", "n", "text")
+    if hot:
+        single = single.where(~F.col("key").isin(hot)).union(single.where(F.col("key").isin(hot)).mapInArrow(unseen, single.schema))
+    bytes_ = materialise(single.join(wanted, ["key", "n"]).select("key", "n", "text", "wanted").mapInArrow(cut_contexts(length), ANCHOR + ", left binary, right binary"), "bytes")
     grouped = bytes_.join(cores.where(F.col("many") <= group_contexts), F.col("core") == F.col("_core")).drop("_core", "many")
-    partly = grouped.repartition("core").mapInArrow(solve_groups, "key long, n int, s1 int, s2 int")
+    partly = grouped.repartition("core").sortWithinPartitions("core").mapInArrow(solve_groups(length), "key long, n int, s1 int, s2 int")
+    spent = [bytes_, contexts, cores, found, copies]
     if cores.where(F.col("many") > group_contexts).limit(1).count():
         large = bytes_.join(cores.where(F.col("many") > group_contexts), F.col("core") == F.col("_core"), "left_semi").dropDuplicates(["core", "ctx"])
         windows = materialise(large.mapInArrow(hash_windows(length), "h long, key long, n int, s1 int"), "windows")
+        spent.append(windows)
         where = F.struct("key", "n", "s1")
         many = windows.groupBy("h").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo != hi").select("h")
         partly = partly.unionByName(windows.join(many, "h", "left_semi").select("key", "n", "s1", F.col("s1").alias("s2")))
-    copies = texts.groupBy("key", "n").agg(F.count("*").alias("c")).where("c > 1").select("key", "n", F.lit(0).alias("s1"), (F.col("n") - length).alias("s2"))
-    covered = same.unionByName(partly).unionByName(copies).groupBy("key", "n").agg(F.collect_list(F.struct("s1", "s2")).alias("found"))
+    whole = copies.select("key", "n", F.lit(0).alias("s1"), (F.col("n") - length).alias("s2"))
+    covered = same.unionByName(partly).unionByName(whole).groupBy("key", "n").agg(F.collect_list(F.struct("s1", "s2")).alias("found"))
     covered = materialise(covered, "covered")
-    for t in (bytes_, contexts, cores, found):
+    for t in spent:
         drop_table(t)
-    rows = keyed_texts(docs, *[c for c in carry if c != "text"]).join(covered, ["key", "n"], "left")
+    return covered, hot
+
+
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = 400, group_contexts: int = 100_000, min_words: int = 0) -> DataFrame:
+    """carry, n_bytes, removed (runs of places), kept (bytes), kept_text for each row of docs.
+
+    With min_words, only runs that hold so many words (between ASCII white space) are cut; shorter ones stay.
+    """
+    if length < 64:
+        raise ValueError("length must be at least 64")
     names = [c for c in carry if c != "text"]
+    reserve(names, ["n_bytes", "removed", "kept", "kept_text", "_key", "_n", "_salt", "_found"])
+    covered, hot = find_repeats(docs, length, group_contexts)
+    # Texts too short to repeat meet nothing, so each has a key of its own; copies of frequent texts are spread.
+    text, digest, size = whole_text()
+    number = F.monotonically_increasing_id()
+    salt = F.when(digest.isin(hot) & (size >= length), F.pmod(number, F.lit(SALTS)).cast("int")).otherwise(0) if hot else F.lit(0)
+    keyed = docs.select(*names, text.alias("text"), F.when(size >= length, digest).otherwise(number).alias("_key"), F.when(size >= length, size).otherwise(-1).alias("_n"), salt.alias("_salt"))
+    salts = F.when(F.col("key").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+    sides = covered.select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.explode(salts).alias("_salt"), F.col("found").alias("_found"))
+    rows = keyed.join(sides, ["_key", "_n", "_salt"], "left")
     schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
-    return rows.select(*names, "text", "found").mapInArrow(cut_out(names, length), schema)
+    return rows.select(*names, "text", "_found").mapInArrow(cut_out(names, length, min_words), schema)
 
 
 def repeat_digest(cut: DataFrame) -> DataFrame:

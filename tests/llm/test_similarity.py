@@ -109,8 +109,13 @@ def brute_repeats(rows, length=400):
     return out
 
 
-@pytest.mark.parametrize("group", [100_000, 1])
-def test_repeats(spark, hard, group):
+@pytest.mark.parametrize("group,length,hot,once", [(100_000, 400, 1000, 20_000), (1, 400, 1000, 20_000), (100_000, 240, 2, 5), (1, 240, 2, 5), (100_000, 64, 1000, 50)])
+def test_repeats(spark, hard, group, length, hot, once, monkeypatch):
+    """All paths: cores solved in a task or counted by hash (group), frequent texts spread (hot), groups solved piecemeal (once)."""
+    from penstock.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "HOT_COPIES", hot)
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", once)
     rows = [(r.doc_id, r.text) for r in hard.collect() if r.doc_id != 13 or len(r.text) < 9000]
     r = random.Random(8)
     passages = [prose(100, 400 + k)[: r.randint(380, 620)] for k in range(5)]
@@ -120,8 +125,20 @@ def test_repeats(spark, hard, group):
         rows.append((100 + k, prose(r.randint(0, 30), 500 + k) + p[a : len(p) - b] + prose(r.randint(0, 30), 600 + k)))
     rows += [(300, "ab" * 600), (301, "z" * 401), (302, "q" * 400), (303, "é" * 300 + "x"), (304, "y" + "é" * 300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = Counter(tuple(x) for x in repeat_digest(remove_repeats(docs, group_contexts=group)).collect())
-    assert got == brute_repeats(rows)
+    got = Counter(tuple(x) for x in repeat_digest(remove_repeats(docs, group_contexts=group, length=length)).collect())
+    assert got == brute_repeats(rows, length)
+
+
+def test_repeats_of_many_words_alone(spark):
+    """Runs of fewer words than min_words stay; columns of any other name are carried."""
+    long_, short = prose(60, 1), "x" * 300 + " " + "y" * 50
+    rows = [(1, f"{prose(20, 2)} {long_} {prose(20, 3)}"), (2, f"{prose(25, 4)} {long_} {prose(9, 5)}"), (3, f"{prose(20, 6)} {short} {prose(20, 7)}"), (4, short), (5, short)]
+    docs = spark.createDataFrame(rows, "key long, text string").selectExpr("key", "text", "7 as n", "8 as found")
+    got = {r.key: r for r in remove_repeats(docs, ("key", "n", "found"), length=240, min_words=50).collect()}
+    assert [len(got[k].removed) for k in range(1, 6)] == [1, 1, 0, 0, 0]
+    assert long_[5:-5] not in got[1].kept_text and got[4].kept_text == short and (got[5].n, got[5].found) == (7, 8)
+    with pytest.raises(ValueError):
+        remove_repeats(docs.selectExpr("key as removed", "text"), ("removed",))
 
 
 def test_long_texts_in_stretches(spark, monkeypatch):
