@@ -50,6 +50,30 @@ def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, at_once: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by a column of longs: about at_once rows each, or one larger group."""
+    held, rows, last = [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column(batch.schema.get_field_index(column)).to_numpy()
+        cut = int(np.searchsorted(group, group[-1]))  # rows before the last group, which may go on
+        if rows + cut >= at_once and (cut or group[0] != last):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held, rows, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        rows += batch.num_rows
+        last = group[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def hot_keys(keyed: DataFrame, column: str, least: int) -> list[int]:
+    """Keys with a thousandth of all rows or more, and `least` rows at any rate: a thousand keys at most, whatever the input."""
+    counts = keyed.groupBy(column).agg(F.count("*").alias("c")).where(F.col("c") >= max(least, keyed.count() // 1000))
+    return [r[0] for r in counts.select(column).collect()]
+
+
 def reserve(carry: Iterable[str], names: list[str]) -> None:
     """Raise if a carried column has the name of a result or of a column made on the way."""
     if clash := sorted({c.lower() for c in carry} & set(names)):

@@ -16,7 +16,8 @@
 
 Nulls and edge cases: a null, empty or blank text has no shingles and is linked with nothing; texts of one to four words have
 one shingle; a null doc_id is linked like any other but never names a class that has another id; repeated rows are in one
-class; an empty table gives an empty result; other columns are ignored.
+class; an empty table gives an empty result; other columns are ignored. A similarity of just 0.75 links. A very long text is one set,
+in memory at once (8 bytes a word). Texts with a thousandth of all rows as copies are thinned out in their tasks before copies meet.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, drop_table, hash_words, materialise, partitions, pieces, text_buffer, window_hashes, words
+from .common import LOWER, NOT_SPACE, drop_table, hash_words, hot_keys, materialise, partitions, pieces, reserve, text_buffer, whole_groups, window_hashes, words
 from .components import connected_components
 
 WORDS = 5
@@ -40,6 +41,11 @@ NEED, OF = 75, 100
 #: Bytes of text handled at once, and how many sets of such a slice make a shingle worth counting.
 SLICE = 2 << 20
 OFTEN = 4
+#: Sampled shingles of a bucket, which a task holds at once; rows of sets that a task turns into edges at once.
+BUCKET = 4_000_000
+SETS_AT_ONCE = 20_000
+#: A text is very frequent from so many copies on, or a thousandth of all rows where that is more.
+HOT_COPIES = 1000
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -169,7 +175,7 @@ def deal_samples(buckets: int, shared=None) -> callable:
                     at[at == common.size] = 0
                     rare = common[at] != token >> np.uint64(16)
                     own, token = own[rare], token[rare]
-                bucket = (token & np.uint64(0xFFFF)).astype(np.int64) * buckets >> 16
+                bucket = (token & np.uint64(0xFFFFFF)).astype(np.int64) * buckets >> 24
                 order = np.argsort(bucket, kind="stable")
                 token, own, bucket = token[order] >> np.uint64(16), own[order], bucket[order]
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -190,16 +196,20 @@ def deal_samples(buckets: int, shared=None) -> callable:
 
 
 def shared_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each set of this partition's buckets: its sampled shingles that other sets have too, with their number of sets and one set."""
+    """For each set and bucket: its sampled shingles that other sets have too, with their number of sets and one set."""
+    for t in whole_groups(batches, "bucket", 1):
+        yield from shared_in_bucket(t)
+
+
+def shared_in_bucket(t: pa.Table) -> Iterator[pa.RecordBatch]:
     low, high, sigs, sizes = [], [], [], []
-    for batch in batches:
-        for r in batch.to_pylist():
-            lo = np.frombuffer(r["low"], "<u4")
-            own = np.frombuffer(r["own"], "<u2" if len(r["own"]) == 2 * lo.size else "<u4")
-            low.append(lo)
-            high.append(np.frombuffer(r["high"], "<u2"))
-            sigs.append(np.frombuffer(r["sig"], "<i8")[own])
-            sizes.append(np.frombuffer(r["size"], "<u4")[own])
+    for lo, hi, own, sig, size in zip(*(t[c].to_pylist() for c in ("low", "high", "own", "sig", "size"))):
+        lo = np.frombuffer(lo, "<u4")
+        own = np.frombuffer(own, "<u2" if len(own) == 2 * lo.size else "<u4")
+        low.append(lo)
+        high.append(np.frombuffer(hi, "<u2"))
+        sigs.append(np.frombuffer(sig, "<i8")[own])
+        sizes.append(np.frombuffer(size, "<u4")[own])
     if not low:
         return
     token = np.concatenate(low).astype(np.uint64) | np.concatenate(high).astype(np.uint64) << np.uint64(32)
@@ -239,16 +249,18 @@ def shared_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def prefix_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): a set and a set that has one of its rarest sampled shingles; nothing for sets that share too few."""
+    """(a, b): a set and a set that has one of its rarest sampled shingles; nothing for sets that share too few. Rows come in order of set."""
+    for t in whole_groups(batches, "sig", SETS_AT_ONCE):
+        yield from edges_of_sets(t)
+
+
+def edges_of_sets(t: pa.Table) -> Iterator[pa.RecordBatch]:
     parts = {c: [] for c in ("sig", "n", "df", "token", "root")}
-    for batch in batches:
-        size = [len(x) // 4 for x in batch.column(2).to_pylist()]
-        parts["sig"].append(np.repeat(batch.column(0).to_numpy(), size))
-        parts["n"].append(np.repeat(batch.column(1).to_numpy(), size))
-        for k, (c, kind) in enumerate((("df", "<u4"), ("token", "<u8"), ("root", "<i8"))):
-            parts[c].append(np.frombuffer(b"".join(batch.column(2 + k).to_pylist()), kind))
-    if not parts["sig"]:
-        return
+    size = [len(x) // 4 for x in t["df"].to_pylist()]
+    parts["sig"].append(np.repeat(t["sig"].to_numpy(), size))
+    parts["n"].append(np.repeat(t["n"].to_numpy(), size))
+    for c, kind in (("df", "<u4"), ("token", "<u8"), ("root", "<i8")):
+        parts[c].append(np.frombuffer(b"".join(t[c].to_pylist()), kind))
     sig, n, df, token, root = (np.concatenate(v) for v in parts.values())
     order = np.lexsort((token, df, sig))
     sig, n, root, token = sig[order], n[order], root[order], token[order]
@@ -266,13 +278,20 @@ def prefix_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """unit, sig and the whole set, for each unit a candidate belongs to."""
+    """unit, sig and the whole set, for each unit a candidate belongs to; copies that meet in this task go once."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         for part in pieces(batch, SLICE):
             sets = [s.astype("<u8").tobytes() for s in shingle_sets(part.column(part.schema.get_field_index("text")))]
             units = part.column(part.schema.get_field_index("units")).to_pylist()
             sig = part.column(part.schema.get_field_index("sig")).to_pylist()
-            rows = [(u, g, s) for us, g, s in zip(units, sig, sets) for u in us]
+            rows = []
+            for us, g, s in zip(units, sig, sets):
+                if (g, us[0]) not in seen:
+                    seen.add((g, us[0]))
+                    rows += [(u, g, s) for u in us]
+            if len(seen) > 100_000:
+                seen.clear()
             for a in range(0, len(rows), 500):
                 u, g, s = zip(*rows[a : a + 500])
                 yield pa.record_batch([pa.array(u, pa.int64()), pa.array(g, pa.int64()), pa.array(s, pa.binary())], ["unit", "sig", "grams"])
@@ -417,48 +436,95 @@ def split_components(members: DataFrame, texts: DataFrame, large: DataFrame, uni
     return links, state.join(sizes, "root").select("key", "sig", units.alias("units"))
 
 
-def near_duplicate_classes(docs: DataFrame, unit_shingles: int = 8_000_000, hot_sets: int = 20_000) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs.
+def once_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose key this task has not met; there are few different keys."""
+    seen: set[int] = set()
+    for batch in batches:
+        keep = []
+        for i, k in enumerate(batch.column(batch.schema.get_field_index("key")).to_pylist()):
+            if k not in seen:
+                seen.add(k)
+                keep.append(i)
+        if keep:
+            yield batch.take(pa.array(keep))
 
-    A task's unit holds about unit_shingles shingles at most; a shingle of hot_sets sets or more is not dealt to a task.
-    """
+
+def classified(docs: DataFrame, unit_shingles: int, hot_sets: int) -> DataFrame:
+    """doc_id, key of the text, n and class of each row of docs."""
     text = F.coalesce("text", F.lit(""))
-    key = F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("key"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key().alias("key"))
     described = materialise(texts.mapInArrow(describe, "doc_id long, key long, n long, sig long"), "sets")
 
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    shingles = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tasks = partitions(spark)
+    buckets = tasks * max(1, -(-2 * shingles // (5 * BUCKET * tasks)))
     common = common_shingles(texts, hot_sets)
     known = None
     if common.num_rows:
         known = spark.sparkContext.broadcast((common["token"].to_numpy().astype(np.uint64), common["n"].to_numpy(), common["root"].to_numpy()))
     dealt = texts.select("text").mapInArrow(deal_samples(buckets, known), "bucket int, low binary, high binary, own binary, sig binary, size binary")
-    shared = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(shared_shingles, "sig long, n long, df binary, token binary, root binary")
+    dealt = dealt.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket")
+    shared = dealt.mapInArrow(shared_shingles, "sig long, n long, df binary, token binary, root binary")
     if known is not None:
         shared = shared.union(texts.select("text").mapInArrow(own_common_shingles(known), "sig long, n long, df binary, token binary, root binary"))
-    edges = materialise(shared.repartition("sig").mapInArrow(prefix_edges, "a long, b long"), "candidates")
+    edges = materialise(shared.repartition("sig").sortWithinPartitions("sig").mapInArrow(prefix_edges, "a long, b long"), "candidates")
     candidates = connected_components(edges)
 
     # One text stands for each class of equal sets.
     stand = described.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.first("n").alias("n"))
     members = materialise(candidates.join(stand, F.col("node") == F.col("sig")).select("sig", "key", "n", "root"), "members")
     sizes = materialise(members.groupBy("root").agg(F.sum("n").alias("total")), "sizes")
+    single = texts.select("key", "text")
+    if hot := hot_keys(described, "key", HOT_COPIES):
+        single = single.where(~F.col("key").isin(hot)).union(single.where(F.col("key").isin(hot)).mapInArrow(once_per_task, single.schema))
     large = sizes.where(F.col("total") > unit_shingles)
     placed = members.join(sizes.where(F.col("total") <= unit_shingles), "root").select("key", "sig", F.array("root").alias("units"))
     split = large.limit(1).count() > 0
     if split:
-        pivoted, rest = split_components(members, texts, large, unit_shingles)
+        pivoted, rest = split_components(members, single, large, unit_shingles)
         placed = placed.unionByName(rest)
     # Members grow with the corpus, so they are never broadcast, however few they are.
-    sets = texts.select("key", "text").join(placed.hint("merge"), "key").mapInArrow(send_sets, "unit long, sig long, grams binary")
+    sets = single.join(placed.hint("merge"), "key").mapInArrow(send_sets, "unit long, sig long, grams binary")
     links = materialise(sets.repartition("unit").sortWithinPartitions("unit").mapInArrow(solve_units, "a long, b long"), "links")
     classes = connected_components(links.union(pivoted)) if split else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-    rows = described.join(classes, F.col("sig") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "sig").alias("class"))
+    rows = described.join(classes, F.col("sig") == F.col("node"), "left").select("doc_id", "key", "n", F.coalesce("root", "sig").alias("class"))
     rows = materialise(rows, "classes")
-    least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     for t in (edges, members, sizes, links, described):
         drop_table(t)
-    named = rows.join(least, "class", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows
+
+
+def text_key() -> Column:
+    """The first 64 bits of the MD5 of the text (null: empty)."""
+    return F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 16), 16, -10).cast("long")
+
+
+def near_duplicate_classes(docs: DataFrame, unit_shingles: int = 2_000_000, hot_sets: int = 20_000) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs.
+
+    A task's unit holds about unit_shingles shingles at most; a shingle of hot_sets sets or more is not dealt to a task.
+    """
+    rows = classified(docs, unit_shingles, hot_sets)
+    least = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # Rows without shingles are in no class, and would all meet in one key.
+    named = rows.where("n > 0").join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    return named.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def first_of_each_class(docs: DataFrame, carry: tuple[str, ...], unit_shingles: int = 2_000_000, hot_sets: int = 20_000) -> DataFrame:
+    """The columns carry of one row of each class, and of all rows whose text has no words.
+
+    The row of least doc_id (null last) stays, of several the one whose text hashes lowest; of rows equal in both any one.
+    """
+    reserve(carry, ["_key", "_doc_id"])
+    rows = classified(docs, unit_shingles, hot_sets)
+    first = rows.where("n > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("w")).select(F.col("w.doc_id").alias("_doc_id"), F.col("w.key").alias("_key"))
+    words = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    own = docs.select(*carry, *[c for c in ("doc_id", "text") if c not in carry])
+    # A key of its own for what has no words, so that such rows meet nothing and nobody.
+    keyed = own.withColumn("_key", text_key())
+    kept = keyed.where(words).join(first, (F.col("doc_id").cast("long").eqNullSafe(first["_doc_id"])) & (keyed["_key"] == first["_key"]), "left_semi")
+    if rows.where("n > 0").groupBy("doc_id", "key").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", "_key"])
+    return kept.select(*carry).unionByName(own.where(~words).select(*carry))

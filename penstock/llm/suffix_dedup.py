@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX, drop_table, materialise, mix64, pieces, reserve, text_buffer
+from .common import MIX, drop_table, materialise, mix64, pieces, reserve, text_buffer, whole_groups
 from .suffix_array import common_prefixes, suffix_array
 
 STRETCH = 1 << 18
@@ -273,10 +273,7 @@ def solve_groups(length: int) -> callable:
     """Window starts that repeat, from contexts that come in order of core; some ten thousand are held at once."""
     width = span_of(length) - 1
 
-    def solved(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not batches:
-            return
-        t = pa.Table.from_batches(batches)
+    def solved(t: pa.Table) -> Iterator[pa.RecordBatch]:
         col = {c: t[c].to_numpy() for c in ("core", "ctx", "key", "n", "a", "s1", "s2")}
         order = np.lexsort((col["ctx"], col["core"]))
         core, ctx = col["core"][order], col["ctx"][order]
@@ -291,19 +288,8 @@ def solve_groups(length: int) -> callable:
             yield pa.record_batch([pa.array(col["key"][row]), pa.array(col["n"][row]), pa.array((anchor[row] - u2).astype(np.int32)), pa.array((anchor[row] - u1).astype(np.int32))], ["key", "n", "s1", "s2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, last = [], 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            core = batch.column(batch.schema.get_field_index("core")).to_numpy()
-            cut = int(np.searchsorted(core, core[-1]))  # rows before the last group, which may go on
-            if rows + cut >= AT_ONCE and (cut or core[0] != last):
-                yield from solved([*held, batch.slice(0, cut)])
-                held, rows, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            rows += batch.num_rows
-            last = core[-1]
-        yield from solved(held)
+        for t in whole_groups(batches, "core", AT_ONCE):
+            yield from solved(t)
 
     return run
 

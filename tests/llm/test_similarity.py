@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from penstock.llm.components import connected_components
-from penstock.llm.ngram_jaccard import near_duplicate_classes
+from penstock.llm.ngram_jaccard import first_of_each_class, near_duplicate_classes
 from penstock.llm.suffix_array import common_prefixes, suffix_array
 from penstock.llm.suffix_dedup import remove_repeats, repeat_digest
 
@@ -48,11 +48,15 @@ def edited(text, seed, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("unit,hot", [(8_000_000, 20_000), (600, 20_000), (8_000_000, 6), (600, 6)])
-def test_classes(spark, hard, unit, hot, monkeypatch):
+@pytest.mark.parametrize("unit,hot,once", [(8_000_000, 20_000, 20_000), (600, 20_000, 3), (8_000_000, 6, 20_000), (600, 6, 3)])
+def test_classes(spark, hard, unit, hot, once, monkeypatch):
+    """All paths: components in a task or split (unit), common shingles apart (hot), buckets, groups and frequent texts (once)."""
     from penstock.llm import ngram_jaccard
 
     monkeypatch.setattr(ngram_jaccard, "OFTEN", 2)
+    monkeypatch.setattr(ngram_jaccard, "SETS_AT_ONCE", once)
+    monkeypatch.setattr(ngram_jaccard, "BUCKET", 100 * once)
+    monkeypatch.setattr(ngram_jaccard, "HOT_COPIES", once)
     rows = [(r.doc_id, r.text) for r in hard.collect()]
     for b in range(6):
         base = prose(60 + 20 * b, 50 + b)
@@ -67,6 +71,17 @@ def test_classes(spark, hard, unit, hot, monkeypatch):
 
 def test_classes_empty(empty):
     assert near_duplicate_classes(empty).count() == 0
+    assert first_of_each_class(empty, ("doc_id", "text")).count() == 0
+
+
+def test_first_of_each_class(spark):
+    """Rows are told apart by id and text: one of a class stays, all without words stay."""
+    t, u, v = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(6, t), (13, t), (13, u), (13, u), (None, v), (None, v + " end"), (2, None), (2, ""), (None, " "), (None, " "), (20, prose(40, 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as n").repartition(3)
+    got = Counter(tuple(r) for r in first_of_each_class(docs, ("doc_id", "text", "n")).collect())
+    signed = min((int.from_bytes(hashlib.md5(x.encode()).digest()[:8], "big", signed=True), x) for x in (v, v + " end"))[1]
+    assert got == Counter([(6, t, 1), (13, u, 1), (None, signed, 1), (2, None, 1), (2, "", 1), (None, " ", 1), (None, " ", 1), (20, prose(40, 9), 1)])
 
 
 def test_components(spark):
