@@ -5,7 +5,7 @@ Parquet and read again. All but the last return the columns of documents.
 
 toxicity          rows whose score is 0.5 or more go; the classifier is fitted on labelled rows of docs
 near_duplicates   of each class of linked texts the row with the least doc_id stays; texts without words stay all
-repeats           bytes of passages of 400 bytes that occur elsewhere are cut out of the text
+repeats           passages of 50 words and 240 bytes or more that occur elsewhere are cut out of the text
 decontamination   rows with a passage of the benchmark go
 packing           what is left becomes pieces of sequences of 1024 tokens
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penstock.llm.common import materialise
+from penstock.llm.common import drop_table, materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,19 +30,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from penstock.llm.ngram_jaccard import near_duplicate_classes
+    from penstock.llm.ngram_jaccard import first_of_each_class
 
-    classes = near_duplicate_classes(docs)
-    # The row that stays is the one whose doc_id names its class; rows that share a doc_id are told apart by their text.
-    stay = classes.where("n_shingles > 0 and doc_id = component_id or n_shingles = 0 or component_id is null").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(stay.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    return first_of_each_class(docs, COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from penstock.llm.suffix_dedup import remove_repeats
 
-    cut = remove_repeats(docs, COLUMNS)
+    cut = remove_repeats(docs, COLUMNS, length=240, min_words=50)
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
@@ -65,10 +61,14 @@ STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("repeat
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialise(docs, f"stage-{name}")
+            if before is not None:
+                drop_table(before)
+            before = docs
     return docs
 
 
