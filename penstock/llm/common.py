@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,29 +21,83 @@ MIX = np.uint64(0xD6E8FEB86659FD93)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
+#: Paths of tables written within `with scratch(...)`, innermost last.
+_scratch: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or /tmp/checkpoints where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
+    """The folder that driver and executors share: spark.checkpoint.dir; on a local master /tmp/checkpoints where that is unset."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "/tmp/checkpoints"
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, noted for scratch()."""
+    path = f"{shared_folder(spark)}/penstock-{name}-{uuid.uuid4().hex}"
+    for noted in _scratch:
+        noted.append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end all tables and files that operators called within have left in the shared folder.
+
+    Results are lazy and read those tables: write or collect them before the end.
+    """
+    noted: list[str] = []
+    _scratch.append(noted)
+    try:
+        yield noted
+    finally:
+        _scratch.remove(noted)
+        for path in noted:
+            delete_path(spark, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/penstock-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
 
 
-def drop_table(df: DataFrame) -> None:
+def drop_table(table: DataFrame) -> None:
     """Delete the files of a table from materialise() that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/penstock-" in path:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    delete_path(table.sparkSession, table._written_to)
+
+
+def bounded_rows(features: DataFrame, max_rows: int, max_size: int) -> pa.Table:
+    """Rows of a feature table (place, h, size, ...) for training on the driver: by h, at most max_rows, of max_size together.
+
+    Only (h, size, place) of max_rows rows is sorted; a row that would exceed max_size is passed over.
+    """
+    table = materialise(features, "features")
+    first = table.select("h", "size", "place").orderBy("h", "size", "place").limit(max_rows).collect()
+    chosen, total = [], 0
+    for r in first:
+        if total + r["size"] <= max_size:
+            total += r["size"]
+            chosen.append((r["place"],))
+    keys = F.broadcast(table.sparkSession.createDataFrame(chosen, "place long"))  # max_rows numbers at most
+    got = table.join(keys, "place", "left_semi").toArrow()
+    drop_table(table)
+    return got.sort_by([("h", "ascending"), ("size", "ascending"), ("place", "ascending")])
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:

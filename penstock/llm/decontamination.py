@@ -6,12 +6,14 @@ and as a window must be contained entirely, its prefix is its one rarest shingle
 the windows on that token; the token's place gives the alignment, the length bound drops alignments that leave the
 document, hashes of all positions are compared, and what remains is verified byte by byte.
 
-The index of a block of items is broadcast; a block holds at most ``block_bytes`` of item text (one larger item is a
-block of its own). Larger benchmarks take one pass over the documents per block, and hits add up.
+Equal items are one, and long ones are cut in Spark into parts of ``part_words`` words that overlap by a window less a word, so
+they have the same windows. The index of a block of parts is broadcast; a block holds about ``block_bytes`` of their text, twice that at most,
+and its index takes about ten times as much. Larger benchmarks take one pass over the documents per block, and hits add up.
 
 Nulls and edge cases: null or empty texts and items have no words; a null item_id is the id "null"; items with
 equal text all count; repeated rows are each reported; no items or no documents give no hits; any column may be
-carried along.
+carried along, but for those named n_words, hits or items (ValueError); of equally rare shingles the one with the lower hash counts;
+very long documents are searched whole, in a slice of one text.
 """
 
 from __future__ import annotations
@@ -20,11 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, hash_words, materialise, pieces, text_buffer, window_hashes, words
+from .common import ALNUM, LOWER, drop_table, hash_words, materialise, pieces, reserve, text_buffer, window_hashes, words
 
 RUN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -62,31 +64,47 @@ class Words:
         return at, h[at]
 
 
+def ranges(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, value) of first[i], first[i] + 1, ... many[i] times each."""
+    owner = np.repeat(np.arange(first.size), many)
+    return owner, first[owner] + np.arange(owner.size) - np.repeat(np.cumsum(many) - many, many)
+
+
 class WindowIndex:
-    """Distinct windows of a block of items with the items they come from."""
+    """Distinct windows of a block of items, as places in their words' text, with the items they come from."""
 
     def __init__(self, items: list[tuple[str, str]], window: int, shingle: int):
-        found: dict[bytes, set[str]] = {}
         w = Words(pa.array([t for _, t in items], pa.string()))
-        joined, at = w.joined()
-        for i, (item, _) in enumerate(items):
-            a, n = int(w.first[i]), int(w.count[i])
-            size = min(n, window)
-            for s in range(a, a + n - size + 1 if n else a):
-                found.setdefault(joined[at[s] : at[s + size] - 1], set()).add(item)
-        self.text = sorted(found)
-        self.items = [sorted(found[t]) for t in self.text]
-        self.words = np.array([t.count(b" ") + 1 for t in self.text], np.int64)
-        v = Words(pa.array([t.decode() for t in self.text], pa.string()))
-        self.hash = np.array([window_hashes(v.hash[f : f + n], n)[0] for f, n in zip(v.first.tolist(), v.count.tolist())], np.uint64)
+        self.text, at = w.joined()
+        self.names = sorted({item for item, _ in items})
+        place = {x: k for k, x in enumerate(self.names)}
+        item = np.array([place[x] for x, _ in items], np.int64)
+        size = np.minimum(w.count, window)
+        owner, start = ranges(w.first, np.where(size > 0, w.count - size + 1, 0))
+        size = size[owner]
+        hashed = np.zeros(start.size, np.uint64)
+        for n in np.unique(size).tolist():
+            hashed[size == n] = window_hashes(w.hash, n)[start[size == n]]
+        order = np.lexsort((item[owner], size, hashed))
+        owner, start, size, hashed = owner[order], start[order], size[order], hashed[order]
+        begin, end = at[start], at[start + size] - 1
+        new = np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (size[1:] != size[:-1])])[: start.size]
+        for k in np.flatnonzero(~new).tolist():  # equal hashes: by their bytes
+            new[k] = self.text[begin[k] : end[k]] != self.text[begin[k - 1] : end[k - 1]]
+        first = np.flatnonzero(new)
+        self.begin, self.end, self.words, self.hash = begin[first], end[first], size[first], hashed[first]
+        self.item, self.item_cut = item[owner].astype(np.int32), np.append(first, start.size)
         self.tokens: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # shingle size -> window, offset, hash
-        for n in sorted(set(np.minimum(self.words, shingle).tolist())):
-            place, h = v.shingles(n)
-            own = np.minimum(self.words[v.row[place]], shingle) == n
-            place, h = place[own], h[own]
-            self.tokens[n] = v.row[place], place - v.first[v.row[place]], h
+        own_size = np.minimum(self.words, shingle)
+        for n in np.unique(own_size).tolist():
+            own = np.flatnonzero(own_size == n)
+            k, place_ = ranges(start[first[own]], self.words[own] - n + 1)
+            self.tokens[n] = own[k], place_ - start[first[own]][k], window_hashes(w.hash, n)[place_]
         self.vocabulary = {n: np.unique(h) for n, (_, _, h) in self.tokens.items()}
 
+    def items_of(self, windows: np.ndarray) -> set[str]:
+        return {self.names[i] for k in windows.tolist() for i in self.item[self.item_cut[k] : self.item_cut[k + 1]].tolist()}
+
     def order_by_rarity(self, frequency: dict[tuple[int, int], int]) -> None:
         """Keep each window's rarest shingle; ties go to the lower hash, then the earlier place."""
         self.prefix = {}
@@ -111,11 +129,11 @@ def count_shingles(shared) -> callable:
     """Documents that hold each shingle of the index, a row per slice and shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        vocabulary = shared.value
         for batch in batches:
             for part in pieces(batch):
                 w = Words(part.column(0))
-                for n, table in index.vocabulary.items():
+                for n, table in vocabulary.items():
                     place, h = w.shingles(n)
                     hit, k = member(h, table)
                     if hit.size:
@@ -152,7 +170,7 @@ def search(index: WindowIndex, w: Words) -> tuple[np.ndarray, np.ndarray]:
     if start.size:
         joined, at = w.joined()
         size = index.words[which]
-        ok = [joined[a:b] == index.text[k] for a, b, k in zip(at[start].tolist(), (at[start + size] - 1).tolist(), which.tolist())]
+        ok = [joined[a:b] == index.text[c:d] for a, b, c, d in zip(at[start].tolist(), (at[start + size] - 1).tolist(), index.begin[which].tolist(), index.end[which].tolist())]
         start, which = start[ok], which[ok]
     return start, which
 
@@ -190,7 +208,7 @@ def find_hits(shared, carry: list[str], first: bool) -> callable:
                     new = runs_of(s, s + index.words[which[a:b]])
                     old = np.array([*hits[r], *new], np.int64)
                     hits[r] = runs_of(old[:, 0], old[:, 1])
-                    items[r] = sorted({*items[r], *(x for k in set(which[a:b].tolist()) for x in index.items[k])})
+                    items[r] = sorted({*items[r], *index.items_of(np.unique(which[a:b]))})
                 arrays = {c: part.column(part.schema.get_field_index(c)) for c in [*carry, "text"]}
                 arrays["n_words"] = pa.array(w.count, pa.int64())
                 arrays["hits"] = pa.array([[{"start": a, "end": b} for a, b in v] for v in hits], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
@@ -200,34 +218,53 @@ def find_hits(shared, carry: list[str], first: bool) -> callable:
     return run
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[int]:
-    """How to cut the items: row counts are never collected, only the total size is."""
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    return list(range(max(1, -(-int(total) // block_bytes))))
+def item_parts(benchmark: DataFrame, window: int, part_words: int) -> DataFrame:
+    """(item_id, text) of distinct items; of a long one, parts that together have its windows."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = items.select("item_id", F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0).alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)), F.lit(part_words))
+    return split.select("item_id", "w", F.explode(starts).alias("a")).select("item_id", F.array_join(F.slice("w", F.col("a"), part_words + window - 1), " ").alias("text")).distinct()
+
+
+def item_blocks(parts: DataFrame, block_bytes: int) -> int:
+    """Into how many blocks to deal parts by hash so that none holds more than twice block_bytes, or four parts; one size comes to the driver."""
+    size = F.octet_length("text") + 1
+    total, largest = parts.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    blocks = max(1, -(-int(total) // block_bytes))
+    while blocks > 1 and parts.groupBy(block_of(blocks)).agg(F.sum(size).alias("s")).agg(F.max("s")).first()[0] > max(2 * block_bytes, 4 * largest):
+        blocks *= 2
+    return blocks
+
+
+def block_of(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
 
 
 def find_benchmark_passages(
-    docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",), window: int = 10, shingle: int = 3, block_bytes: int = 16 << 20
+    docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",), window: int = 10, shingle: int = 3, block_bytes: int = 8 << 20, part_words: int = 20_000
 ) -> DataFrame:
     """carry, text, n_words, hits (runs of word places covered by a window) and items (ids), per row of docs."""
+    reserve(carry, ["n_words", "hits", "items"])
     spark = docs.sparkSession
     docs = docs.select(*carry, *([] if "text" in carry else ["text"]))
     names = [c for c in carry if c != "text"]
     texts = docs.select("text")
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = item_blocks(items, block_bytes)
+    parts = materialise(item_parts(benchmark, window, part_words), "items")
+    blocks = item_blocks(parts, block_bytes)
     out = docs
-    for b in blocks:
-        part = items if len(blocks) == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(len(blocks))) == b)
+    for b in range(blocks):
+        part = parts if blocks == 1 else parts.where(block_of(blocks) == b)
         index = WindowIndex([(r.item_id, r.text) for r in part.collect()], window, shingle)
-        counting = spark.sparkContext.broadcast(index)
+        counting = spark.sparkContext.broadcast(index.vocabulary)
         counts = texts.mapInArrow(count_shingles(counting), "n int, k long, df long").groupBy("n", "k").agg(F.sum("df").alias("df")).collect()
         index.order_by_rarity({(r.n, r.k): r.df for r in counts})
         counting.unpersist()
         schema = T.StructType([*[docs.schema[c] for c in names], docs.schema["text"], T.StructField("n_words", T.LongType()), T.StructField("hits", RUN), T.StructField("items", T.ArrayType(T.StringType()))])
         out = out.mapInArrow(find_hits(spark.sparkContext.broadcast(index), names, b == 0), schema)
-        if b + 1 < len(blocks):
+        if b + 1 < blocks:
             out = materialise(out, "decontamination")
+    drop_table(parts)
     return out
 
 

@@ -8,7 +8,8 @@ On other hosts a document stays unless it fails the base rules.
 
 Nulls and edge cases: a null or empty text has no words and so fails the base rules; a null host is
 no host (its documents are judged alone); repeated rows count as often as they occur; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored; a rate equal to ``host_rate`` rejects a host; a very long text is measured whole
+within its row, by a sort of its windows. Windows are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, reserve
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: name -> rule on the base measures (true: broken). The first two are the base rules.
@@ -61,7 +62,7 @@ def repeated_words(w: Column) -> Column:
         )
         return let(F.sort_array(windows), from_sorted)
 
-    return F.when(F.size(w) >= 6, let(w, from_words)).when(F.size(w) >= 4, let(w, from_words)).otherwise(0)
+    return F.when(F.size(w) >= 4, let(w, from_words)).otherwise(0)
 
 
 def base_measures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
@@ -119,14 +120,17 @@ def host_verdicts(measured: DataFrame, host: str = "source", host_rate: float =
 
 def apply_quality_rules(docs: DataFrame, host: str = "source", text: str = "text", host_rate: float = 0.5) -> DataFrame:
     """doc_id, the host, base measures, base_failed, host_rejected and kept, one row per row of docs."""
+    reserve([host], ["doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "_host", "n_docs"])
     measured = materialise(base_measures(docs, text, ("doc_id", host)), "quality")
     verdicts = host_verdicts(measured, host, host_rate).select(F.col(host).alias("_host"), "host_rejected")
     broken = F.greatest(*[F.col(f"fails_{r}").cast("int") for r in RULES]) > 0
     base = F.greatest(*[F.col(f"fails_{r}").cast("int") for r in BASE]) > 0
+    # Rows without a host meet no verdict, and would all meet in one key.
+    judged = measured.where(F.col(host).isNotNull()).join(verdicts, F.col(host) == F.col("_host"), "left").drop("_host")
+    alone = measured.where(F.col(host).isNull()).withColumn("host_rejected", F.lit(None).cast("boolean"))
     return (
-        measured.join(verdicts, F.col(host) == F.col("_host"), "left")
+        judged.unionByName(alone)
         .withColumn("base_failed", base)
         .withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
         .withColumn("kept", ~base & ~(F.col("host_rejected") & broken))
-        .drop("_host")
     )

@@ -7,10 +7,12 @@ boundary is settled when its interval holds no more bytes than ``tolerance`` of
 Then the rows are exchanged once, into the cells of their shards.
 
 Equal texts lie side by side, so a group of them is split only where a boundary falls inside it; the
-second part of the key splits such a group however large it is.
+second part of the key splits such a group however large it is, and the third, a number of the row that is written
+down with the key, splits rows that are equal in text and doc_id.
 
-Nulls and edge cases: a null text counts as empty (size 1); a null doc_id has the least key; rows equal in
-text and doc_id share a shard; with fewer rows than shards some shards are empty; other columns are ignored.
+Nulls and edge cases: a null text counts as empty (size 1); a null doc_id has the least key; repeated rows are rows each;
+with fewer rows than shards some shards are empty; other columns are ignored; a text larger than a shard is one row, so
+its shard is larger; of two equally near ends of a boundary's last interval the upper one counts.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql.window import Window
 from .common import materialise
 
 #: Bits of each part of the key.
-KEY_BITS = (60, 63)
+KEY_BITS = (60, 63, 63)
+PARTS = ("k1", "k2", "k3")
 
 
 def text_key(text: Column) -> Column:
@@ -42,7 +45,7 @@ class Boundary:
 
     def __init__(self, goal: int):
         self.goal, self.below, self.inside = goal, 0, None
-        self.prefix: int | None = None  # the one text key that holds the boundary, once known
+        self.prefix: tuple[int, ...] = ()  # the values of earlier key parts that hold the boundary, once known
         self.low, self.bits = 0, KEY_BITS[0]  # the interval is [low, low + 2**bits) of the open part
         self.open = True
 
@@ -50,8 +53,8 @@ class Boundary:
         return self.prefix, self.low, self.bits
 
 
-def find_boundaries(keyed: DataFrame, shards: int, tolerance: float = 0.001, probe_bits: int = 10) -> tuple[list[tuple[int, int]], int]:
-    """Keys (k1, k2) at which shards 1.. begin, and the number of rows.
+def find_boundaries(keyed: DataFrame, shards: int, tolerance: float = 0.001, probe_bits: int = 10) -> tuple[list[tuple[int, ...]], int]:
+    """Keys (k1, k2, k3; later parts may be left out) at which shards 1.. begin, and the number of rows.
 
     What comes to the driver in a round is at most (shards - 1) * 2**probe_bits counts.
     """
@@ -66,10 +69,10 @@ def find_boundaries(keyed: DataFrame, shards: int, tolerance: float = 0.001, pro
         plan = []
         for n, (prefix, low, bits) in enumerate(open_now):
             step = max(0, bits - probe_bits)
-            key = F.col("k1") if prefix is None else F.col("k2")
+            key = F.col(PARTS[len(prefix)])
             held = (key >= F.lit(low)) & (key <= F.lit(low + (1 << bits) - 1))
-            if prefix is not None:
-                held &= F.col("k1") == F.lit(prefix)
+            for name, value in zip(PARTS, prefix):
+                held &= F.col(name) == F.lit(value)
             spot = F.when(held, F.lit(n)).otherwise(spot)
             part = F.when(held, F.shiftright(key - F.lit(low), step)).otherwise(part)
             plan.append((prefix, low, bits, step))
@@ -88,30 +91,34 @@ def find_boundaries(keyed: DataFrame, shards: int, tolerance: float = 0.001, pro
                     break
                 below += size
             b.below, b.inside, b.low, b.bits = below, size, low + (part_id << step), step
-            if b.bits == 0 and b.prefix is None and b.inside > allowed:
-                b.prefix, b.low, b.bits = b.low, 0, KEY_BITS[1]
+            if b.bits == 0 and len(b.prefix) < 2 and b.inside > allowed:
+                b.prefix += (b.low,)
+                b.low, b.bits = 0, KEY_BITS[len(b.prefix)]
             elif b.bits == 0 or b.inside <= allowed:
                 b.open = False
     keys = []
     for b in bounds:
         # The nearer end of the last interval.
-        upper = b.low + (1 << b.bits) if b.below + b.inside - b.goal < b.goal - b.below else b.low
-        keys.append((upper, -1) if b.prefix is None else (b.prefix, upper))
+        upper = b.low + (1 << b.bits) if b.below + b.inside - b.goal <= b.goal - b.below else b.low
+        keys.append((*b.prefix, upper))
     return keys, rows
 
 
-def shard_of(keys: list[tuple[int, int]]) -> Column:
+def shard_of(keys: list[tuple[int, ...]]) -> Column:
     """How many boundaries lie at or below the row's key."""
     total = F.lit(0)
-    for k1, k2 in keys:
-        total = total + ((F.col("k1") > F.lit(k1)) | ((F.col("k1") == F.lit(k1)) & (F.col("k2") >= F.lit(k2)))).cast("int")
+    for key in keys:
+        reached = F.lit(True)
+        for name, value in reversed(list(zip(PARTS, key))):
+            reached = (F.col(name) > F.lit(value)) | ((F.col(name) == F.lit(value)) & reached)
+        total = total + reached.cast("int")
     return total
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, cell_rows: int = 50_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs.
 
-    Slots: a shard is cut into cells of about ``cell_rows`` rows by a hash of both key parts, so no text or id makes
+    Slots: a shard is cut into cells of about ``cell_rows`` rows by a hash of all key parts, so no text or id makes
     a large cell; a row's slot is the rows of the cells before its own plus its place there.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -122,15 +129,16 @@ def shard_documents(docs: DataFrame, shards: int = 16, tolerance: float = 0.001,
             F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
             text_key(text).alias("k1"),
             id_key(F.col("doc_id")).alias("k2"),
+            F.monotonically_increasing_id().alias("k3"),
         ),
         "shard-keys",
     )
     keys, rows = find_boundaries(keyed, shards, tolerance)
     cells = max(1, math.ceil(rows / shards / cell_rows))
-    placed = keyed.withColumn("shard", shard_of(keys)).withColumn("cell", F.pmod(F.xxhash64("k1", "k2"), F.lit(cells)).cast("int"))
+    placed = keyed.withColumn("shard", shard_of(keys)).withColumn("cell", F.pmod(F.xxhash64("k1", "k2", "k3"), F.lit(cells)).cast("int"))
     sizes = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = sizes.select("shard", "cell", (F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("before"))
-    inside = placed.withColumn("place", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("k1", "k2", "doc_id")) - 1)
+    inside = placed.withColumn("place", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("k1", "k2", "k3")) - 1)
     return inside.join(before, ["shard", "cell"]).select(
         "doc_id",
         "size",

@@ -8,7 +8,8 @@ size (stride), so slot s is at byte (s mod shard_sequences) * stride of shard s
 reader can start or resume anywhere. A task that runs again writes a draft of its own and moves it into place.
 
 Nulls and edge cases: a null or empty text is one end id; a null doc_id is null in the lists; repeated rows are read each;
-an empty table gives no shards; other columns are ignored.
+an empty table gives no shards; other columns are ignored; a very long text is encoded whole, in one task, and cut as it goes;
+there are no ties, each sequence has a number of its own; ids that do not fit into ``width`` bytes raise ValueError.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import broadcast_if_small, drop_table, materialise, mix64, shared_folder
+from .common import broadcast_if_small, drop_table, materialise, mix64, scratch_path
 from .tokens import default_tokenizer, token_batches
 from .warc import open_folder
 
@@ -87,7 +88,10 @@ def sequences(docs: DataFrame, path: str, end_id: int, length: int, width: int)
         for rows, ids, row_id in token_batches(batches, path, end_id):
             part = int(row_id[0]) >> 40 if len(row_id) else part
             owners += [[d, len(x) // 4] for d, x in zip(rows.column(0).to_pylist(), ids)]
-            new = np.frombuffer(b"".join(ids), "<u4").astype(f"<u{width}")
+            new = np.frombuffer(b"".join(ids), "<u4")
+            if new.size and int(new.max()) >= 1 << (8 * width):
+                raise ValueError(f"id {int(new.max())} does not fit into {width} bytes")
+            new = new.astype(f"<u{width}")
             batch, held = cut(np.concatenate([held, new]), False)
             if batch.num_rows:
                 yield batch
@@ -188,4 +192,4 @@ def read_back(spark: SparkSession, folder: str, count: int, length: int = 1024,
 
 
 def order_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/penstock-order-{uuid.uuid4().hex}"
+    return scratch_path(spark, "order")

@@ -1,7 +1,8 @@
 """Token ids of whole texts with a public tokenizer, as little-endian unsigned 32-bit binaries.
 
 The tokenizer is a file of the `tokenizers` library. Where it is a plain byte-level BPE whose ids follow its merges, the
-same vocabulary runs in tiktoken, which gives the same ids (a test holds both against each other) at four times the speed.
+same vocabulary runs in tiktoken, which gives the same ids (a test holds both against each other) at four times the speed; texts that
+its regular expressions cannot manage (such as a million blanks in a row) are encoded by `tokenizers`.
 Any other file runs in `tokenizers` itself. Strings of special tokens in a text are ordinary text.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -21,6 +23,8 @@ from .common import pieces
 _encoders: dict[str, "Encoder"] = {}
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Runs of white space from this length on are not left to backtracking.
+BLANKS = re.compile(r"\s{4000}")
 PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
@@ -50,24 +54,34 @@ class Encoder:
     """Encodes texts to id bytes; one per worker process and tokenizer file."""
 
     def __init__(self, path: str):
+        self.path, self.plain, self._tokenizer = path, None, None
         with open(path, encoding="utf-8") as f:
             ranks = ranks_of(json.load(f))
         if ranks:
             import tiktoken
 
             self.plain = tiktoken.Encoding("byte_level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        else:
+
+    @property
+    def tokenizer(self):
+        if self._tokenizer is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
-            self.plain, self.tokenizer = None, Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
+            self._tokenizer = Tokenizer.from_file(self.path)
+            self._tokenizer.encode_special_tokens = True
+        return self._tokenizer
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.plain:
-            return [array("I", self.plain.encode_ordinary(t)).tobytes() for t in texts]
+            return [self.encode_plain(t) for t in texts]
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_plain(self, text: str) -> bytes:
+        if len(text) < 4000 or not BLANKS.search(text):
+            return array("I", self.plain.encode_ordinary(text)).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
 
 def encoder(path: str) -> Encoder:
     if path not in _encoders:

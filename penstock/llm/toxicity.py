@@ -8,11 +8,13 @@ size is bounded by the training rows, and it is broadcast as such. Tasks score w
 A fifth of the training rows is kept back; the logit that parts its two kinds best becomes score 0.5.
 
 Training rows: labelled documents whose crc32(doc_id) mod 5 is not 0, at most ``max_rows`` of them (those with the
-lowest hash of doc_id). Only text is a feature.
+lowest hash of doc_id) with at most ``max_features`` features together. Tasks make the features where the texts are; the driver
+gets those of the chosen rows alone. Only text is a feature.
 
 Nulls and edge cases: null and empty texts get the score of the bias alone; null labels are no labels, of
 several labels for an id the largest counts; a null doc_id is held out; repeated rows are scored alike; without labels
-of both kinds every score is the share of toxic rows, 0 if there are none; other columns are ignored or carried.
+of both kinds every score is near the share of toxic rows, 0 or 1; other columns are ignored or carried, but for one named score
+(ValueError); a score of just 0.5 is toxic; very long texts are read whole, in slices of one text.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, ODD, hash_words, mix64, pieces, text_buffer, words
+from .common import ALNUM, LOWER, ODD, bounded_rows, hash_words, mix64, pieces, reserve, text_buffer, words
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,17 +54,22 @@ def features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def featurise(bits: int) -> callable:
-    """Distinct coordinates of each text as little-endian unsigned 32-bit binaries, beside the label."""
+    """Distinct coordinates of each text as little-endian unsigned 32-bit binaries, their number and a number of the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in pieces(batch):
                 row, at, n = features(part.column(part.schema.get_field_index("text")), bits)
-                order = np.argsort(row, kind="stable")
-                row, at = row[order], at[order]
-                cut = np.searchsorted(row, np.arange(n + 1))
-                out = [np.unique(at[cut[i] : cut[i + 1]]).astype("<u4").tobytes() for i in range(n)]
-                yield pa.record_batch([part.column(part.schema.get_field_index("label")), pa.array(out, pa.binary())], ["label", "features"])
+                key = np.unique(row.astype(np.int64) << bits | at)
+                cut = np.searchsorted(key, np.arange(n + 1) << bits)
+                at = (key & ((1 << bits) - 1)).astype("<u4")
+                out = [at[cut[i] : cut[i + 1]].tobytes() for i in range(n)]
+                yield pa.record_batch(
+                    [pa.array(np.arange(place, place + n)), part.column(part.schema.get_field_index("h")), pa.array(np.diff(cut).astype(np.int64)), part.column(part.schema.get_field_index("label")), pa.array(out, pa.binary())],
+                    ["place", "h", "size", "label", "features"],
+                )
+                place += n
 
     return run
 
@@ -92,21 +100,23 @@ def train(rows: list[tuple[int, np.ndarray]], bits: int, alpha: float, beta: flo
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """(label, text) of at most max_rows labelled documents outside the held-out fold."""
-    marked = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
+    """(h, label, text) of labelled documents outside the held-out fold, with at most max_rows different ids."""
+    marked = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     # At most max_rows rows of two numbers are broadcast.
-    chosen = marked.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    h = F.xxhash64(F.col("doc_id").cast("string"))
+    chosen = marked.orderBy(h, "doc_id").limit(max_rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(h.alias("h"), "label", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, bits: int = 20, alpha: float = 0.3, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 5):
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, max_features: int = 40_000_000, bits: int = 20, alpha: float = 0.3, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 5):
     """The model: (coordinates, weights, bias, bits)."""
-    rows = training_rows(docs, labels, label, max_rows).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text").select("label", "text").limit(max_rows)
-    got = rows.mapInArrow(featurise(bits), "label int, features binary").toArrow()
+    made = training_rows(docs, labels, label, max_rows).mapInArrow(featurise(bits), "place long, h long, size long, label int, features binary")
+    got = bounded_rows(made, max_rows, max_features)
     data = [(int(y), np.frombuffer(x, "<u4")) for y, x in zip(got["label"].to_pylist(), got["features"].to_pylist())]
     at, weight, bias = train(data[len(data) // 5 :], bits, alpha, beta, l1, l2, epochs)
-    table = dict(zip(at.tolist(), weight.tolist()))
-    seen = [(bias + sum(table.get(k, 0.0) for k in x.tolist()), y) for y, x in data[: len(data) // 5]]
+    table = np.zeros(1 << bits)
+    table[at] = weight
+    seen = [(bias + float(table[x].sum()), y) for y, x in data[: len(data) // 5]]
     return at, weight, bias - decision_point(seen), bits
 
 
@@ -126,6 +136,7 @@ def decision_point(seen: list[tuple[float, int]]) -> float:
 
 def score_toxicity(docs: DataFrame, model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry and the score of each row's whole text."""
+    reserve(carry, ["score"])
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 

@@ -12,14 +12,15 @@ record it goes on at the member's end, so later places are not guesses. Text pay
 Files are reached through pyarrow's file systems by URI (local, object stores, HDFS), in tasks and on the driver alike.
 
 Nulls and edge cases: null html is an empty payload; a null page_id is kept as null, and never referred to; a null url is
-left out; repeated rows are records each; an empty table gives no records; other columns are ignored.
+left out; repeated rows are records each; an empty table gives no records; other columns are ignored; of pages with equal payload
+and equal largest page_id all are responses; a very long payload is one member, decoded in one task; a damaged member is passed
+over up to the next place that decodes.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import broadcast_if_small, hot_keys, scratch_path
 
+#: Payloads with so many copies, or a thousandth of all, are spread over so many keys.
+HOT_COPIES, SALTS = 1000, 256
 MAGIC = b"\x1f\x8b\x08"
 READ = 1 << 20
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, file string, start long, payload binary"
@@ -65,12 +68,23 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 def with_revisits(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
     """page_id, url, html, digest and refers_to (null: response)."""
     html = F.coalesce("html", F.lit(""))
+    large = F.octet_length(html) >= revisit_bytes
+    narrow = pages.where(large).select(F.col("page_id").cast("long").alias("page_id"), F.sha1(html).alias("digest"))
+    groups = narrow.groupBy("digest").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1")
+    # Few groups are broadcast, so that bodies stay where they are. Else bodies meet the groups on their digest: a payload
+    # that refers to nothing has a key of its own, and those of very frequent digests are spread.
+    side = broadcast_if_small(groups, 200_000)
+    number = F.monotonically_increasing_id()
+    spread = F.lit(0)
+    every = F.array(F.lit(0))
+    if side is groups and (hot := hot_keys(narrow, "digest", HOT_COPIES)):
+        spread = F.when(F.col("digest").isin(hot), F.pmod(number, F.lit(SALTS)).cast("int")).otherwise(0)
+        every = F.when(F.col("digest").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(every)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html).alias("digest"))
-    large = F.octet_length("html") >= revisit_bytes
-    groups = own.where(large).groupBy("digest").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").select("digest", "_last")
+    own = own.withColumn("_key", F.when(F.octet_length("html") >= revisit_bytes, F.col("digest")).otherwise(number.cast("string"))).withColumn("_salt", spread)
+    side = side.select(F.col("digest").alias("_key"), F.explode(every).alias("_salt"), "_last")
     other = F.col("page_id").isNull() | (F.col("page_id") != F.col("_last"))
-    # Most payloads are in no group; pages meet the groups on their digest, groups are a row each.
-    return own.join(groups, "digest", "left").select("page_id", "url", "html", "digest", F.when(large & other, F.col("_last")).alias("refers_to"))
+    return own.join(side, ["_key", "_salt"], "left").select("page_id", "url", "html", "digest", F.when(other, F.col("_last")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 1000, level: int = 6) -> DataFrame:
@@ -211,4 +225,4 @@ SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type
 
 
 def archive_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/penstock-warc-{uuid.uuid4().hex}"
+    return scratch_path(spark, "warc")

@@ -51,6 +51,15 @@ def test_small_host_is_shrunk(spark):
     assert got[900].kept and not got[900].host_rejected
 
 
+def test_long_text_and_null_hosts(spark):
+    t = "word other " * 40_000
+    rows = [(1, t, None), (2, t, "h"), (3, None, None)]
+    got = {r.doc_id: r for r in apply_quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1].n_words == got[2].n_repeat_words == 80_000 and not got[1].host_rejected and got[3].n_words == 0
+    with pytest.raises(ValueError):
+        apply_quality_rules(spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, n_words string"), host="n_words")
+
+
 def test_rules_empty(empty):
     assert apply_quality_rules(empty).count() == 0
 
@@ -80,6 +89,33 @@ def test_hot_text_is_split(spark):
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(16))
 
 
+def test_repeated_rows_are_split(spark):
+    """Rows equal in text and id are parted too, and every boundary is as near to its goal as a row allows."""
+    rows = [(7, "the same row")] * 2000 + [(k, f"text {k}") for k in range(500)] + [(8, "longer row " * 9)] * 300
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), cell_rows=50, tolerance=0.0).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((d, len(t) + 1) for d, t in rows)
+    goal = sum(r.size for r in got) / 16
+    for s in range(16):
+        own = [r for r in got if r.shard == s]
+        assert abs(sum(r.size for r in own) - goal) <= 101 and sorted(r.slot for r in own) == list(range(len(own)))
+
+
+def test_boundaries_equal_a_plain_sort(spark):
+    """Without tolerance shards are what a sort by (MD5 of text, id) cut at the goals gives."""
+    rows = [(k, f"text number {k * k} " * (1 + k % 7)) for k in range(400)]
+    got = {r.doc_id: r.shard for r in shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), tolerance=0.0).collect()}
+    ordered = sorted(rows, key=lambda r: (int(hashlib.md5(r[1].encode()).hexdigest()[:15], 16), r[0]))
+    total = sum(len(t) + 1 for _, t in rows)
+    below, cuts = [0], []
+    for _, t in ordered:
+        below.append(below[-1] + len(t) + 1)
+    for j in range(1, 16):
+        goal = -(-total * j // 16)
+        k = next(i for i, b in enumerate(below) if b >= goal)
+        cuts.append(k if below[k] - goal <= goal - below[k - 1] else k - 1)
+    assert [got[d] for d, _ in ordered] == [sum(c <= i for c in cuts) for i in range(len(ordered))]
+
+
 def test_shards_empty(empty):
     assert shard_documents(empty).count() == 0
 
@@ -101,12 +137,12 @@ def brute_hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [16 << 20, 300])
-def test_decontamination(spark, hard, block_bytes):
+@pytest.mark.parametrize("block_bytes,part_words", [(16 << 20, 20_000), (300, 20_000), (16 << 20, 7), (700, 7)])
+def test_decontamination(spark, hard, block_bytes, part_words):
     texts = {r.doc_id: r.text for r in hard.collect()}
     items = [(1, " ".join(texts[9].split()[60:90])), (2, "One, two!"), (3, None), (4, ""), (5, "ÜBER " + texts[6][:200].upper()), (6, texts[6][300:600]), (7, "c"), (8, "###"), (9, texts[13][5000:5400]), (10, " ".join(texts[9].split()[60:75]))]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = hit_digest(find_benchmark_passages(hard, bench, block_bytes=block_bytes)).collect()
+    bench = spark.createDataFrame(items * 3, "item_id long, text string")
+    got = hit_digest(find_benchmark_passages(hard, bench, block_bytes=block_bytes, part_words=part_words)).collect()
     expected = Counter((r.doc_id, *brute_hits(r.text, items)) for r in hard.collect())
     assert Counter(tuple(r) for r in got) == expected
     assert any(r.contaminated for r in got) and not all(r.contaminated for r in got)
