@@ -108,7 +108,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(h.alias("h"), "label", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, max_features: int = 40_000_000, bits: int = 20, alpha: float = 0.3, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 5):
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 12_000, max_features: int = 40_000_000, bits: int = 20, alpha: float = 0.3, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1, epochs: int = 3):
     """The model: (coordinates, weights, bias, bits)."""
     made = training_rows(docs, labels, label, max_rows).mapInArrow(featurise(bits), "place long, h long, size long, label int, features binary")
     got = bounded_rows(made, max_rows, max_features)
