@@ -53,17 +53,30 @@ def is_title_line(text: Column) -> Column:
     return (t != "") & ~t.contains("\n") & (F.size(F.split(t, r"\s+")) <= 14) & ~t.rlike(r"[.!?;:]$")
 
 
-def looks_like_heading(line: Column) -> Column:
-    """Hash mark, numbering, capitals (up to 8 words) or title case (up to 6), within 90 characters and 10 words."""
-    s = F.trim(line)
-    w = F.filter(F.split(s, r"\s+"), lambda x: x != "")
-    capital = F.size(F.filter(w, lambda x: x.rlike("^[A-Z]")))
-    n = F.size(w)
-    plain = (n <= 10) & ~s.rlike("[.?!,;]$") & ~(s.rlike(":$") & (n > 6))
-    numbered = s.rlike(r"^(?:[0-9]+(?:\.[0-9]+)*|[IVX]+)[.)]?\s+[A-Z]")
-    shouted = (F.upper(s) == s) & s.rlike("[A-Z]") & (n <= 8)
-    titled = (capital >= F.greatest(F.lit(1.0), n * 0.6)) & (n <= 6)
-    return (s != "") & (F.length(s) <= 90) & (s.startswith("#") | (plain & (numbered | shouted | titled)))
+#: The most characters and words of a heading, of one in capitals and of one in title case, and the least share of capitals there.
+HEADING = {"characters": 90, "words": 10, "colon_words": 6, "capitals_words": 8, "title_words": 6, "title_share": 0.6}
+
+
+def heading_style(line: Column) -> Column:
+    """How a line is set as a heading (mark, number, capitals, title), or null: what its first word, its last sign and its words' initials say."""
+
+    def of(w: Column) -> Column:
+        n, first, second = F.size(w), F.get(w, F.lit(0)), F.get(w, F.lit(1))
+        last = F.right(F.get(w, n - 1), F.lit(1))
+        initials = F.transform(w, lambda x: F.left(x, F.lit(1)).between("A", "Z").cast("int"))
+        capitals = F.aggregate(initials, F.lit(0), lambda a, x: a + x)
+        open_ended = (n <= HEADING["words"]) & ~last.isin(".", "?", "!", ",", ";") & ((last != ":") | (n <= HEADING["colon_words"]))
+        joined = F.array_join(w, " ")
+        style = (
+            F.when(first.startswith("#"), "mark")
+            .when(~open_ended, None)
+            .when(first.rlike(r"^([0-9]+(\.[0-9]+)*|[IVX]+)[.)]?$") & F.left(second, F.lit(1)).between("A", "Z"), "number")
+            .when((n <= HEADING["capitals_words"]) & (joined == F.upper(joined)) & joined.rlike("[A-Z]"), "capitals")
+            .when((n <= HEADING["title_words"]) & (capitals >= 1) & (capitals >= HEADING["title_share"] * n), "title")
+        )
+        return F.when(n > 0, style)
+
+    return F.when(F.length(F.trim(line)) <= HEADING["characters"], let(F.filter(F.split(F.trim(line), r"\s+"), lambda x: x != ""), of))
 
 
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -111,8 +124,8 @@ def lm_tokens(text: Column) -> Column:
     return F.transform(found, lambda x: F.when(x.rlike("^[0-9]"), F.lit("<num>")).otherwise(x))
 
 
-def find_spans(docs: DataFrame, patterns: dict[str, str], text: str = "text") -> DataFrame:
-    """doc_id, kind, start, end, surface of every match of each pattern.
+def find_spans(docs: DataFrame, patterns: dict[str, str], text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kind, start, end, surface of every match of each pattern; with keep ("_row",) also a number of the row.
 
     Spark has no finditer: the gaps that split() leaves and the matches of regexp_extract_all() alternate, and a running
     sum of their lengths places them. Patterns must not match the empty string.
@@ -130,4 +143,4 @@ def find_spans(docs: DataFrame, patterns: dict[str, str], text: str = "text") ->
     end = F.sum(F.col("gap") + F.length("surface")).over(Window.partitionBy("_row", "kind").orderBy("_k"))
     # One exchange by row serves the running sums; spans are a few dozen bytes each.
     placed = rows.repartition("_row").withColumn("end", end.cast("long"))
-    return placed.select("doc_id", "kind", (F.col("end") - F.length("surface")).cast("long").alias("start"), "end", "surface")
+    return placed.select(*keep, "doc_id", "kind", (F.col("end") - F.length("surface")).cast("long").alias("start"), "end", "surface")

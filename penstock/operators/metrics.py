@@ -46,6 +46,7 @@ BANDS = {
 WEIGHTS = {"clarity": 0.25, "rhythm": 0.2, "vocabulary": 0.2, "voice": 0.2, "correctness": 0.15}
 TARGET_GRADE = 12
 NOMINAL = r"(?:tion|sion|ment|ance|ence)s?$"
+#: Forms of be, and the endings by which a participle is told without a parse.
 PASSIVE = r"(?i)(?:^|[^a-z])(?:is|are|was|were|be|been|being)\s+(?:[a-z]+ly\s+)?[a-z]+(?:ed|en|wn|lt|ught)(?:[^a-z]|$)"
 EXPLETIVE = r"(?i)^\W*there\s+(?:is|are|was|were)\s.*[^a-z](?:that|who|which)(?:[^a-z]|$)"
 MTLD_THRESHOLD = 0.72
@@ -102,8 +103,8 @@ def measured_sentences(text: Column) -> Column:
     )
 
 
-def rhythm(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sents, length_mean, sentence_length_sd, opener_entropy, monotone_runs, monotone_runs_per_10s."""
+def rhythm_of(text: Column) -> Column:
+    """A struct: n_sents, length_mean, sentence_length_sd, opener_entropy, monotone_runs, monotone_runs_per_10s."""
 
     def all_of(s: Column) -> Column:
         n = F.size(s).cast("long")
@@ -119,7 +120,12 @@ def rhythm(docs: DataFrame) -> DataFrame:
             F.when(n > 0, runs * 10.0 / n).otherwise(0.0).alias("monotone_runs_per_10s"),
         )
 
-    return docs.select("doc_id", let(measured_sentences(F.col("text")), all_of).alias("r")).select("doc_id", "r.*")
+    return let(measured_sentences(text), all_of)
+
+
+def rhythm(docs: DataFrame) -> DataFrame:
+    """doc_id and what rhythm_of() gives."""
+    return docs.select("doc_id", rhythm_of(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
 def sub_score(name: str) -> Column:
@@ -139,23 +145,29 @@ def overall_score(scores: list[str]) -> Column:
     return F.when(weight > 0, F.round(top / weight, 1))
 
 
-def mtld_pass(words: list[str]) -> float:
-    factors, seen, count = 0.0, set(), 0
-    for w in words:
-        count += 1
-        seen.add(w)
-        if len(seen) / count <= MTLD_THRESHOLD:
-            factors, seen, count = factors + 1, set(), 0
-    if count and len(seen) < count:
-        factors += (1 - len(seen) / count) / (1 - MTLD_THRESHOLD)
-    return len(words) / factors if factors else float(len(words))
+def mtld_one_way(words: list[str]) -> float:
+    """Words per stretch over which the share of different words falls to the threshold.
+
+    The stretch left open at the end counts as the part of the way that its share has fallen. A word is new to a stretch
+    if it was last met before the stretch began.
+    """
+    met: dict[str, int] = {}
+    begin = different = stretches = 0
+    for place, word in enumerate(words):
+        different += met.get(word, -1) < begin
+        met[word] = place
+        if different / (place + 1 - begin) <= MTLD_THRESHOLD:
+            begin, different, stretches = place + 1, 0, stretches + 1
+    left = len(words) - begin
+    fallen = (1 - different / left) / (1 - MTLD_THRESHOLD) if left else 0.0
+    return len(words) / (stretches + fallen) if stretches + fallen else float(len(words))
 
 
 @F.pandas_udf(DoubleType())
 def mtld(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Lexical diversity of an array of words: mean of a forward and a backward pass; 0 under ten words."""
     for words in batches:
-        yield words.map(lambda w: 0.0 if w is None or len(w) < 10 else (mtld_pass(list(w)) + mtld_pass(list(w)[::-1])) / 2).astype(float)
+        yield words.map(lambda w: 0.0 if w is None or len(w) < 10 else (mtld_one_way(list(w)) + mtld_one_way(list(w)[::-1])) / 2).astype(float)
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -170,31 +182,41 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), F.size(F.regexp_extract_all(F.lower(word), F.lit("[aeiouy]+"), F.lit(0))))
 
 
+def clarity_of(text: Column) -> Column:
+    """A struct: n_words, n_sents, long_sentence_pct, nominalizations_per_100w, fk_grade_approx, grade_excess."""
+    t = F.coalesce(text, F.lit(""))
+
+    def all_of(x: Column) -> Column:
+        n, m = F.size(x["w"]).cast("long"), F.size(x["s"]).cast("long")
+        long_ = F.size(F.filter(x["s"], lambda y: y["n"] > 30))
+        nominal = F.size(F.filter(x["w"], lambda y: (F.length(y) > 6) & F.lower(y).rlike(NOMINAL)))
+        grade = F.lit(0.39) * n / m + F.lit(11.8) * total(x["w"], syllables) / n - F.lit(15.59)
+        return let(F.when(m > 0, grade), lambda g: F.struct(
+            n.alias("n_words"),
+            m.alias("n_sents"),
+            F.when(m > 0, 100.0 * long_ / m).otherwise(0.0).alias("long_sentence_pct"),
+            (100.0 * nominal / F.greatest(n, F.lit(1))).alias("nominalizations_per_100w"),
+            g.alias("fk_grade_approx"),
+            F.greatest(F.lit(0.0), g - TARGET_GRADE).alias("grade_excess"),
+        ))
+
+    return let(F.struct(word_list(t).alias("w"), measured_sentences(t).alias("s")), all_of)
+
+
 def clarity(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_sents, long_sentence_pct, nominalizations_per_100w, fk_grade_approx, grade_excess."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", word_list(t).alias("w"), measured_sentences(t).alias("s"))
-    n, m = F.size("w").cast("long"), F.size("s").cast("long")
-    long_ = F.size(F.filter("s", lambda x: x["n"] > 30))
-    nominal = F.size(F.filter("w", lambda x: (F.length(x) > 6) & F.lower(x).rlike(NOMINAL)))
-    grade = F.lit(0.39) * n / m + F.lit(11.8) * total(F.col("w"), syllables) / n - F.lit(15.59)
-    rows = rows.select(
-        "doc_id",
-        n.alias("n_words"),
-        m.alias("n_sents"),
-        F.when(m > 0, 100.0 * long_ / m).otherwise(0.0).alias("long_sentence_pct"),
-        (100.0 * nominal / F.greatest(n, F.lit(1))).alias("nominalizations_per_100w"),
-        F.when(m > 0, grade).alias("fk_grade_approx"),
-    )
-    return rows.withColumn("grade_excess", F.greatest(F.lit(0.0), F.col("fk_grade_approx") - TARGET_GRADE))
+    """doc_id and what clarity_of() gives."""
+    return docs.select("doc_id", clarity_of(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
-def voice(docs: DataFrame) -> DataFrame:
-    """doc_id, passive_ratio: share of sentences with a be-form and a participle-like word."""
-    s = sentence_array(F.col("text"))
+def passive_ratio(text: Column) -> Column:
+    """Share of sentences with a be-form and a participle-like word."""
     hit = lambda x: F.size(F.filter(x, lambda y: y["sentence"].rlike(PASSIVE)))
-    rows = docs.select("doc_id", let(s, lambda x: F.struct(F.size(x).cast("long").alias("n"), hit(x).cast("long").alias("k"))).alias("p"))
-    return rows.select("doc_id", F.when(F.col("p.n") > 0, F.col("p.k") / F.col("p.n").cast("double")).otherwise(0.0).alias("passive_ratio"))
+    return let(sentence_array(text), lambda x: F.when(F.size(x) > 0, hit(x) / F.size(x).cast("double")).otherwise(0.0))
+
+
+def voice(docs: DataFrame) -> DataFrame:
+    """doc_id, passive_ratio."""
+    return docs.select("doc_id", passive_ratio(F.col("text")).alias("passive_ratio"))
 
 
 def punctuation_rates(docs: DataFrame) -> DataFrame:
@@ -241,12 +263,12 @@ def near_repeat_count(sents: Column) -> Column:
     return let(bags, folded)
 
 
-def issue_rates(docs: DataFrame) -> DataFrame:
-    """doc_id and repeats, stock phrases, cliches, wordy phrases, hedges, fillers and weak verbs per 100 words.
+def rates_of(text: Column) -> Column:
+    """A struct: repeats, stock phrases, cliches, wordy phrases, hedges, fillers and weak verbs per 100 words.
 
-    All from a document's own row, without a shuffle: the counts are those of issues.near_repeats and issues.lexicon_hits.
+    The counts are those of issues.near_repeats and issues.lexicon_hits.
     """
-    s = F.transform(sentence_array(F.col("text")), lambda x: F.struct(x["para_idx"].alias("para_idx"), x["sentence"].alias("sentence"), F.transform(word_list(x["sentence"]), F.lower).alias("w")))
+    s = F.transform(sentence_array(text), lambda x: F.struct(x["para_idx"].alias("para_idx"), x["sentence"].alias("sentence"), F.transform(word_list(x["sentence"]), F.lower).alias("w")))
 
     def all_of(x: Column) -> Column:
         per = lambda c: 100.0 * c / F.greatest(total(x, lambda y: F.size(y["w"])), F.lit(1.0))
@@ -262,18 +284,27 @@ def issue_rates(docs: DataFrame) -> DataFrame:
             per(hits(x, WEAK_VERB) + expletives).alias("weak_verbs_per_100w"),
         )
 
-    return docs.select("doc_id", let(s, all_of).alias("r")).select("doc_id", "r.*")
+    return let(s, all_of)
+
+
+def issue_rates(docs: DataFrame) -> DataFrame:
+    """doc_id and what rates_of() gives."""
+    return docs.select("doc_id", rates_of(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, clarity, rhythm, vocabulary, voice, correctness (never available here), overall."""
-    r = rhythm(docs).withColumn("rhythm", F.when(F.col("n_sents") > 0, sub_score("rhythm"))).select("doc_id", "rhythm")
-    rows = r.join(vocabulary(docs), "doc_id").join(clarity(docs).drop("n_words"), "doc_id").join(voice(docs), "doc_id").join(issue_rates(docs), "doc_id")
+    """doc_id, clarity, rhythm, vocabulary, voice, correctness (never available here), overall: a row per row, in one projection."""
+    t = F.col("text")
+    words = F.transform(word_list(F.coalesce(t, F.lit(""))), F.lower)
+    rows = docs.select("doc_id", rhythm_of(t).alias("r"), clarity_of(t).alias("c"), rates_of(t).alias("i"), passive_ratio(t).alias("passive_ratio"), mtld(words).alias("mtld"))
+    names = [(k, m) for k, of in (("r", ("sentence_length_sd", "opener_entropy", "monotone_runs_per_10s")), ("c", ("n_words", "n_sents", "long_sentence_pct", "nominalizations_per_100w", "grade_excess"))) for m in of]
+    rows = rows.select("doc_id", "passive_ratio", "mtld", "i.*", *[F.col(f"{k}.{m}").alias(m) for k, m in names])
     rows = rows.select(
-        "doc_id", "rhythm",
+        "doc_id",
+        F.when(F.col("n_sents") > 0, sub_score("rhythm")).alias("rhythm"),
         F.when(F.col("n_words") > 0, sub_score("vocabulary")).alias("vocabulary"),
         F.when(F.col("n_sents") > 0, sub_score("clarity")).alias("clarity"),
         sub_score("voice").alias("voice"),
         F.lit(None).cast("double").alias("correctness"),
-    )
+    )
     return rows.select("doc_id", "rhythm", "vocabulary", "clarity", "voice", "correctness", overall_score(["clarity", "rhythm", "vocabulary", "voice", "correctness"]).alias("overall"))

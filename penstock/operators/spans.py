@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _islands(spans: DataFrame, touching: bool) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
+def _islands(spans: DataFrame, touching: bool, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = reach.isNull() | (F.col("start") > reach if touching else F.col("start") >= reach)
     return spans.withColumn("_new", new.cast("int")).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -22,10 +22,13 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     return _islands(spans, True).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def merge_by_priority(spans: DataFrame, priority: list[str]) -> DataFrame:
-    """Disjoint union of spans that overlap, named by the first kind of the list among them; touching ones stay apart."""
+def merge_by_priority(spans: DataFrame, priority: list[str], by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Disjoint union of spans that overlap, named by the first kind of the list among them; touching ones stay apart.
+
+    Where several rows share a doc_id, ``by`` must name what tells the texts apart; spans that are partitioned by it move no more.
+    """
     rank = F.array_position(F.array(*[F.lit(k) for k in priority]), F.col("kind"))
-    merged = _islands(spans.withColumn("_rank", rank), False).groupBy("doc_id", "island")
+    merged = _islands(spans.withColumn("_rank", rank), False, by).groupBy(*by, "island")
     return merged.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", "_rank").alias("kind")).drop("island")
 
 
@@ -76,10 +79,13 @@ def apply_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def map_offsets(offsets: DataFrame, edits: DataFrame) -> DataFrame:
-    """doc_id, pos, new_pos: where an offset lies after the edits; inside an edit it snaps to the edit's start."""
+    """doc_id, pos, new_pos: where an offset lies after the edits; inside an edit it snaps to the edit's start; null where two edits of the document overlap."""
+    order = Window.partitionBy("_d").orderBy("_s", "_e")
     e = edits.select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"), (F.length("replacement") - (F.col("end") - F.col("start"))).alias("_delta"))
+    broken = e.withColumn("_bad", F.lag("_e").over(order) > F.col("_s")).groupBy("_d").agg(F.max(F.coalesce("_bad", F.lit(False))).alias("_bad")).where("_bad").select(F.col("_d").alias("_b"))
     hit = (F.col("doc_id") == F.col("_d")) & (F.col("_s") < F.col("pos"))
     joined = offsets.join(e, hit, "left")
     shift = F.sum(F.when(F.col("_e") <= F.col("pos"), F.col("_delta")).otherwise(0))
     snap = F.max(F.when((F.col("_s") < F.col("pos")) & (F.col("pos") < F.col("_e")), F.col("_s")))
-    return joined.groupBy("doc_id", "pos").agg((F.coalesce(snap, F.col("pos")) + F.coalesce(shift, F.lit(0))).cast("long").alias("new_pos"))
+    placed = joined.groupBy("doc_id", "pos").agg((F.coalesce(snap, F.col("pos")) + F.coalesce(shift, F.lit(0))).cast("long").alias("new_pos"))
+    return placed.join(broken, F.col("doc_id") == F.col("_b"), "left").select("doc_id", "pos", F.when(F.col("_b").isNull(), F.col("new_pos")).alias("new_pos"))

@@ -38,7 +38,7 @@ SPANS = Fixture("fx_spans", "doc_id long, start long, end long, kind string", [
 WINDOWS = Fixture("fx_windows", "doc_id long, window_id long, start long, end long", [(1, 1, 2, 10), (1, 2, 24, 35), (2, 1, 0, 4), (2, 2, 11, 13), (3, 1, 2, 4), (4, 1, 0, 9)])
 EDIT_DOCS = Fixture("fx_edit_docs", "doc_id long, text string", [(1, "the quick brown fox jumps"), (2, "one two three"), (3, "overlap here"), (4, "no edits")])
 EDITS = Fixture("fx_edits", "doc_id long, start long, end long, replacement string", [(1, 0, 3, "A"), (1, 10, 15, "reddish"), (1, 25, 25, " over"), (2, 4, 8, ""), (3, 0, 7, "x"), (3, 5, 9, "y")])
-OFFSETS = Fixture("fx_offsets", "doc_id long, pos long", [(1, 0), (1, 2), (1, 4), (1, 12), (1, 16), (1, 25), (2, 4), (2, 6), (2, 9), (4, 3)])
+OFFSETS = Fixture("fx_offsets", "doc_id long, pos long", [(1, 0), (1, 2), (1, 4), (1, 12), (1, 16), (1, 25), (2, 4), (2, 6), (2, 9), (3, 2), (3, 8), (4, 3)])
 ISSUES = Fixture("fx_issues", "doc_id long, rule string, start long, end long", [
     (1, "wordy_phrase", 0, 12), (1, "filler", 0, 12), (1, "filler", 3, 6), (1, "long_sentence", 0, 80), (1, "cliche", 20, 30), (1, "hedge", 22, 26), (1, "cliche", 50, 60), (1, "stock_phrase", 45, 65), (2, "hedge", 1, 5), (2, "weak_verb", 1, 5), (2, "wordy_phrase", 0, 4),
 ])

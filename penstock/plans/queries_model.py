@@ -31,7 +31,8 @@ def protected_spans(spark, sf_dir):
 
 
 def protected_merged(spark, sf_dir):
-    return S.merge_by_priority(find_spans(docs(spark, sf_dir), PATTERNS), list(PATTERNS))
+    found = find_spans(docs(spark, sf_dir), PATTERNS, keep=("_row",))
+    return S.merge_by_priority(found, list(PATTERNS), ("_row", "doc_id")).drop("_row")
 
 
 def span_merge(spark, sf_dir):
@@ -58,7 +59,7 @@ def edits_applied(spark, sf_dir):
 
 
 def offsets_mapped(spark, sf_dir):
-    return S.map_offsets(X.OFFSETS.df(spark), X.EDITS.df(spark).where("doc_id <> 3"))
+    return S.map_offsets(X.OFFSETS.df(spark), X.EDITS.df(spark))
 
 
 def ngram_counts(spark, sf_dir):
@@ -301,8 +302,8 @@ UNION ALL SELECT s.doc_id, greatest(s.start, w.start), least(s."end", w."end"),
     "edits_applied": f"""WITH {X.EDIT_DOCS.cte()}, {X.EDITS.cte()}, e AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start, "end"), 0) AS prev FROM fx_edits),
 j AS (SELECT doc_id, string_agg(substr(text, (prev + 1)::BIGINT, greatest(start - prev, 0)::BIGINT) || replacement, '' ORDER BY start, "end") AS head, max("end") AS last, bool_and(start >= prev) AS ok FROM e JOIN fx_edit_docs USING (doc_id) GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN j.doc_id IS NULL THEN text WHEN ok THEN head || substr(text, last + 1) END AS text FROM fx_edit_docs d LEFT JOIN j ON j.doc_id = d.doc_id""",
-    "offsets_mapped": f"""WITH {X.OFFSETS.cte()}, {X.EDITS.cte()}, e AS (SELECT * FROM fx_edits WHERE doc_id <> 3)
-SELECT o.doc_id, pos, (coalesce(max(CASE WHEN e.start < pos AND pos < e."end" THEN e.start END), pos) + coalesce(sum(CASE WHEN e."end" <= pos THEN length(replacement) - (e."end" - e.start) ELSE 0 END), 0))::BIGINT AS new_pos
+    "offsets_mapped": f"""WITH {X.OFFSETS.cte()}, {X.EDITS.cte()}, e AS (SELECT * FROM fx_edits), bad AS (SELECT DISTINCT a.doc_id FROM fx_edits a JOIN fx_edits b ON a.doc_id = b.doc_id AND a.start < b.start AND b.start < a."end")
+SELECT o.doc_id, pos, CASE WHEN o.doc_id NOT IN (SELECT doc_id FROM bad) THEN (coalesce(max(CASE WHEN e.start < pos AND pos < e."end" THEN e.start END), pos) + coalesce(sum(CASE WHEN e."end" <= pos THEN length(replacement) - (e."end" - e.start) ELSE 0 END), 0))::BIGINT END AS new_pos
 FROM fx_offsets o LEFT JOIN e ON e.doc_id = o.doc_id AND e.start < pos GROUP BY o.doc_id, pos""",
     "ngram_counts": "WITH " + _lm(_ENGLISH, "documents").split("z AS (")[0].strip().rstrip(",") + " SELECT md5(g) AS digest, n FROM tr WHERE n >= 2",
     "fluency_fixture": f"WITH {X.LM_CORPUS.cte()}, {X.LM_TESTS.cte()}, {_lm('fx_lm', 'fx_lm_tests').strip()}",

@@ -67,7 +67,7 @@ def lm_tokens(spark, sf_dir):
 
 def heading_lines(spark, sf_dir):
     lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
-    return lines.where(T.looks_like_heading(F.col("line"))).select("doc_id", F.col("line_idx").cast("long"), F.trim("line").alias("line"))
+    return lines.where(T.heading_style(F.col("line")).isNotNull()).select("doc_id", F.col("line_idx").cast("long"), F.trim("line").alias("line"))
 
 
 def running_lines(spark, sf_dir):

@@ -31,7 +31,7 @@ def test_claims_need_evidence_here_or_next(spark):
 
 @pytest.mark.parametrize("line,hit", [("# Title", True), ("2.1 Method Used", True), ("ALL CAPS LINE", True), ("Plain sentence here with words.", False), ("A Title Case Line", True), ("", False), ("x" * 91, False)])
 def test_headings(spark, line, hit):
-    assert spark.createDataFrame([(line,)], "l string").select(T.looks_like_heading(F.col("l")).alias("h")).first().h == hit
+    assert spark.createDataFrame([(line,)], "l string").select(T.heading_style(F.col("l")).isNotNull().alias("h")).first().h == hit
 
 
 def test_units(spark):

@@ -76,3 +76,19 @@ def test_long_documents_rank_as_short_ones(spark):
     want = {(r.doc_id, r.sent_idx): r.rank for r in G.central_sentences(s).collect()}
     got = {(r.doc_id, r.sent_idx): r.rank for r in G.central_sentences_any_length(s, most=3).collect()}
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_repeated_and_null_ids(spark):
+    """Scores are a row per row, and spans of two texts with one id stay apart."""
+    from penstock.functions.text import find_spans
+    from penstock.operators.metrics import score_documents
+    from penstock.operators.spans import merge_by_priority
+
+    text = "The pump runs well. It was tested by the team. The valve may leak."
+    docs = spark.createDataFrame([(1, text), (1, "Another text. It is short."), (None, text), (2, None), (1, text)], "doc_id long, text string")
+    got = score_documents(docs).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "1", "2", "None"]
+    assert len({r.overall for r in got if r.doc_id is None} | {r.overall for r in got if r.doc_id == 1}) == 2
+    two = spark.createDataFrame([(1, 'ab "quoted" c'), (1, "0123456789012")], "doc_id long, text string")
+    found = find_spans(two, {"number": "[0-9]+", "quote": '"[^"]+"'}, keep=("_row",))
+    assert sorted((r.start, r.end, r.kind) for r in merge_by_priority(found, ["quote", "number"], ("_row", "doc_id")).collect()) == [(0, 13, "number"), (3, 11, "quote")]
