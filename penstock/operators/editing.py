@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import let
+
 HUNK = T.ArrayType(T.StructType([T.StructField(c, t) for c, t in (("start", T.IntegerType()), ("end", T.IntegerType()), ("replacement", T.StringType()))]))
 #: Words with apostrophes, single marks, runs of white space.
 DIFF_TOKEN = re.compile(r"\w+(?:['’]\w+)*|\s+|[^\w\s]")
@@ -62,3 +64,27 @@ def nearest_occurrence(text: Column, phrase: Column, pos: Column, within: int =
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - F.length(phrase), F.lit(0))), lambda i: (F.abs(i - pos) <= within) & (text.substr(i + 1, F.length(phrase)) == phrase))
     best = F.array_min(F.transform(starts, lambda i: F.struct(F.abs(i - pos).alias("far"), i.alias("at"))))
     return F.when(F.length(phrase) > 0, best["at"]).cast("long")
+
+
+def minimal_edit(old: Column, new: Column) -> Column:
+    """(start, end, replacement): the least span of old to replace, in whole words; null where both are equal or either is null.
+
+    Words and what stands between them are compared from both ends, so an edit never begins or ends inside a word.
+    """
+    parts = lambda t: F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"), F.lit(0))
+
+    def of(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        most = F.least(F.size(a), F.size(b))
+        differ = lambda x, y: F.array_position(F.zip_with(F.slice(x, 1, most), F.slice(y, 1, most), lambda u, v: u != v), True)
+        head = lambda d: F.when(d == 0, most).otherwise(d.cast("int") - 1)
+        first = head(differ(a, b))
+        last = F.least(head(differ(F.reverse(a), F.reverse(b))), most - first)
+        joined = lambda x: F.array_join(x, "")
+        return F.struct(
+            F.length(joined(F.slice(a, 1, first))).cast("long").alias("start"),
+            (F.length(joined(a)) - F.length(joined(F.slice(a, F.size(a) - last + 1, last)))).cast("long").alias("end"),
+            joined(F.slice(b, first + 1, F.size(b) - last - first)).alias("replacement"),
+        )
+
+    return F.when(old != new, let(F.struct(parts(old).alias("a"), parts(new).alias("b")), of))

@@ -32,6 +32,13 @@ def merge_by_priority(spans: DataFrame, priority: list[str], by: tuple[str, ...]
     return merged.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", "_rank").alias("kind")).drop("island")
 
 
+def shift_spans(spans: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Spans moved by the offset of their document; those of documents without one stay."""
+    moved = spans.join(offsets.select(F.col("doc_id").alias("_d"), "offset"), F.col("doc_id") == F.col("_d"), "left")
+    by = F.coalesce("offset", F.lit(0))
+    return moved.withColumn("start", F.col("start") + by).withColumn("end", F.col("end") + by).drop("_d", "offset")
+
+
 def overlaps(a: DataFrame, b: DataFrame) -> Column:
     return (a["doc_id"] == b["doc_id"]) & (a["start"] < b["end"]) & (b["start"] < a["end"])
 

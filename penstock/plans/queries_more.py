@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 from ..functions.text import sentences
 from ..operators import client as CL
 from ..operators import detectors as D
+from ..operators import fingerprint as FP
 from ..operators import fit as FT
 from ..operators import flow as FL
+from ..operators import services as SV
+from ..operators import spans as S
+from ..operators.editing import minimal_edit
+from ..operators.fingerprint import fingerprints as fingerprints_of
 from ..operators.issues import LEXICONS, PRIORITY
 from . import fixtures as X
 from .queries_model import _islands_sql
+from .queries_rules import ORACLES as RULES
 from .queries_text import SENTENCES, WORDS, docs
 
 KEEP = ["orifice plate", "Reynolds number"]
@@ -201,6 +207,31 @@ def swapped_statements(spark, sf_dir):
     return SWAPS.df(spark).select("id", CL.swap_terms(F.col("statement"), F.col("a"), F.col("b")).alias("swapped"), CL.picked(F.col("statement"), PROMPTS).alias("prompt"))
 
 
+PAIRS = X.Fixture("fx_pairs", "id long, old string, new string, start long, end long, replacement string", [
+    (1, "the quick fox", "the slow fox", 4, 9, "slow"), (2, "the fox", "the fox", None, None, None), (3, "a b", "a b c", 3, 3, " c"), (4, "walked home", "walking home", 0, 6, "walking"), (5, "", "new", 0, 0, "new"), (6, "old", "", 0, 3, ""),
+    (7, "to to to", "to to", 5, 8, ""), (8, "one, two", "one; two", 3, 4, ";"), (9, None, "x", None, None, None), (10, "x y z", "q y r", 0, 5, "q y r"),
+])
+OFFSETS = X.Fixture("fx_shift", "doc_id long, offset long", [(1, 10), (2, -3)])
+
+
+def minimal_edits(spark, sf_dir):
+    """Edits of the fixture; its last columns are what they must be."""
+    edit = minimal_edit(F.col("old"), F.col("new"))
+    return PAIRS.df(spark).select("id", edit.alias("e")).select("id", "e.start", "e.end", "e.replacement")
+
+
+def shifted_spans(spark, sf_dir):
+    return S.shift_spans(X.SPANS.df(spark), OFFSETS.df(spark))
+
+
+def fingerprints(spark, sf_dir):
+    return fingerprints_of(docs(spark, sf_dir), "source")
+
+
+def report_issues(spark, sf_dir):
+    return SV.report_issues(X.REPORT.df(spark))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and f.__code__.co_varnames[:2] == ("spark", "sf_dir")}
 
 
@@ -236,8 +267,15 @@ iss AS (SELECT doc_id, substr(sha1(kind || ':' || start || ':' || "end"), 1, 10)
 
 _HEAD = "regexp_replace(regexp_replace(line, '^\\s*[0-9]+(?:\\.[0-9]+)*[.)]?\\s+', ''), '[:\\s]+$', '')"
 _SECT = "CASE lower(trim(" + _HEAD + ")) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FL.section_of.__globals__["SECTIONS"].items()) + " END"
-_LINED = f"""{LINES.cte()}, ln AS (SELECT *, {_SECT} AS sec FROM fx_lines),
-ls AS (SELECT doc_id, line_idx, line, sec IS NOT NULL AS heading, coalesce(last_value(sec IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_idx), 'body') AS section FROM ln)"""
+def _lined(fixture: X.Fixture) -> str:
+    return f"""{fixture.cte()}, ln AS (SELECT *, {_SECT} AS sec FROM {fixture.name}),
+ls AS (SELECT doc_id, line_idx, line, sec IS NOT NULL AS heading, coalesce(last_value(sec IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_idx), 'body') AS section FROM ln),
+v AS (SELECT *, CASE WHEN p AND NOT q THEN 1 WHEN q AND NOT p THEN -1 ELSE 0 END AS vote FROM (SELECT *, regexp_matches(line, {text_sql(FL.PAST)}) AS p, regexp_matches(line, {text_sql(FL.PRESENT)}) AS q FROM ls WHERE NOT heading AND section <> 'references')),
+tv AS (SELECT *, sum(vote) OVER (PARTITION BY doc_id, section) AS total FROM v),
+al AS (SELECT doc_id, sum(len(list_filter(string_split_regex(line, '\\s+'), lambda w: w <> '')))::BIGINT AS n_words FROM ls WHERE section = 'abstract' AND NOT heading GROUP BY doc_id),
+mu AS (SELECT doc_id, line_idx FROM ls WHERE section IN ('results', 'discussion') AND NOT heading AND regexp_matches(line, {text_sql(FL.QUANTITY)}) AND NOT regexp_matches(trim(regexp_extract(line, {text_sql(FL.QUANTITY)}, 1)), '^(?:%|°|[A-Za-z]{{1,3}})'))"""
+
+
 _OPEN = text_sql(FL.OPENING)
 _TRANS = f"nullif(lower(regexp_extract(sentence, {_OPEN}, 1)), '')"
 _FREQ = f"{WORDS.replace('FROM documents', "FROM documents WHERE lang = 'en'")}, wl AS (SELECT doc_id, lower(unnest(w)) AS word FROM w), wc AS (SELECT word, count(*) AS n FROM wl GROUP BY 1), zf AS (SELECT word, n, log10(n * 1e9::DOUBLE / (SELECT sum(n) FROM wc)::DOUBLE) AS z FROM wc)"
@@ -254,6 +292,20 @@ bk AS (SELECT *, list(opener) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS B
 SELECT doc_id, sent_idx, opener FROM bk WHERE len(list_filter(b, lambda x: x = opener)) >= 3"""
 
 
+def _prints_sql() -> str:
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+    marks = ", ".join(f"sum(len(regexp_extract_all(text, {text_sql(p)})))::DOUBLE AS {m}" for m, p in FP.MARKS.items())
+    opener = "lower(regexp_extract(sentence, '[A-Za-z]+'))"
+    flag = lambda test, name: f"sum(CASE WHEN {test} THEN 1 ELSE 0 END)::DOUBLE AS {name}"
+    return f"""WITH {SENTENCES}, {WORDS}, st AS (SELECT source, count(*)::DOUBLE AS sents, sum(len(words))::DOUBLE AS len1, sum(len(words) * len(words))::DOUBLE AS len2, {flag('len(words) > 30', 'lg')}, {flag('len(words) < 8', 'sh')},
+{flag(f'{opener} IN ({listed(FP.PRONOUNS)})', 'po')}, {flag(f"{opener} IN ('the', 'a', 'an')", 'ao')}, {flag(f'regexp_matches(sentence, {_OPEN})', 'tr')}, {flag(f'regexp_matches(sentence, {text_sql(FP.PASSIVE)})', 'pa')} FROM sents JOIN documents USING (doc_id) GROUP BY 1),
+wt AS (SELECT source, count(*)::DOUBLE AS words, sum(length(x))::DOUBLE AS letters, {flag('length(x) > 6', 'lw')}, {flag(f'lower(x) IN ({listed(FP.FIRST)})', 'fi')} FROM (SELECT source, unnest(w) AS x FROM w JOIN documents USING (doc_id)) GROUP BY 1),
+mk AS (SELECT source, {marks} FROM documents GROUP BY 1)
+SELECT source, words::BIGINT AS n_words, round(len1 / sents, 4) AS length_mean, round(sqrt(greatest(len2 / sents - (len1 / sents) * (len1 / sents), 0.0::DOUBLE)), 4) AS length_sd, round(letters / words, 4) AS word_length, round(lw / words, 4) AS long_word_share, round(1000.0::DOUBLE * fi / words, 4) AS first_person_per_1000,
+round(lg / sents, 4) AS long_share, round(sh / sents, 4) AS short_share, round(po / sents, 4) AS pronoun_opener_share, round(ao / sents, 4) AS article_opener_share, round(tr / sents, 4) AS transition_share, round(pa / sents, 4) AS passive_share,
+{", ".join(f"round(1000.0::DOUBLE * {m} / words, 4) AS {m}_per_1000" for m in FP.MARKS)} FROM st JOIN wt USING (source) JOIN mk USING (source) WHERE words >= 300"""
+
+
 _MAP = "MAP {" + ", ".join(f"'{k}': {v}::DOUBLE" for k, v in RATES.items()) + "}"
 _GRADED = f"""{QUIZ.cte()}, {GIVEN.cte()}, gr AS (SELECT q.doc_id, q.qid, prompt, key, score, CASE WHEN key IS NOT NULL THEN lower(trim(coalesce(answer, ''))) = lower(key) END AS correct FROM fx_quiz q LEFT JOIN fx_given a ON a.doc_id = q.doc_id AND a.qid = q.qid)"""
 ORACLES = {
@@ -275,12 +327,11 @@ SELECT * FROM w WHERE transition IS NOT NULL AND (repeated OR dense)""",
     "opener_triggers_documents": f"WITH {SENTENCES}, {_triggers_sql('sents')}",
     "first_mention_order": f"""WITH {MENTIONS.cte()}, f AS (SELECT doc_id, kind, number, min(start) AS start FROM fx_mentions GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY start) AS place FROM f)
 SELECT doc_id, kind, number, place FROM r WHERE number > place AND NOT EXISTS (SELECT 1 FROM r b WHERE b.doc_id = r.doc_id AND b.kind = r.kind AND b.place < r.place AND b.number = r.number - 1)""",
-    "sectioned_lines": f"WITH {_LINED} SELECT doc_id, line_idx, heading, section, NOT heading AND section <> 'references' AS in_body FROM ls",
-    "report_findings": f"""WITH {_LINED}, v AS (SELECT *, CASE WHEN p AND NOT q THEN 1 WHEN q AND NOT p THEN -1 ELSE 0 END AS vote FROM (SELECT *, regexp_matches(line, {text_sql(FL.PAST)}) AS p, regexp_matches(line, {text_sql(FL.PRESENT)}) AS q FROM ls WHERE NOT heading AND section <> 'references')),
-s AS (SELECT *, sum(vote) OVER (PARTITION BY doc_id, section) AS total FROM v)
-SELECT doc_id, 'abstract_long' AS rule, sum(len(list_filter(string_split_regex(line, '\\s+'), lambda w: w <> '')))::BIGINT AS "at" FROM ls WHERE section = 'abstract' AND NOT heading GROUP BY doc_id HAVING sum(len(list_filter(string_split_regex(line, '\\s+'), lambda w: w <> ''))) > 5
-UNION ALL SELECT doc_id, 'tense', line_idx FROM s WHERE vote <> 0 AND vote * total < 0
-UNION ALL SELECT doc_id, 'units.missing', line_idx FROM ls WHERE section IN ('results', 'discussion') AND NOT heading AND regexp_matches(line, {text_sql(FL.QUANTITY)}) AND NOT regexp_matches(trim(regexp_extract(line, {text_sql(FL.QUANTITY)}, 1)), '^(?:%|°|[A-Za-z]{{1,3}})')""",
+    "sectioned_lines": f"WITH {_lined(LINES)} SELECT doc_id, line_idx, heading, section, NOT heading AND section <> 'references' AS in_body FROM ls",
+    "report_findings": f"""WITH {_lined(LINES)} SELECT doc_id, 'abstract_long' AS rule, n_words AS "at" FROM al WHERE n_words > 5 UNION ALL SELECT doc_id, 'tense', line_idx FROM tv WHERE vote <> 0 AND vote * total < 0 UNION ALL SELECT doc_id, 'units.missing', line_idx FROM mu""",
+    "report_issues": f"""WITH {_lined(X.REPORT)} SELECT doc_id, 'structure.abstract_long' AS rule, n_words::VARCHAR AS about FROM al WHERE n_words > 250 UNION ALL SELECT doc_id, 'tense.mixed', section || ':' || line_idx FROM tv WHERE vote <> 0 AND vote * total < 0
+UNION ALL SELECT doc_id, 'units.missing', line_idx::VARCHAR FROM mu UNION ALL SELECT doc_id, rule, section FROM ({RULES['report_structure']}) UNION ALL SELECT doc_id, rule, abbr FROM ({RULES['report_abbreviations']})
+UNION ALL SELECT doc_id, rule, kind || ' ' || number FROM ({RULES['report_figures']}) UNION ALL SELECT doc_id, rule, surface FROM ({RULES['report_units']})""",
     "rhythm_series": f"WITH {SENTENCES} SELECT doc_id, sent_idx, len(words)::BIGINT AS n_words, round(avg(len(words)) OVER (PARTITION BY doc_id), 4) AS mean, round(stddev_pop(len(words)) OVER (PARTITION BY doc_id), 4) AS sd FROM sents",
     "short_pairs": f"WITH {FLOW.cte()}, {_pairs_sql('fx_flow')}",
     "short_pairs_documents": f"WITH {SENTENCES}, {_pairs_sql('(SELECT *, len(words) AS n_words FROM sents)')}",
@@ -299,6 +350,9 @@ CASE WHEN len(w) > 0 THEN greatest(0.0, least(1.0, 0.6 + 0.4 * least(1.0, len(li
 y AS (SELECT *, 0.45 * pow(0.5, hits) + 0.25 * length + 0.15 * tf + 0.15 * 0.5 + CASE WHEN repeats IS NULL THEN 0.0 ELSE 0.1 * CASE repeats WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END END AS tt, 1.0 + CASE WHEN repeats IS NULL THEN 0.0 ELSE 0.1 END AS ww FROM t)
 SELECT id, round(tf, 6) AS tone_fit, round(vf, 6) AS voice_fit, round((CASE WHEN vf IS NULL THEN tt / ww ELSE (0.75 * tt + 0.25 * vf) / (0.75 * ww + 0.25) END)::DOUBLE, 6) AS style_fit, round(fl, 6) AS fluency,
 round((CASE WHEN candidate >= original OR original >= 0 THEN 0.0 ELSE (original - candidate) / abs(original) END)::DOUBLE, 6) AS "drop", round(greatest(0.05, least(0.99, 0.25 + 0.45 * greatest(0.0, least(1.0, (meaning - 0.8) / (1.0 - 0.8))) + 0.3 * fl))::DOUBLE, 2) AS confidence FROM y""",
+    "minimal_edits": f"WITH {PAIRS.cte()} SELECT id, start, \"end\", replacement FROM fx_pairs",
+    "shifted_spans": f'WITH {X.SPANS.cte()}, {OFFSETS.cte()} SELECT s.doc_id, s.start + coalesce("offset", 0) AS start, s."end" + coalesce("offset", 0) AS "end", kind FROM fx_spans s LEFT JOIN fx_shift o ON o.doc_id = s.doc_id',
+    "fingerprints": _prints_sql(),
     "compatible_edits": f"""WITH {EDIT_SET.cte()} SELECT a.doc_id, a.edit_id AS a, b.edit_id AS b FROM fx_edit_set a JOIN fx_edit_set b ON a.doc_id = b.doc_id AND a.sent_idx = b.sent_idx AND a.edit_id < b.edit_id AND (a."end" < b.start OR b."end" < a.start)""",
     "capped_candidates": f"""WITH {CANDIDATES.cte()}, o AS (SELECT * FROM fx_candidates QUALIFY row_number() OVER (PARTITION BY doc_id, sent_idx, text ORDER BY n_edits DESC, cand_idx) = 1)
 SELECT doc_id, sent_idx, cand_idx, text, row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY n_edits > 1 DESC, cand_idx) AS rank FROM o QUALIFY rank <= 7""",
