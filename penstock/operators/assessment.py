@@ -21,7 +21,8 @@ def copied_share(answer: Column, source_grams: Column) -> Column:
     """Share of the answer's 4-grams that are among the source's (a column, so that they are made once per row)."""
 
     def share(a: Column) -> Column:
-        known = F.size(F.filter(a, lambda g: F.array_contains(source_grams, g)))
+        # The grams both have are found by hash; only they are looked up for each gram of the answer.
+        known = let(F.array_intersect(a, source_grams), lambda both: F.size(F.filter(a, lambda g: F.array_contains(both, g))))
         return F.when(F.size(a) > 0, known / F.size(a).cast("double")).otherwise(0.0)
 
     return let(word_grams(answer), share)

@@ -61,7 +61,10 @@ def greedy_spans(spans: DataFrame) -> DataFrame:
 
 def nearest_occurrence(text: Column, phrase: Column, pos: Column, within: int = 400) -> Column:
     """Start of the occurrence of a phrase closest to a place, at most so far away; ties go to the left; null without one."""
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - F.length(phrase), F.lit(0))), lambda i: (F.abs(i - pos) <= within) & (text.substr(i + 1, F.length(phrase)) == phrase))
+    low = F.greatest(pos - within, F.lit(0)).cast("int")
+    high = F.least(pos + within, F.length(text) - F.length(phrase)).cast("int")
+    places = F.when(high >= low, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: text.substr(i + 1, F.length(phrase)) == phrase)
     best = F.array_min(F.transform(starts, lambda i: F.struct(F.abs(i - pos).alias("far"), i.alias("at"))))
     return F.when(F.length(phrase) > 0, best["at"]).cast("long")
 
