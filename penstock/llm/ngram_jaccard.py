@@ -46,6 +46,7 @@ BUCKET = 4_000_000
 SETS_AT_ONCE = 20_000
 #: A text is very frequent from so many copies on, or a thousandth of all rows where that is more.
 HOT_COPIES = 1000
+SETS = "unit long, sig long, linked boolean, grams binary"
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -278,23 +279,24 @@ def edges_of_sets(t: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 def send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """unit, sig and the whole set, for each unit a candidate belongs to; copies that meet in this task go once."""
+    """unit, sig, linked (to the component's pivot) and the whole set, for each unit a candidate belongs to; copies that meet in this task go once."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
         for part in pieces(batch, SLICE):
             sets = [s.astype("<u8").tobytes() for s in shingle_sets(part.column(part.schema.get_field_index("text")))]
             units = part.column(part.schema.get_field_index("units")).to_pylist()
             sig = part.column(part.schema.get_field_index("sig")).to_pylist()
+            linked = part.column(part.schema.get_field_index("linked")).to_pylist()
             rows = []
-            for us, g, s in zip(units, sig, sets):
+            for us, g, known, s in zip(units, sig, linked, sets):
                 if (g, us[0]) not in seen:
                     seen.add((g, us[0]))
-                    rows += [(u, g, s) for u in us]
+                    rows += [(u, g, known, s) for u in us]
             if len(seen) > 100_000:
                 seen.clear()
             for a in range(0, len(rows), 500):
-                u, g, s = zip(*rows[a : a + 500])
-                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(g, pa.int64()), pa.array(s, pa.binary())], ["unit", "sig", "grams"])
+                u, g, known, s = zip(*rows[a : a + 500])
+                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(g, pa.int64()), pa.array(known, pa.bool_()), pa.array(s, pa.binary())], ["unit", "sig", "linked", "grams"])
 
 
 class InvertedLists:
@@ -349,22 +351,31 @@ class InvertedLists:
         return np.unique(np.concatenate(lists), return_counts=True)
 
 
-def linked_classes(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set the first set of its class, by breadth-first T-occurrence searches among sets not reached yet."""
+def linked_classes(sets: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """For each set the first set of its class, by breadth-first T-occurrence searches among sets not reached yet.
+
+    Sets that are known to be in one class are in no inverted list; searches start from them.
+    """
     size = np.array([s.size for s in sets], np.int64)
     vocabulary, token = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(size.size), size)
-    lists = InvertedLists(token, owner, vocabulary.size)
     begin = np.concatenate([[0], np.cumsum(size)])
     root = np.full(size.size, -1)
-    free = np.ones(size.size, bool)
-    left = indexed = size.size
-    for seed in range(size.size):
-        if root[seed] >= 0:
+    free = ~known
+    listed = free[owner]
+    lists = InvertedLists(token[listed], owner[listed], vocabulary.size)
+    left = indexed = int(free.sum())
+    first = np.flatnonzero(known)
+    root[first] = first[:1]
+    for seed in [*first[:1].tolist(), *np.flatnonzero(free).tolist()]:
+        if known[seed]:
+            queue = first.tolist()
+        elif root[seed] >= 0:
             continue
-        root[seed], free[seed] = seed, False
-        left -= 1
-        queue = [seed]
+        else:
+            root[seed], free[seed] = seed, False
+            left -= 1
+            queue = [seed]
         while queue and left:
             q = queue.pop()
             found, overlap = lists.search(token[begin[q] : begin[q + 1]], int(required(size[q])))
@@ -381,23 +392,27 @@ def linked_classes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def solve_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): set and least set of its class, from units that come in order of unit."""
+    """(a, b): set and a set of its class, one for all of the class, from units that come in order of unit.
+
+    Links between sets that a pivot links to are known, and are not among the pairs.
+    """
 
-    def solved(rows: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    def solved(rows: dict[int, tuple[bool, bytes]]) -> Iterator[pa.RecordBatch]:
         if len(rows) > 1:
             sigs = np.array(sorted(rows), np.int64)
-            root = sigs[linked_classes([np.frombuffer(rows[int(g)], "<u8") for g in sigs])]
-            own = root != sigs
+            known = np.array([rows[int(g)][0] for g in sigs])
+            root = sigs[linked_classes([np.frombuffer(rows[int(g)][1], "<u8") for g in sigs], known)]
+            own = (root != sigs) & ~known
             if own.any():
                 yield pa.record_batch([pa.array(sigs[own]), pa.array(root[own])], ["a", "b"])
 
     now, rows = None, {}
     for batch in batches:
-        for unit, sig, grams in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for unit, sig, known, grams in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if unit != now:
                 yield from solved(rows)
                 now, rows = unit, {}
-            rows[sig] = grams
+            rows[sig] = known, grams
     yield from solved(rows)
 
 
@@ -413,15 +428,15 @@ def against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def split_components(members: DataFrame, texts: DataFrame, large: DataFrame, unit_shingles: int) -> tuple[DataFrame, DataFrame]:
-    """(links to pivots, (key, sig, units) of the rest) of components that are too large for a task.
+    """(links to pivots, (key, sig, units, linked) of the rest) of components that are too large for a task.
 
     The sets a pivot does not link to are dealt to blocks, all sets of the component to blocks too, and each pair of the two
     kinds is a unit. A set goes to as many units as there are blocks of the other kind.
     """
     inside = members.join(large.select("root"), "root")
     pivots = inside.groupBy("root").agg(F.min("sig").alias("pivot"))
-    with_root = inside.select("key", "sig", "root", F.array(F.lit(0).cast("long")).alias("units"))
-    grams = materialise(texts.select("key", "text").join(with_root.hint("merge"), "key").mapInArrow(send_sets, "unit long, sig long, grams binary").dropDuplicates(["sig"]).join(inside.select("sig", "root"), "sig"), "large")
+    with_root = inside.select("key", "sig", "root", F.array(F.lit(0).cast("long")).alias("units"), F.lit(False).alias("linked"))
+    grams = materialise(texts.select("key", "text").join(with_root.hint("merge"), "key").mapInArrow(send_sets, SETS).select("sig", "grams").dropDuplicates(["sig"]).join(inside.select("sig", "root"), "sig"), "large")
     of_pivot = grams.join(pivots, (grams["root"] == pivots["root"]) & (F.col("sig") == F.col("pivot"))).select(pivots["root"].alias("_root"), F.col("grams").alias("_grams"))
     held = materialise(grams.join(of_pivot, F.col("root") == F.col("_root")).select("sig", "grams", "_grams").mapInArrow(against_pivot, "sig long, linked boolean"), "pivots")
     state = inside.join(held, "sig").join(pivots, "root")
@@ -433,7 +448,7 @@ def split_components(members: DataFrame, texts: DataFrame, large: DataFrame, uni
     every = F.transform(F.sequence(F.lit(0), F.col("open_blocks") - 1), lambda i: unit(i, of("all_blocks", 1)))
     open_ = F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda j: unit(of("open_blocks", 2), j))
     units = F.when(F.col("linked"), every).otherwise(F.array_distinct(F.concat(every, open_)))
-    return links, state.join(sizes, "root").select("key", "sig", units.alias("units"))
+    return links, state.join(sizes, "root").select("key", "sig", units.alias("units"), "linked")
 
 
 def once_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,13 +494,13 @@ def classified(docs: DataFrame, unit_shingles: int, hot_sets: int) -> DataFrame:
     if hot := hot_keys(described, "key", HOT_COPIES):
         single = single.where(~F.col("key").isin(hot)).union(single.where(F.col("key").isin(hot)).mapInArrow(once_per_task, single.schema))
     large = sizes.where(F.col("total") > unit_shingles)
-    placed = members.join(sizes.where(F.col("total") <= unit_shingles), "root").select("key", "sig", F.array("root").alias("units"))
+    placed = members.join(sizes.where(F.col("total") <= unit_shingles), "root").select("key", "sig", F.array("root").alias("units"), F.lit(False).alias("linked"))
     split = large.limit(1).count() > 0
     if split:
         pivoted, rest = split_components(members, single, large, unit_shingles)
         placed = placed.unionByName(rest)
     # Members grow with the corpus, so they are never broadcast, however few they are.
-    sets = single.join(placed.hint("merge"), "key").mapInArrow(send_sets, "unit long, sig long, grams binary")
+    sets = single.join(placed.hint("merge"), "key").mapInArrow(send_sets, SETS)
     links = materialise(sets.repartition("unit").sortWithinPartitions("unit").mapInArrow(solve_units, "a long, b long"), "links")
     classes = connected_components(links.union(pivoted)) if split else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     rows = described.join(classes, F.col("sig") == F.col("node"), "left").select("doc_id", "key", "n", F.coalesce("root", "sig").alias("class"))
