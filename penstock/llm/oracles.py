@@ -60,4 +60,26 @@ dk AS (SELECT doc_id, z, i, array_to_string(w[i:i+z-1], ' ') AS k FROM (SELECT d
 h AS (SELECT doc_id, dk.z, i, item FROM dk JOIN wk ON wk.z = dk.z AND wk.k = dk.k), c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + z)) AS p FROM h) GROUP BY 1),
 t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated FROM dw LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, ('0x' || s[1:8])::BIGINT % (n + 1) AS x, ('0x' || s[9:16])::BIGINT % (n + 1) AS y, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT doc_id, t, n, least(x, y) AS a, greatest(x, y) AS b, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c""",
+    "op13_prefix_trie": """
+WITH tb AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+z AS (SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d, length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS i, d, chars FROM z),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t) CROSS JOIN tb),
+r AS (SELECT c.conv_id, 0 AS part, i, d, chars FROM c JOIN t ON t.conv_id = base AND i <= h UNION ALL SELECT t.conv_id, 1, i, d, chars FROM t JOIN c USING (conv_id) WHERE i > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(d, '') OVER w AS k, chars FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, i ROWS UNBOUNDED PRECEDING) UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS (SELECT k, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(chars) AS chars FROM p GROUP BY 1),
+ch AS (SELECT k[1:length(k) - 32] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+e AS (SELECT k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, arg_max(k, depth) AS k FROM p GROUP BY 1) GROUP BY 1),
+u AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (k)),
+s AS (SELECT p.k, sum((n_convs - 1) * u.chars) AS saved, sum((n_children = 0)::INTEGER) AS leaves FROM u JOIN p ON p.conv_id = u.conv_id AND p.depth <= u.depth GROUP BY 1)
+SELECT u.conv_id, u.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, u.n_convs::BIGINT AS n_convs, u.n_children::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM u JOIN s ON s.k = u.k LEFT JOIN n q ON u.depth > 0 AND q.k = u.k[1:length(u.k) - 32] LEFT JOIN e ON e.k = u.k""",
 }
