@@ -16,6 +16,9 @@ whole. A core with over ``group_contexts`` different contexts is not sent to one
 Texts with a thousandth of all rows or more as copies (so a thousand texts at most) are thinned out in their tasks before they
 meet, and their copies are spread over ``SALTS`` keys when results go back to rows.
 
+With ``n_words`` the same search runs over codes: eight bytes of a hash for each word. Windows of 8 * n_words bytes that begin with a word are
+windows of words, of any number of bytes; nothing of fewer words is cut, not even where several such repeats touch each other.
+
 Nulls and edge cases: null and empty texts have 0 bytes and lose nothing, as do texts shorter than ``length``;
 matches never cross texts; repeated rows count as copies of a text; a null doc_id is carried; an empty table gives an
 empty result; texts of any length are read in overlapping stretches; which of several equal passages comes first does not matter,
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MIX, drop_table, materialise, mix64, pieces, reserve, text_buffer, whole_groups
+from .common import MIX, NOT_SPACE, drop_table, hash_words, materialise, mix64, pieces, reserve, text_buffer, whole_groups, words
 from .suffix_array import common_prefixes, suffix_array
 
 STRETCH = 1 << 18
@@ -85,8 +88,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     if raw.size < length or not (last >= first).any():
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     eight = np.lib.stride_tricks.as_strided(raw, (raw.size - 7, 8), (1, 1))
-    words = np.ascontiguousarray(eight).view("<u8").ravel()
-    k = mix64(words[:-8] * MIX ^ mix64(words[8:]))
+    eights = np.ascontiguousarray(eight).view("<u8").ravel()
+    k = mix64(eights[:-8] * MIX ^ mix64(eights[8:]))
     low = (k & np.uint64(0xFFFFFFFF00000000)) | np.arange(k.size, dtype=np.uint64)
     span, step = span_of(length), 1
     while 2 * step <= span:
@@ -311,7 +314,43 @@ def hash_windows(length: int) -> callable:
     return run
 
 
-def cut_out(carry: list[str], length: int, min_words: int) -> callable:
+def code_words(carry: list[str]) -> callable:
+    """carry, text, and the text's words (runs without ASCII white space) as eight bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                raw, offsets = text_buffer(part.column(part.schema.get_field_index("text")))
+                start, end, row = words(raw, offsets, NOT_SPACE)
+                code = hash_words(raw, start, end)
+                cut = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+                arrays = {c: part.column(part.schema.get_field_index(c)) for c in [*carry, "text"]}
+                arrays["_code"] = pa.array([code[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+                yield pa.record_batch(list(arrays.values()), list(arrays))
+
+    return run
+
+
+def word_runs(text: bytes, found: list[dict], count: int) -> list[list[int]]:
+    """Byte places of maximal runs of words that repeated windows of `count` words cover; found has places in the text's code."""
+    raw = np.frombuffer(text, np.uint8)
+    start, end, _ = words(raw, np.array([0, raw.size]), NOT_SPACE)
+    out: list[list[int]] = []
+    last = -1
+    for s1, s2 in sorted((x["s1"], x["s2"]) for x in found):
+        a, b = -(-s1 // 8), s2 // 8  # windows that begin with a word
+        if a > b:
+            continue
+        if out and a <= last:
+            last = max(last, b + count)
+            out[-1][1] = int(end[last - 1])
+        else:
+            last = b + count
+            out.append([int(start[a]), int(end[last - 1])])
+    return out
+
+
+def cut_out(carry: list[str], length: int, count: int) -> callable:
     """carry, n_bytes, removed (runs of byte places), kept (the remaining bytes), kept_text (without parts of cut characters)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,8 +367,8 @@ def cut_out(carry: list[str], length: int, min_words: int) -> callable:
                         else:
                             runs.append([s1, s2 + length])
                     text = whole[offsets[i] : offsets[i + 1]]
-                    if min_words:
-                        runs = [r for r in runs if len(text[r[0] : r[1]].split()) >= min_words]
+                    if count:
+                        runs = word_runs(text, found or [], count)
                     removed.append([{"start": a, "end": b} for a, b in runs])
                     ends = [0, *(x for r in runs for x in r), len(text)]
                     kept.append(b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2])))
@@ -343,20 +382,19 @@ def cut_out(carry: list[str], length: int, min_words: int) -> callable:
     return run
 
 
-def whole_text() -> tuple[Column, Column, Column]:
-    """The text (null: empty), the first 64 bits of its MD5, and its bytes."""
-    text = F.coalesce("text", F.lit(""))
-    return text, F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long"), F.octet_length(text)
+def content_key(text: Column) -> tuple[Column, Column]:
+    """The first 64 bits of the MD5 of a text or code, and its bytes."""
+    return F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long"), F.octet_length(text)
 
 
-def find_repeats(docs: DataFrame, length: int, group_contexts: int) -> tuple[DataFrame, list[int]]:
-    """(key, n, found: ranges of window starts that repeat) of each text that has any, and the keys of very frequent texts."""
-    text, digest, size = whole_text()
-    texts = docs.select(text.alias("text"), digest.alias("key"), size.alias("n")).where(F.col("n") >= length)
+def find_repeats(contents: DataFrame, length: int, group_contexts: int) -> tuple[DataFrame, list[int]]:
+    """(key, n, found: ranges of window starts that repeat) of each text (a column without nulls) that has any, and the keys of very frequent texts."""
+    digest, size = content_key(F.col("text"))
+    texts = contents.select("text", digest.alias("key"), size.alias("n")).where(F.col("n") >= length)
     found = materialise(texts.select("key", "n", "text").mapInArrow(find_anchors(length), ANCHOR), "anchors")
     copies = materialise(texts.groupBy("key", "n").agg(F.count("*").alias("c")).where("c > 1"), "copies")
     # A thousand keys at most, whatever the input.
-    hot = [r.key for r in copies.where(F.col("c") >= max(HOT_COPIES, docs.count() // 1000)).select("key").collect()]
+    hot = [r.key for r in copies.where(F.col("c") >= max(HOT_COPIES, contents.count() // 1000)).select("key").collect()]
 
     # Contexts and how they occur; a context occurs twice if its first and last occurrence differ.
     place = F.struct("key", "n", "a", "s1", "s2")
@@ -389,26 +427,36 @@ def find_repeats(docs: DataFrame, length: int, group_contexts: int) -> tuple[Dat
     return covered, hot
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = 400, group_contexts: int = 100_000, min_words: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = 400, group_contexts: int = 100_000, n_words: int = 0) -> DataFrame:
     """carry, n_bytes, removed (runs of places), kept (bytes), kept_text for each row of docs.
 
-    With min_words, only runs that hold so many words (between ASCII white space) are cut; shorter ones stay.
+    With n_words, what repeats is a window of so many words instead of `length` bytes: words are runs without ASCII white space, the
+    white space between them may differ, and what is cut goes from the first byte of a run of covered words to the last.
     """
+    if n_words:
+        length = 8 * n_words  # of a text's code, eight bytes of a hash per word
     if length < 64:
-        raise ValueError("length must be at least 64")
+        raise ValueError("length must be at least 64 bytes, n_words at least 8")
     names = [c for c in carry if c != "text"]
-    reserve(names, ["n_bytes", "removed", "kept", "kept_text", "_key", "_n", "_salt", "_found"])
-    covered, hot = find_repeats(docs, length, group_contexts)
+    reserve(names, ["n_bytes", "removed", "kept", "kept_text", "_key", "_n", "_salt", "_found", "_code"])
     # Texts too short to repeat meet nothing, so each has a key of its own; copies of frequent texts are spread.
-    text, digest, size = whole_text()
+    rows = docs.select(*names, F.coalesce("text", F.lit("")).alias("text"))
+    if n_words:
+        coded = T.StructType([*rows.schema.fields, T.StructField("_code", T.BinaryType())])
+        contents = rows.select("text").mapInArrow(code_words([]), T.StructType(coded.fields[-2:])).select(F.col("_code").alias("text"))
+        rows = rows.mapInArrow(code_words(names), coded)
+    else:
+        contents = rows.select("text")
+    covered, hot = find_repeats(contents, length, group_contexts)
+    digest, size = content_key(F.col("_code" if n_words else "text"))
     number = F.monotonically_increasing_id()
     salt = F.when(digest.isin(hot) & (size >= length), F.pmod(number, F.lit(SALTS)).cast("int")).otherwise(0) if hot else F.lit(0)
-    keyed = docs.select(*names, text.alias("text"), F.when(size >= length, digest).otherwise(number).alias("_key"), F.when(size >= length, size).otherwise(-1).alias("_n"), salt.alias("_salt"))
+    keyed = rows.select(*names, "text", F.when(size >= length, digest).otherwise(number).alias("_key"), F.when(size >= length, size).otherwise(-1).alias("_n"), salt.alias("_salt"))
     salts = F.when(F.col("key").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
     sides = covered.select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.explode(salts).alias("_salt"), F.col("found").alias("_found"))
     rows = keyed.join(sides, ["_key", "_n", "_salt"], "left")
     schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("n_bytes", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
-    return rows.select(*names, "text", "_found").mapInArrow(cut_out(names, length, min_words), schema)
+    return rows.select(*names, "text", "_found").mapInArrow(cut_out(names, length, n_words), schema)
 
 
 def repeat_digest(cut: DataFrame) -> DataFrame:

@@ -144,14 +144,54 @@ def test_repeats(spark, hard, group, length, hot, once, monkeypatch):
     assert got == brute_repeats(rows, length)
 
 
-def test_repeats_of_many_words_alone(spark):
-    """Runs of fewer words than min_words stay; columns of any other name are carried."""
-    long_, short = prose(60, 1), "x" * 300 + " " + "y" * 50
-    rows = [(1, f"{prose(20, 2)} {long_} {prose(20, 3)}"), (2, f"{prose(25, 4)} {long_} {prose(9, 5)}"), (3, f"{prose(20, 6)} {short} {prose(20, 7)}"), (4, short), (5, short)]
-    docs = spark.createDataFrame(rows, "key long, text string").selectExpr("key", "text", "7 as n", "8 as found")
-    got = {r.key: r for r in remove_repeats(docs, ("key", "n", "found"), length=240, min_words=50).collect()}
-    assert [len(got[k].removed) for k in range(1, 6)] == [1, 1, 0, 0, 0]
-    assert long_[5:-5] not in got[1].kept_text and got[4].kept_text == short and (got[5].n, got[5].found) == (7, 8)
+def brute_word_repeats(rows, count):
+    """(id, text without words that a window of `count` words covers which also starts elsewhere)."""
+    spots = [[(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for _, t in rows]
+    windows = lambda w: [tuple(x[2] for x in w[k : k + count]) for k in range(len(w) - count + 1)]
+    seen = Counter(x for w in spots for x in windows(w))
+    out = Counter()
+    for (d, t), w in zip(rows, spots):
+        covered = np.zeros(len(w), bool)
+        for k, x in enumerate(windows(w)):
+            if seen[x] > 1:
+                covered[k : k + count] = True
+        kept, at = b"", 0
+        for k in range(len(w)):
+            if covered[k] and not (k and covered[k - 1]):
+                kept += (t or "").encode()[at : w[k][0]]
+            if covered[k]:
+                at = w[k][1]
+        out[d, (kept + (t or "").encode()[at:]).decode()] += 1
+    return out
+
+
+@pytest.mark.parametrize("group,hot,once", [(100_000, 1000, 20_000), (1, 2, 5)])
+def test_repeats_of_words(spark, hard, group, hot, once, monkeypatch):
+    from penstock.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "HOT_COPIES", hot)
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", once)
+    rows = [(r.doc_id, r.text) for r in hard.collect() if r.doc_id != 13 or len(r.text) < 9000]
+    r = random.Random(9)
+    passages = [prose(80, 800 + k).split() for k in range(5)] + [[r.choice("abcdefghij") for _ in range(75)]]
+    for k in range(60):
+        p = r.choice(passages)
+        a, b = r.randint(0, 25), r.randint(0, 25)
+        rows.append((100 + k, prose(r.randint(0, 30), 900 + k) + " " + r.choice([" ", "\n", "  "]).join(p[a : len(p) - b]) + "\t" + prose(r.randint(0, 30), 1000 + k)))
+    rows += [(300, "go " * 49), (301, "go " * 50), (302, " ".join(f"w{k}" for k in range(200)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((x.doc_id, x.kept_text) for x in remove_repeats(docs, group_contexts=group, n_words=50).collect())
+    assert got == brute_word_repeats(rows, 50)
+
+
+def test_touching_short_repeats_stay_and_short_words_go(spark):
+    """Two passages of 30 words side by side, each of which occurs elsewhere, are no passage of 50; 60 words of two letters are one."""
+    a, b, c = prose(30, 1), prose(30, 2), " ".join(x + y for x in "abcdefghij" for y in "klmnop")
+    rows = [(1, f"{prose(40, 3)} {a} {b} {prose(40, 4)}"), (2, f"{prose(40, 5)} {a} {prose(40, 6)}"), (3, f"{prose(40, 7)} {b} {prose(40, 8)}"), (4, f"{prose(40, 9)} {c} {prose(40, 10)}"), (5, f"{prose(40, 11)}\n{c}\n{prose(40, 12)}")]
+    docs = spark.createDataFrame(rows, "key long, text string").selectExpr("key", "text", "7 as n", "8 as found").repartition(3)
+    got = {r.key: r for r in remove_repeats(docs, ("key", "n", "found"), n_words=50).collect()}
+    assert all(got[k].kept_text == t and not got[k].removed for k, t in rows[:3])
+    assert all(c not in got[k].kept_text and len(got[k].removed) == 1 and len(got[k].kept_text.split()) == 80 for k in (4, 5)) and (got[5].n, got[5].found) == (7, 8)
     with pytest.raises(ValueError):
         remove_repeats(docs.selectExpr("key as removed", "text"), ("removed",))
 
