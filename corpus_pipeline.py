@@ -5,11 +5,11 @@ Parquet and read again. All but the last return the columns of documents.
 
 toxicity          rows whose score is 0.5 or more go; the classifier is fitted on labelled rows of docs
 near_duplicates   of each class of linked texts the row with the least doc_id stays; texts without words stay all
-repeats           passages of 50 words and 240 bytes or more that occur elsewhere are cut out of the text
+repeats           words of passages of 50 words or more that occur elsewhere too are cut out of the text, whatever their bytes
 decontamination   rows with a passage of the benchmark go
 packing           what is left becomes pieces of sequences of 1024 tokens
 
-n_chars follows the text. Where a cut falls inside a character, what is left of the character's bytes goes too.
+n_chars follows the text. Rows may share an id or have none: every stage decides by row.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from penstock.llm.suffix_dedup import remove_repeats
 
-    cut = remove_repeats(docs, COLUMNS, length=240, min_words=50)
+    cut = remove_repeats(docs, COLUMNS, n_words=50)
     return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
