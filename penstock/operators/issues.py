@@ -28,13 +28,21 @@ SCORED: dict[str, dict[str, str | None]] = {
 WEAK_VERB = r"(?i)(?:^|[^A-Za-z])((?:" + "|".join(_TAKEN) + ") (?:" + "|".join(_NOUNS) + r"))(?=$|[^A-Za-z])"
 #: Hedges that count only where another hedge stands within so many words before.
 STACKED, STACK_WORDS = {"may"}, 6
-#: Words whose repetition is natural: function words of four letters or more, and very common ones. Stands in for parts of speech.
-QUIET = """about above after again against also although among because been before being below between both cannot could does doing down during each
-either else even ever every from further have having hers herself himself however into itself just many might mine more most much must myself neither
-never once only other ours ourselves over perhaps quite rather same shall should since some such than that their theirs them themselves then there
-therefore these they this those though through thus under unless until upon very were what whatever when where whereas whether which while whom whose
-will with within without would your yours yourself yourselves make take give include first well system result value data time figure table show
-makes made takes took gives gave includes included systems results values times figures tables shows shown used uses using said says goes gets""".split()
+#: Words whose repetition is natural: the closed classes of English (pronouns, determiners, prepositions, conjunctions, auxiliaries,
+#: adverbs of degree and place) with four letters or more. Stands in for parts of speech.
+QUIET = [
+    w
+    for words in (
+        "they them their theirs themselves your yours yourself yourselves mine myself ours ourselves hers herself himself itself whom whose which what whatever whoever",
+        "this that these those some such same each every either neither both many much more most less least fewer several another other others none enough",
+        "about above across after against along among amid around before behind below beneath beside between beyond despite down during except from inside into near onto outside over past since through throughout toward towards under underneath until upon with within without",
+        "although because whereas while though unless whether than when whenever where wherever therefore thus hence else than",
+        "have having been being does doing done were will would shall should could might must cannot ought",
+        "also even ever here just never only once quite rather still then there too very again almost already always often perhaps soon yet however",
+    )
+    for w in words.split()
+    if len(w) > 3
+]
 #: Which rule names a span that several rules mark: the first one.
 PRIORITY = ["stock_phrase", "cliche", "wordy_phrase", "filler", "hedge", "weak_verb"]
 

@@ -6,34 +6,50 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: How well an answer of each grade was known. Any other grade, and none, is no review.
+QUALITY = {1: 1, 2: 3, 3: 4, 4: 5}
+#: ease, interval, reps, lapses, due of a card that was never reviewed.
+NEW_CARD = (2.5, 0.0, 0, 0, None)
+
+
+def is_review(grade: Column) -> Column:
+    return F.coalesce(grade.isin(*QUALITY), F.lit(False))
+
+
+def review(card: tuple, grade: int, at: float | None) -> tuple:
+    """The card after one review; batch and stream fold with this. Without a time there is no due time."""
+    ease, interval, reps, lapses, _ = card
+    miss = 5 - QUALITY[grade]
+    ease = max(1.3, ease + (0.1 - miss * (0.08 + miss * 0.02)))
+    if grade == 1:
+        interval, reps, lapses, wait = 0.0, 0, lapses + 1, 10.0
+    else:
+        reps += 1
+        # As Spark's floor, which stops at the largest long.
+        interval = 1.0 if reps == 1 else 6.0 if reps == 2 else float(math.floor(min(interval * ease + 0.5, 2.0**63)))
+        wait = interval * 1440.0
+    return ease, interval, reps, lapses, None if at is None else at + wait
+
+
 def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """States of the cards of rows sorted by card and time, sm2_step in Python; only the card at hand is held."""
+    """States of the cards of rows sorted by card and time; only the card at hand is held."""
     none = object()
-    now, ease, interval, reps, lapses, due = none, 2.5, 0.0, 0, 0, 0.0
+    now, state = none, NEW_CARD
     for batch in batches:
         rows = []
         for card, at, grade in zip(*(batch.column(k).to_pylist() for k in ("card_id", "at_min", "grade"))):
             if now is none or card != now:
                 if now is not none:
-                    rows.append((now, ease, interval, reps, lapses, due))
-                now, ease, interval, reps, lapses = card, 2.5, 0.0, 0, 0
-            miss = 5 - {1: 1, 2: 3, 3: 4}.get(grade, 5)
-            ease = max(1.3, ease + (0.1 - miss * (0.08 + miss * 0.02)))
-            if grade == 1:
-                interval, reps, lapses, wait = 0.0, 0, lapses + 1, 10.0
-            else:
-                reps += 1
-                # As Spark's floor, which stops at the largest long.
-                interval = 1.0 if reps == 1 else 6.0 if reps == 2 else float(math.floor(min(interval * ease + 0.5, 2.0**63)))
-                wait = interval * 1440.0
-            due = None if at is None else at + wait
+                    rows.append((now, *state))
+                now, state = card, NEW_CARD
+            state = review(state, grade, at)
         yield _cards(rows, batch.schema.field("card_id").type)
     if now is not none:
-        yield _cards([(now, ease, interval, reps, lapses, due)], batch.schema.field("card_id").type)
+        yield _cards([(now, *state)], batch.schema.field("card_id").type)
 
 
 def _cards(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
@@ -45,8 +61,9 @@ def schedule(reviews: DataFrame) -> DataFrame:
     """card_id, ease, interval, reps, lapses, due after all reviews (card_id, at_min, grade), in order of time.
 
     A card's rows are sorted in one task and folded as they come, so memory does not depend on the length of its log.
+    Rows whose grade is not 1 to 4 are no reviews and are passed over; a card without a review has no state.
     """
-    rows = reviews.select("card_id", F.col("at_min").cast("double").alias("at_min"), F.col("grade").cast("int").alias("grade"))
+    rows = reviews.where(is_review(F.col("grade"))).select("card_id", F.col("at_min").cast("double").alias("at_min"), F.col("grade").cast("int").alias("grade"))
     kind = rows.schema["card_id"].dataType.simpleString()
     rows = rows.repartition("card_id").sortWithinPartitions("card_id", "at_min", "grade")
     return rows.mapInArrow(folded, f"card_id {kind}, ease double, interval double, reps int, lapses int, due double")

@@ -9,34 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-QUALITY = {1: 1, 2: 3, 3: 4, 4: 5}
-STATE = "ease double, interval double, reps int, lapses int, due double"
-
+from ..operators.reviews import NEW_CARD, is_review, review
 
-def review(card: tuple, grade: int, at: float) -> tuple:
-    """(ease, interval, reps, lapses, due) after one review; the same step as the batch fold."""
-    ease, interval, reps, lapses, _ = card
-    miss = 5 - QUALITY[grade]
-    ease = max(1.3, ease + (0.1 - miss * (0.08 + miss * 0.02)))
-    if grade == 1:
-        return ease, 0.0, 0, lapses + 1, at + 10.0
-    reps += 1
-    interval = 1.0 if reps == 1 else 6.0 if reps == 2 else float(int(interval * ease + 0.5))
-    return ease, interval, reps, lapses, at + interval * 1440.0
+STATE = "ease double, interval double, reps int, lapses int, due double"
 
 
 def stream_schedule(reviews: DataFrame) -> DataFrame:
-    """card_id and its state after each micro-batch that reviews it; reviews (card_id, at_min, grade) of a batch go in order of time."""
+    """card_id and its state after each micro-batch that reviews it; reviews (card_id, at_min, grade) of a batch go in order of time.
+
+    The rules are those of the batch fold: a grade other than 1 to 4 is no review, no time comes first and gives no due time.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        card = state.get if state.exists else (2.5, 0.0, 0, 0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["at_min", "grade"])
+        card = state.get if state.exists else NEW_CARD
+        rows = pd.concat(list(batches)).sort_values(["at_min", "grade"], na_position="first")
         for at, grade in zip(rows["at_min"], rows["grade"]):
-            card = review(card, int(grade), float(at))
+            card = review(card, int(grade), None if pd.isna(at) else float(at))
         state.update(card)
         yield pd.DataFrame([(key[0], *card)], columns=["card_id", "ease", "interval", "reps", "lapses", "due"])
 
-    return reviews.groupBy("card_id").applyInPandasWithState(step, f"card_id long, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+    return reviews.where(is_review(F.col("grade"))).groupBy("card_id").applyInPandasWithState(step, f"card_id long, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
