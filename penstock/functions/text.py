@@ -112,12 +112,21 @@ def sentence_array(text: Column) -> Column:
 
 
 def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, sent_idx, para_idx, sentence, words, n_words: all from a document's own row, without a shuffle."""
-    rows = docs.select("doc_id", F.posexplode(sentence_array(F.col(text))).alias("sent_idx", "s"))
-    rows = rows.select("doc_id", F.col("sent_idx").cast("long"), "s.para_idx", "s.sentence").withColumn("words", word_list(F.col("sentence")))
+    """_row, doc_id, sent_idx, para_idx, sentence, words, n_words: all from a document's own row, without a shuffle.
+
+    _row numbers the documents: rows may share an id or have none.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", sentence_array(F.col(text)).alias("_s"))
+    rows = rows.select("_row", "doc_id", F.posexplode("_s").alias("sent_idx", "s"))
+    rows = rows.select("_row", "doc_id", F.col("sent_idx").cast("long"), "s.para_idx", "s.sentence").withColumn("words", word_list(F.col("sentence")))
     return rows.withColumn("n_words", F.size("words").cast("long"))
 
 
+def own_text(rows: DataFrame) -> list[str]:
+    """What tells texts apart in windows and groups: the number of the row where there is one, and the id."""
+    return ["_row", "doc_id"] if "_row" in rows.columns else ["doc_id"]
+
+
 def lm_tokens(text: Column) -> Column:
     """Lower-case words, numbers as <num>, single symbols."""
     found = F.regexp_extract_all(F.lower(text), F.lit(LM_TOKEN), F.lit(0))

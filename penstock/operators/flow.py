@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import own_text
 from .reports import section_of
 
 #: Our own transitions by group, and empty wrappers that may open a sentence.
@@ -37,7 +38,7 @@ def stock_opener_length(sentence: Column, least: int = 6) -> Column:
 
 def crowded_transitions(sentences: DataFrame) -> DataFrame:
     """doc_id, sent_idx, transition, repeated (it opens one of the five sentences before), dense (of the last three sentences more than one has a transition)."""
-    order = Window.partitionBy("doc_id").orderBy("sent_idx")
+    order = Window.partitionBy(*own_text(sentences)).orderBy("sent_idx")
     rows = sentences.withColumn("transition", opening_transition(F.col("sentence")))
     before = F.collect_list("transition").over(order.rowsBetween(-5, -1))
     dense = F.count("transition").over(order.rowsBetween(-2, 0)) > 1
@@ -46,8 +47,9 @@ def crowded_transitions(sentences: DataFrame) -> DataFrame:
 
 def opener_triggers(sentences: DataFrame, least: int = 3) -> DataFrame:
     """doc_id, sent_idx, opener: sentences whose first word opens three or more of the four sentences before."""
-    order = Window.partitionBy("doc_id").orderBy("sent_idx").rowsBetween(-4, -1)
-    rows = sentences.select("doc_id", "sent_idx", F.lower(F.regexp_extract("sentence", "[A-Za-z]+", 0)).alias("opener"))
+    own = own_text(sentences)
+    order = Window.partitionBy(*own).orderBy("sent_idx").rowsBetween(-4, -1)
+    rows = sentences.select(*own, "sent_idx", F.lower(F.regexp_extract("sentence", "[A-Za-z]+", 0)).alias("opener"))
     same = F.size(F.filter(F.collect_list("opener").over(order), lambda x: x == F.col("opener")))
     return rows.withColumn("_k", same).where(F.col("_k") >= least).select("doc_id", "sent_idx", "opener")
 
@@ -55,10 +57,12 @@ def opener_triggers(sentences: DataFrame, least: int = 3) -> DataFrame:
 def first_mention_order(mentions: DataFrame) -> DataFrame:
     """doc_id, kind, number, place: the n-th item introduced should be n; it is out of order if its number is larger and number - 1 did not come before."""
     first = mentions.groupBy("doc_id", "kind", "number").agg(F.min("start").alias("start"))
-    order = Window.partitionBy("doc_id", "kind").orderBy("start")
-    seen = F.coalesce(F.collect_set("number").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.array().cast("array<long>"))
-    rows = first.withColumn("place", F.row_number().over(order).cast("long")).withColumn("_seen", seen)
-    return rows.where((F.col("number") > F.col("place")) & ~F.array_contains("_seen", F.col("number") - 1)).select("doc_id", "kind", "number", "place")
+    rows = first.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("start")).cast("long"))
+    # Where the number before this one was introduced: its neighbour in order of numbers, if there is no gap.
+    by_number = Window.partitionBy("doc_id", "kind").orderBy("number")
+    rows = rows.withColumn("_before", F.when(F.lag("number").over(by_number) == F.col("number") - 1, F.lag("start").over(by_number)))
+    late = F.col("_before").isNull() | (F.col("_before") >= F.col("start"))
+    return rows.where((F.col("number") > F.col("place")) & late).select("doc_id", "kind", "number", "place")
 
 
 def with_sections(lines: DataFrame) -> DataFrame:
@@ -98,13 +102,13 @@ def missing_units(lines: DataFrame) -> DataFrame:
 
 def rhythm_series(sentences: DataFrame) -> DataFrame:
     """doc_id, sent_idx, n_words with the document's mean and standard deviation, for a chart."""
-    own = Window.partitionBy("doc_id")
+    own = Window.partitionBy(*own_text(sentences))
     return sentences.select("doc_id", "sent_idx", "n_words", F.avg("n_words").over(own).alias("mean"), F.stddev_pop("n_words").over(own).alias("sd"))
 
 
 def short_pairs(sentences: DataFrame, most: int = 6) -> DataFrame:
     """doc_id, sent_idx, merged: a sentence of at most `most` words joined with the next one of the paragraph, if that is as short."""
-    order = Window.partitionBy("doc_id", "para_idx").orderBy("sent_idx")
+    order = Window.partitionBy(*own_text(sentences), "para_idx").orderBy("sent_idx")
     rows = sentences.withColumn("_next", F.lead("sentence").over(order)).withColumn("_n", F.lead("n_words").over(order))
     head, tail = F.regexp_replace("sentence", r"[.!]\s*$", ""), F.concat(F.lower(F.left("_next", F.lit(1))), F.expr("substring(_next, 2)"))
     return rows.where((F.col("n_words") <= most) & (F.col("_n") <= most) & ~F.col("sentence").rlike(r"\?\s*$")).select("doc_id", "sent_idx", F.concat(head, F.lit(", and "), tail).alias("merged"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import own_text
+
 #: Our own phrases: lexicon -> phrase -> plainer wording ("" : drop, None: flag only).
 LEXICONS: dict[str, dict[str, str | None]] = {
     "wordy_phrase": {"due to the fact that": "because", "in order to": "to", "a lot of": "much", "at this point in time": "now", "a large number of": "many", "has the ability to": "can", "with regard to": "about"},
@@ -74,18 +76,26 @@ def long_sentences(sentences: DataFrame) -> DataFrame:
 
 def repeated_openers(sentences: DataFrame, least: int = 3) -> DataFrame:
     """doc_id, first_sent, n, opener: runs of consecutive sentences with one first word; paragraphs do not end them."""
-    order = Window.partitionBy("doc_id").orderBy("sent_idx")
-    rows = sentences.select("doc_id", "sent_idx", F.lower(F.get("words", F.lit(0))).alias("opener"))
+    own = own_text(sentences)
+    order = Window.partitionBy(*own).orderBy("sent_idx")
+    rows = sentences.select(*own, "sent_idx", F.lower(F.get("words", F.lit(0))).alias("opener"))
     new = (F.lag("opener").over(order) != F.col("opener")).cast("int")
     rows = rows.withColumn("run", F.sum(F.coalesce(new, F.lit(1))).over(order))
-    return rows.groupBy("doc_id", "run", "opener").agg(F.min("sent_idx").alias("first_sent"), F.count("*").alias("n")).where(F.col("n") >= least).select("doc_id", "first_sent", "n", "opener")
+    return rows.groupBy(*own, "run", "opener").agg(F.min("sent_idx").alias("first_sent"), F.count("*").alias("n")).where(F.col("n") >= least).select("doc_id", "first_sent", "n", "opener")
 
 
 def near_repeats(sentences: DataFrame, back: int = 2, letters: int = 4) -> DataFrame:
-    """doc_id, sent_idx, word: words of four letters or more that one of the two sentences before, in the paragraph, has too."""
-    w = sentences.select("doc_id", "para_idx", "sent_idx", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("word")).where(F.length("word") >= letters)
-    last = F.lag("sent_idx").over(Window.partitionBy("doc_id", "para_idx", "word").orderBy("sent_idx"))
-    return w.withColumn("_last", last).where(F.col("sent_idx") - F.col("_last") <= back).select("doc_id", "sent_idx", "word")
+    """doc_id, sent_idx, word: words of four letters or more that one of the two sentences before, in the paragraph, has too.
+
+    A sentence moves once, with its different long words; the words themselves are not exchanged.
+    """
+    own = own_text(sentences)
+    long_words = F.array_distinct(F.filter(F.transform("words", F.lower), lambda w: F.length(w) >= letters))
+    order = Window.partitionBy(*own, "para_idx").orderBy("sent_idx").rowsBetween(-back, -1)
+    rows = sentences.select(*own, "para_idx", "sent_idx", long_words.alias("_bag"))
+    before = F.collect_list(F.struct("sent_idx", "_bag")).over(order)
+    near = F.flatten(F.transform(F.filter(before, lambda x: F.col("sent_idx") - x["sent_idx"] <= back), lambda x: x["_bag"]))
+    return rows.withColumn("_near", near).select("doc_id", "sent_idx", F.explode(F.array_intersect("_bag", "_near")).alias("word"))
 
 
 def keep_specific(issues: DataFrame) -> DataFrame:
@@ -105,21 +115,23 @@ def keep_specific(issues: DataFrame) -> DataFrame:
 
 def unsupported_claims(sentences: DataFrame) -> DataFrame:
     """doc_id, sent_idx of sentences with a strong claim and no number, citation or example in them or the next one."""
-    order = Window.partitionBy("doc_id").orderBy("sent_idx")
+    own = own_text(sentences)
+    order = Window.partitionBy(*own).orderBy("sent_idx")
     evidence = F.col("sentence").rlike(r"[0-9]|\([A-Z][a-z]+,? [0-9]{4}\)|\[[0-9]+\]|(?i)for example|e\.g\.")
     claim = F.col("sentence").rlike(alternation(LEXICONS["claim"]))
-    rows = sentences.select("doc_id", "sent_idx", claim.alias("claim"), evidence.alias("own")).withColumn("next", F.coalesce(F.lead("own").over(order), F.lit(False)))
-    return rows.where("claim and not own and not next").select("doc_id", "sent_idx")
+    rows = sentences.select(*own, "sent_idx", claim.alias("claim"), evidence.alias("shown")).withColumn("next", F.coalesce(F.lead("shown").over(order), F.lit(False)))
+    return rows.where("claim and not shown and not next").select("doc_id", "sent_idx")
 
 
 def plain_runs(sentences: DataFrame, least: int = 3) -> DataFrame:
     """doc_id, first_sent, n: runs of sentences of a section without a number or a name inside the sentence."""
-    order = Window.partitionBy("doc_id").orderBy("sent_idx")
+    own = own_text(sentences)
+    order = Window.partitionBy(*own).orderBy("sent_idx")
     concrete = F.col("sentence").rlike(r"[0-9]|[a-z,] [A-Z][a-z]+")
-    rows = sentences.select("doc_id", "section", "sent_idx", concrete.alias("c"))
+    rows = sentences.select(*own, "section", "sent_idx", concrete.alias("c"))
     new = F.col("c") | F.coalesce(F.lag("c").over(order) | (F.lag("section").over(order) != F.col("section")), F.lit(True))
     rows = rows.withColumn("run", F.sum(new.cast("int")).over(order)).where("not c")
-    return rows.groupBy("doc_id", "run").agg(F.min("sent_idx").alias("first_sent"), F.count("*").alias("n")).where(F.col("n") >= least).select("doc_id", "first_sent", "n")
+    return rows.groupBy(*own, "run").agg(F.min("sent_idx").alias("first_sent"), F.count("*").alias("n")).where(F.col("n") >= least).select("doc_id", "first_sent", "n")
 
 
 def spots_within_caps(spots: DataFrame, per_document: int = 25) -> DataFrame:

@@ -34,7 +34,10 @@ def word_counts(docs: DataFrame, by: str) -> DataFrame:
     listed = F.array(*[F.lit(w) for w in FUNCTION_WORDS])
     size = rows.groupBy(by).agg(F.sum(F.size("w")).alias("n_words"))
     counts = rows.select(by, F.explode(F.filter("w", lambda x: F.array_contains(listed, x))).alias("word")).groupBy(by, "word").agg(F.count("*").alias("n"))
-    return size.withColumn("word", F.explode(listed)).join(counts, [by, "word"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    every = size.withColumn("word", F.explode(listed))
+    found = counts.select(F.col(by).alias("_by"), F.col("word").alias("_word"), "n")
+    # Null-safe: rows without an id are a group too.
+    return every.join(found, every[by].eqNullSafe(F.col("_by")) & (F.col("word") == F.col("_word")), "left").select(by, "n_words", "word", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def function_word_rates(docs: DataFrame, by: str = "doc_id") -> DataFrame:
