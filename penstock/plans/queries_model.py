@@ -8,6 +8,7 @@ from ..functions import scalars as C
 from ..functions.text import find_spans
 from ..operators import assessment as A
 from ..operators import language_model as LM
+from ..operators import packed_model as PM
 from ..operators import metrics as M
 from ..operators import ownership as O
 from ..operators import reviews as R
@@ -76,7 +77,7 @@ def fluency_fixture(spark, sf_dir):
 def fluency(spark, sf_dir):
     """SLOR of the benchmark's texts under a model of the English documents."""
     texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), "text")
-    scored = LM.score_texts(texts, LM.count_ngrams(docs(spark, sf_dir).where("lang = 'en'")))
+    scored = PM.score_texts(texts, PM.fit_packed(docs(spark, sf_dir).where("lang = 'en'"), PM.MOST_WORDS))
     return scored.select("id", "n_tokens", F.round("logprob", 6).alias("logprob"), F.round("slor", 6).alias("slor"))
 
 
