@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import metrics as M
+from ..sources.tables import read_table
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, f"{sf_dir}/documents.parquet")
 
 
 #: Sentences in DuckDB: lines, then breaks after [.!?] before a capital, quote or bracket.

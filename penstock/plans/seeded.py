@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table
+
 #: (what is replaced, by what), in this order.
 SEEDS = [
     (". The ", ". However, the "),
@@ -32,7 +34,7 @@ def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     for old, new in SEEDS:
         text = F.replace(text, F.lit(old), F.lit(new))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", text)
+    return read_table(spark, f"{sf_dir}/documents.parquet").withColumn("text", text)
 
 
 def _quoted(x: str) -> str:

@@ -26,6 +26,16 @@ def within_word_limit(docs: DataFrame, most: int = 3000) -> tuple[DataFrame, Dat
     return docs.where(n <= most), docs.where(n > most)
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; where it has fewer files than the cluster has cores, its rows are dealt out once over the cores.
+
+    A file is often a single row group, and a row group is a task: a small table would keep one core busy. Tables of many files are read as they are.
+    """
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table._jdf.inputFiles()) < cores else table
+
+
 def corpus_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line of all lines but headings (= marks) and blank ones."""
     return docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"\S") & ~F.col("line").rlike(r"^\s*=+ .* =+\s*$"))
