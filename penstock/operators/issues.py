@@ -101,16 +101,18 @@ def near_repeats(sentences: DataFrame, back: int = 2, letters: int = 4) -> DataF
 def keep_specific(issues: DataFrame) -> DataFrame:
     """One issue per span, and none of a ranked rule inside an issue of a rule that ranks as high or higher.
 
-    Containment and rank are transitive, so it does not matter whether the container itself stays.
+    Containment and rank are transitive, so it does not matter whether the container itself stays. In order of start, and the longer first,
+    a container comes before what it contains: how far the issues of each rank have reached says all, without a join.
     """
     rank = F.array_position(F.array(*[F.lit(r) for r in PRIORITY]), F.col("rule"))
-    ranked = issues.withColumn("_rank", rank)
-    free = ranked.where("_rank = 0").drop("_rank")
     first = Window.partitionBy("doc_id", "start", "end").orderBy("_rank", "rule")
-    one = ranked.where("_rank > 0").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    o = one.select(F.col("doc_id").alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("_rank").alias("_r"))
-    inside = (F.col("doc_id") == F.col("_d")) & (F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")) & ((F.col("_s") != F.col("start")) | (F.col("_e") != F.col("end"))) & (F.col("_r") <= F.col("_rank"))
-    return one.join(o, inside, "left_anti").drop("_rank").unionByName(free)
+    before = Window.partitionBy("doc_id").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = issues.withColumn("_rank", rank).withColumn("_n", F.when(F.col("_rank") > 0, F.row_number().over(first.partitionBy("doc_id", "start", "end", F.col("_rank") > 0))))
+    ranked = F.col("_n") == 1
+    reach = F.array(*[F.max(F.when(ranked & (F.col("_rank") <= k), F.col("end"))).over(before) for k in range(1, len(PRIORITY) + 1)])
+    inside = F.coalesce(F.get(reach, F.col("_rank").cast("int") - 1) >= F.col("end"), F.lit(False))
+    kept = rows.withColumn("_inside", inside).where((F.col("_rank") == 0) | (ranked & ~F.col("_inside")))
+    return kept.drop("_rank", "_n", "_inside")
 
 
 def unsupported_claims(sentences: DataFrame) -> DataFrame:

@@ -1,21 +1,39 @@
-"""Small literal tables for rules that the corpus does not trigger, the same rows for Spark and for SQL."""
+"""Tables for rules that the corpus does not trigger by itself: literal rows for the hard cases, and rows derived from the given tables.
+
+Both come the same in Spark and in SQL. Derived rows read the whole of their tables; their ids start at 1000, above those of the literal rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .derived import DERIVED, DERIVED_PAIRS, tables_in
+from ..sources.tables import read_table
 
 SQL_TYPES = {"long": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 class Fixture:
-    """Rows with a Spark schema ("a long, b string") and a SQL common table expression of the same."""
+    """Rows with a Spark schema ("a long, b string") and a SQL common table expression of the same; with sf_dir also the derived rows."""
 
     def __init__(self, name: str, schema: str, rows: list[tuple]):
         self.name, self.schema, self.rows = name, schema, rows
         self.columns = [c.split(" ") for c in schema.split(", ")]
 
-    def df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+    def df(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+        own = spark.createDataFrame(self.rows, self.schema)
+        if sf_dir is None:
+            return own
+        if self.name in DERIVED_PAIRS:
+            more = DERIVED_PAIRS[self.name][0](spark, sf_dir)
+        elif self.name in DERIVED:
+            sql = DERIVED[self.name]
+            more = spark.sql(sql, **{t: read_table(spark, f"{sf_dir}/{t}.parquet") for t in tables_in(sql)})
+        else:
+            return own
+        more = more.toDF(*(c for c, _ in self.columns))
+        return own.unionByName(more.select(*(F.col(c).cast(t).alias(c) for c, t in self.columns)))
 
     def cte(self) -> str:
         def literal(v):
@@ -28,7 +46,13 @@ class Fixture:
         rows = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in self.rows)
         names = ", ".join(f'"{c}"' for c, _ in self.columns)
         typed = ", ".join(f'"{c}"::{SQL_TYPES[t]} AS "{c}"' for c, t in self.columns)
-        return f"{self.name} AS (SELECT {typed} FROM (VALUES {rows}) v({names}))"
+        out = f"SELECT {typed} FROM (VALUES {rows}) v({names})"
+        if self.name in DERIVED_PAIRS:
+            out += f" UNION ALL SELECT {typed} FROM ({DERIVED_PAIRS[self.name][1]}) v({names})"
+        elif self.name in DERIVED:
+            sql = DERIVED[self.name]
+            out += f" UNION ALL SELECT {typed} FROM ({sql.format(**{t: t for t in tables_in(sql)})}) v({names})"
+        return f"{self.name} AS ({out})"
 
 
 SPANS = Fixture("fx_spans", "doc_id long, start long, end long, kind string", [

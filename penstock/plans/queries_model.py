@@ -37,16 +37,16 @@ def protected_merged(spark, sf_dir):
 
 
 def span_merge(spark, sf_dir):
-    return S.merge_spans(X.SPANS.df(spark))
+    return S.merge_spans(X.SPANS.df(spark, sf_dir))
 
 
 def span_priority(spark, sf_dir):
-    return S.merge_by_priority(X.SPANS.df(spark).where("start < end"), PRIORITY)
+    return S.merge_by_priority(X.SPANS.df(spark, sf_dir).where("start < end"), PRIORITY)
 
 
 def span_joins(spark, sf_dir):
     """Overlap (semi and anti), containment and clipping of the fixture's spans against its windows."""
-    s, w = X.SPANS.df(spark), X.WINDOWS.df(spark)
+    s, w = X.SPANS.df(spark, sf_dir), X.WINDOWS.df(spark, sf_dir)
     rows = [S.with_overlap(s, w).withColumn("op", F.lit("overlap")), S.without_overlap(s, w).withColumn("op", F.lit("anti")), S.fully_covered(s, w).withColumn("op", F.lit("covered"))]
     clip = S.clipped(s, w).select("doc_id", "start", "end", F.col("window_id").cast("string").alias("kind"), F.lit("clip").alias("op"))
     out = clip
@@ -56,11 +56,11 @@ def span_joins(spark, sf_dir):
 
 
 def edits_applied(spark, sf_dir):
-    return S.apply_edits(X.EDIT_DOCS.df(spark), X.EDITS.df(spark))
+    return S.apply_edits(X.EDIT_DOCS.df(spark, sf_dir), X.EDITS.df(spark, sf_dir))
 
 
 def offsets_mapped(spark, sf_dir):
-    return S.map_offsets(X.OFFSETS.df(spark), X.EDITS.df(spark))
+    return S.map_offsets(X.OFFSETS.df(spark, sf_dir), X.EDITS.df(spark, sf_dir))
 
 
 def ngram_counts(spark, sf_dir):
@@ -70,7 +70,7 @@ def ngram_counts(spark, sf_dir):
 
 
 def fluency_fixture(spark, sf_dir):
-    scored = LM.score_texts(X.LM_TESTS.df(spark), LM.count_ngrams(X.LM_CORPUS.df(spark)))
+    scored = LM.score_texts(X.LM_TESTS.df(spark, sf_dir), LM.count_ngrams(X.LM_CORPUS.df(spark, sf_dir)))
     return scored.select("id", "n_tokens", F.round("logprob", 6).alias("logprob"), F.round("slor", 6).alias("slor"))
 
 
@@ -148,23 +148,23 @@ def copied_turns(spark, sf_dir):
 
 
 def cloze_grades(spark, sf_dir):
-    return X.ANSWERS.df(spark).select("qid", F.coalesce(C.cloze_correct(F.col("answer"), F.col("key")), F.lit(False)).alias("correct"), C.answer_norm(F.col("answer")).alias("norm"))
+    return X.ANSWERS.df(spark, sf_dir).select("qid", F.coalesce(C.cloze_correct(F.col("answer"), F.col("key")), F.lit(False)).alias("correct"), C.answer_norm(F.col("answer")).alias("norm"))
 
 
 def open_grades(spark, sf_dir):
-    return A.grade_open_approx(X.OPEN_ANSWERS.df(spark))
+    return A.grade_open_approx(X.OPEN_ANSWERS.df(spark, sf_dir))
 
 
 def articles(spark, sf_dir):
-    return X.WORDS_A.df(spark).select("word", C.article_for(F.col("word")).alias("article"))
+    return X.WORDS_A.df(spark, sf_dir).select("word", C.article_for(F.col("word")).alias("article"))
 
 
 def issue_ids(spark, sf_dir):
-    return X.ISSUES.df(spark).select("doc_id", "rule", "start", "end", C.issue_id(F.col("rule"), F.col("start"), F.col("end")).alias("issue_id"))
+    return X.ISSUES.df(spark, sf_dir).select("doc_id", "rule", "start", "end", C.issue_id(F.col("rule"), F.col("start"), F.col("end")).alias("issue_id"))
 
 
 def review_schedule(spark, sf_dir):
-    cards = R.schedule(X.REVIEWS.df(spark))
+    cards = R.schedule(X.REVIEWS.df(spark, sf_dir))
     return cards.select("card_id", F.round("ease", 4).alias("ease"), "interval", F.col("reps").cast("long"), F.col("lapses").cast("long"), "due", C.interval_label(F.col("interval") * 1440.0).alias("label"))
 
 
@@ -181,19 +181,19 @@ def review_streaks(spark, sf_dir):
 
 
 def ownership(spark, sf_dir):
-    return O.ownership(X.PROGRESS.df(spark), O.origin_counts(X.ORIGINS.df(spark)))
+    return O.ownership(X.PROGRESS.df(spark, sf_dir), O.origin_counts(X.ORIGINS.df(spark, sf_dir)))
 
 
 def gates(spark, sf_dir):
-    return O.gate(X.PROGRESS.df(spark))
+    return O.gate(X.PROGRESS.df(spark, sf_dir))
 
 
 def viva_levels(spark, sf_dir):
-    return O.viva_summary(X.VIVA.df(spark)).select("doc_id", F.col("level").cast("long"), "n", "average", "passed")
+    return O.viva_summary(X.VIVA.df(spark, sf_dir)).select("doc_id", F.col("level").cast("long"), "n", "average", "passed")
 
 
 def concept_lists(spark, sf_dir):
-    return O.concept_lists(X.VIVA.df(spark))
+    return O.concept_lists(X.VIVA.df(spark, sf_dir))
 
 
 def quality_rollup(spark, sf_dir):

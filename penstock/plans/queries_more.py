@@ -63,11 +63,11 @@ BARRED = X.Fixture("fx_barred", "doc_id long, start long, end long", [(1, 0, 5),
 
 
 def protected_kinds(spark, sf_dir):
-    return D.protected(TEXTS.df(spark), KEEP).drop("_row")
+    return D.protected(TEXTS.df(spark, sf_dir), KEEP).drop("_row")
 
 
 def protected_kinds_merged(spark, sf_dir):
-    return D.protected_islands(D.protected(TEXTS.df(spark), KEEP)).drop("_row")
+    return D.protected_islands(D.protected(TEXTS.df(spark, sf_dir), KEEP)).drop("_row")
 
 
 def protected_documents(spark, sf_dir):
@@ -76,7 +76,7 @@ def protected_documents(spark, sf_dir):
 
 
 def issues_fixture(spark, sf_dir):
-    return D.analyse(TEXTS.df(spark))
+    return D.analyse(TEXTS.df(spark, sf_dir))
 
 
 def issues(spark, sf_dir):
@@ -84,23 +84,23 @@ def issues(spark, sf_dir):
 
 
 def rewritable_sentences(spark, sf_dir):
-    return D.rewritable(REWRITE.df(spark), BARRED.df(spark))
+    return D.rewritable(REWRITE.df(spark, sf_dir), BARRED.df(spark, sf_dir))
 
 
 def doctor_counts(spark, sf_dir):
-    return D.doctor_counts(DOCTOR.df(spark), CHECKS)
+    return D.doctor_counts(DOCTOR.df(spark, sf_dir), CHECKS)
 
 
 def stock_openers(spark, sf_dir):
-    return FLOW.df(spark).select("doc_id", "sent_idx", FL.opening_transition(F.col("sentence")).alias("transition"), FL.stock_opener_length(F.col("sentence")).cast("long").alias("n"))
+    return FLOW.df(spark, sf_dir).select("doc_id", "sent_idx", FL.opening_transition(F.col("sentence")).alias("transition"), FL.stock_opener_length(F.col("sentence")).cast("long").alias("n"))
 
 
 def crowded_transitions(spark, sf_dir):
-    return FL.crowded_transitions(FLOW.df(spark))
+    return FL.crowded_transitions(FLOW.df(spark, sf_dir))
 
 
 def opener_triggers(spark, sf_dir):
-    return FL.opener_triggers(FLOW.df(spark))
+    return FL.opener_triggers(FLOW.df(spark, sf_dir))
 
 
 def opener_triggers_documents(spark, sf_dir):
@@ -108,16 +108,16 @@ def opener_triggers_documents(spark, sf_dir):
 
 
 def first_mention_order(spark, sf_dir):
-    return FL.first_mention_order(MENTIONS.df(spark))
+    return FL.first_mention_order(MENTIONS.df(spark, sf_dir))
 
 
 def sectioned_lines(spark, sf_dir):
-    return FL.with_sections(LINES.df(spark)).select("doc_id", "line_idx", "heading", "section", "in_body")
+    return FL.with_sections(LINES.df(spark, sf_dir)).select("doc_id", "line_idx", "heading", "section", "in_body")
 
 
 def report_findings(spark, sf_dir):
     """Long abstracts (over five words here), lines in the minority tense, and quantities without units."""
-    lines = LINES.df(spark)
+    lines = LINES.df(spark, sf_dir)
     rows = FL.long_abstracts(lines, 5).select("doc_id", F.lit("abstract_long").alias("rule"), F.col("n_words").cast("long").alias("at"))
     rows = rows.unionByName(FL.tense_votes(lines).select("doc_id", F.lit("tense").alias("rule"), F.col("line_idx").alias("at")))
     return rows.unionByName(FL.missing_units(lines).select("doc_id", F.lit("units.missing").alias("rule"), F.col("line_idx").alias("at")))
@@ -128,7 +128,7 @@ def rhythm_series(spark, sf_dir):
 
 
 def short_pairs(spark, sf_dir):
-    return FL.short_pairs(FLOW.df(spark))
+    return FL.short_pairs(FLOW.df(spark, sf_dir))
 
 
 def short_pairs_documents(spark, sf_dir):
@@ -136,15 +136,15 @@ def short_pairs_documents(spark, sf_dir):
 
 
 def assembled_changes(spark, sf_dir):
-    return FL.assembled_changes(CHANGES.df(spark).where("doc_id = 1 and change_id <= 5")).select("change_id", "new_start", "new_end")
+    return FL.assembled_changes(CHANGES.df(spark, sf_dir).where("doc_id = 1 and change_id <= 5")).select("change_id", "new_start", "new_end")
 
 
 def pending_changes(spark, sf_dir):
-    return FL.pending_changes(EDITED.df(spark), CHANGES.df(spark))
+    return FL.pending_changes(EDITED.df(spark, sf_dir), CHANGES.df(spark, sf_dir))
 
 
 def bulk_accepted(spark, sf_dir):
-    return CL.bulk_accepted(CHANGES.df(spark))
+    return CL.bulk_accepted(CHANGES.df(spark, sf_dir))
 
 
 def zipf_tiers(spark, sf_dir):
@@ -160,7 +160,7 @@ def plainness(spark, sf_dir):
 def fits(spark, sf_dir):
     """Tone, voice, style, fluency and confidence of candidates."""
     rates = F.create_map(*[F.lit(x) for kv in RATES.items() for x in kv])
-    rows = FITS.df(spark).withColumn("tone_fit", FT.tone_fit(F.col("text"), F.col("tone"), F.col("want"))).withColumn("voice_fit", FT.voice_fit(F.col("text"), rates, F.col("commas")))
+    rows = FITS.df(spark, sf_dir).withColumn("tone_fit", FT.tone_fit(F.col("text"), F.col("tone"), F.col("want"))).withColumn("voice_fit", FT.voice_fit(F.col("text"), rates, F.col("commas")))
     rows = rows.withColumn("fluency", FT.fluency_norm(F.col("original"), F.col("candidate")))
     style = FT.style_fit(F.col("hits"), F.col("length"), F.col("tone_fit"), F.lit(0.5), F.col("repeats"), F.col("voice_fit"))
     r = lambda c: F.round(c, 6)
@@ -168,15 +168,15 @@ def fits(spark, sf_dir):
 
 
 def compatible_edits(spark, sf_dir):
-    return FT.compatible_pairs(EDIT_SET.df(spark))
+    return FT.compatible_pairs(EDIT_SET.df(spark, sf_dir))
 
 
 def capped_candidates(spark, sf_dir):
-    return FT.capped_candidates(CANDIDATES.df(spark)).select("doc_id", "sent_idx", "cand_idx", "text", F.col("rank").cast("long"))
+    return FT.capped_candidates(CANDIDATES.df(spark, sf_dir)).select("doc_id", "sent_idx", "cand_idx", "text", F.col("rank").cast("long"))
 
 
 def rejection_counts(spark, sf_dir):
-    return FT.rejections(CANDIDATES.df(spark))
+    return FT.rejections(CANDIDATES.df(spark, sf_dir))
 
 
 def frequent_terms(spark, sf_dir):
@@ -184,27 +184,27 @@ def frequent_terms(spark, sf_dir):
 
 
 def quiz_totals(spark, sf_dir):
-    return CL.quiz_totals(CL.graded(QUIZ.df(spark), GIVEN.df(spark)))
+    return CL.quiz_totals(CL.graded(QUIZ.df(spark, sf_dir), GIVEN.df(spark, sf_dir)))
 
 
 def study_cards(spark, sf_dir):
-    return CL.cards_from(CL.graded(QUIZ.df(spark), GIVEN.df(spark)), TERMS.df(spark))
+    return CL.cards_from(CL.graded(QUIZ.df(spark, sf_dir), GIVEN.df(spark, sf_dir)), TERMS.df(spark, sf_dir))
 
 
 def marks_carried(spark, sf_dir):
-    return CL.marks_carried(OLD_PARAS.df(spark), NEW_PARAS.df(spark))
+    return CL.marks_carried(OLD_PARAS.df(spark, sf_dir), NEW_PARAS.df(spark, sf_dir))
 
 
 def revision_list(spark, sf_dir):
-    return CL.revision_list(WEAK.df(spark))
+    return CL.revision_list(WEAK.df(spark, sf_dir))
 
 
 def dashboard(spark, sf_dir):
-    return CL.dashboard(X.REVIEWS.df(spark), DECK.df(spark), 12000.0)
+    return CL.dashboard(X.REVIEWS.df(spark, sf_dir), DECK.df(spark, sf_dir), 12000.0)
 
 
 def swapped_statements(spark, sf_dir):
-    return SWAPS.df(spark).select("id", CL.swap_terms(F.col("statement"), F.col("a"), F.col("b")).alias("swapped"), CL.picked(F.col("statement"), PROMPTS).alias("prompt"))
+    return SWAPS.df(spark, sf_dir).select("id", CL.swap_terms(F.col("statement"), F.col("a"), F.col("b")).alias("swapped"), CL.picked(F.col("statement"), PROMPTS).alias("prompt"))
 
 
 PAIRS = X.Fixture("fx_pairs", "id long, old string, new string, start long, end long, replacement string", [
@@ -217,11 +217,11 @@ OFFSETS = X.Fixture("fx_shift", "doc_id long, offset long", [(1, 10), (2, -3)])
 def minimal_edits(spark, sf_dir):
     """Edits of the fixture; its last columns are what they must be."""
     edit = minimal_edit(F.col("old"), F.col("new"))
-    return PAIRS.df(spark).select("id", edit.alias("e")).select("id", "e.start", "e.end", "e.replacement")
+    return PAIRS.df(spark, sf_dir).select("id", edit.alias("e")).select("id", "e.start", "e.end", "e.replacement")
 
 
 def shifted_spans(spark, sf_dir):
-    return S.shift_spans(X.SPANS.df(spark), OFFSETS.df(spark))
+    return S.shift_spans(X.SPANS.df(spark, sf_dir), OFFSETS.df(spark, sf_dir))
 
 
 def fingerprints(spark, sf_dir):
@@ -229,7 +229,7 @@ def fingerprints(spark, sf_dir):
 
 
 def report_issues(spark, sf_dir):
-    return SV.report_issues(X.REPORT.df(spark))
+    return SV.report_issues(X.REPORT.df(spark, sf_dir))
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and f.__code__.co_varnames[:2] == ("spark", "sf_dir")}

@@ -14,8 +14,8 @@ from . import fixtures as X
 from .queries_text import SENTENCES, docs
 
 
-def fixture_sentences(spark):
-    return X.SENTENCES.df(spark).withColumn("words", word_list(F.col("sentence"))).withColumn("n_words", F.size("words").cast("long"))
+def fixture_sentences(spark, sf_dir):
+    return X.SENTENCES.df(spark, sf_dir).withColumn("words", word_list(F.col("sentence"))).withColumn("n_words", F.size("words").cast("long"))
 
 
 def long_sentences(spark, sf_dir):
@@ -31,7 +31,7 @@ def near_repeats(spark, sf_dir):
 
 
 def lexicon_hits(spark, sf_dir):
-    return I.lexicon_hits(fixture_sentences(spark))
+    return I.lexicon_hits(fixture_sentences(spark, sf_dir))
 
 
 #: Phrases that the invented corpus does contain.
@@ -44,52 +44,52 @@ def lexicon_counts(spark, sf_dir):
 
 
 def issues_deduplicated(spark, sf_dir):
-    return I.keep_specific(X.ISSUES.df(spark))
+    return I.keep_specific(X.ISSUES.df(spark, sf_dir))
 
 
 def unsupported_claims(spark, sf_dir):
-    return I.unsupported_claims(fixture_sentences(spark))
+    return I.unsupported_claims(fixture_sentences(spark, sf_dir))
 
 
 def plain_runs(spark, sf_dir):
-    return I.plain_runs(fixture_sentences(spark))
+    return I.plain_runs(fixture_sentences(spark, sf_dir))
 
 
 def generic_spots(spark, sf_dir):
     """Vague sources, claims and fillers of the fixture within the caps."""
     rank = F.create_map(F.lit("vague_source"), F.lit(1), F.lit("claim"), F.lit(2), F.lit("filler"), F.lit(3))
-    s = fixture_sentences(spark)
+    s = fixture_sentences(spark, sf_dir)
     spots = I.lexicon_hits(s).where(F.col("lexicon").isin("vague_source", "claim", "filler")).withColumn("priority", rank[F.col("lexicon")]).join(s.select("doc_id", "sent_idx", "section"), ["doc_id", "sent_idx"])
     return I.spots_within_caps(spots).select("doc_id", "sent_idx", "lexicon", "phrase")
 
 
 def report_sections(spark, sf_dir):
-    return P.sections(X.REPORT.df(spark))
+    return P.sections(X.REPORT.df(spark, sf_dir))
 
 
 def report_structure(spark, sf_dir):
-    return P.structure_issues(X.REPORT.df(spark))
+    return P.structure_issues(X.REPORT.df(spark, sf_dir))
 
 
 def report_abbreviations(spark, sf_dir):
-    return P.abbreviations(X.REPORT.df(spark))
+    return P.abbreviations(X.REPORT.df(spark, sf_dir))
 
 
 def report_figures(spark, sf_dir):
-    return P.figures(X.REPORT.df(spark))
+    return P.figures(X.REPORT.df(spark, sf_dir))
 
 
 def report_units(spark, sf_dir):
-    return P.units(X.REPORT.df(spark))
+    return P.units(X.REPORT.df(spark, sf_dir))
 
 
 def rewrite_candidates(spark, sf_dir):
-    return W.candidates(fixture_sentences(spark)).select("doc_id", "sent_idx", "transform", "text")
+    return W.candidates(fixture_sentences(spark, sf_dir)).select("doc_id", "sent_idx", "transform", "text")
 
 
 def rewrite_choice(spark, sf_dir):
     """Candidates scored by how short they are, chosen where shorter than the sentence."""
-    c = W.candidates(fixture_sentences(spark)).withColumn("score", -F.length("text")).withColumn("base", -F.length("sentence"))
+    c = W.candidates(fixture_sentences(spark, sf_dir)).withColumn("score", -F.length("text")).withColumn("base", -F.length("sentence"))
     return W.choose(c).select("doc_id", "sent_idx", "transform", "text")
 
 

@@ -31,7 +31,7 @@ def length_fits(spark, sf_dir):
 
 
 def candidate_gates(spark, sf_dir):
-    c = CANDIDATES.df(spark)
+    c = CANDIDATES.df(spark, sf_dir)
     total = S.candidate_total(F.col("fluency"), F.col("meaning"), F.col("style"), F.col("grammar"))
     return c.select("id", F.round(total, 4).alias("total"), S.reject_reason(F.col("meaning"), F.col("drop"), F.col("grammar")).alias("reason"))
 
@@ -51,7 +51,7 @@ def turn_overlap(spark, sf_dir):
 
 
 def stacked_hedges(spark, sf_dir):
-    return S.stacked_hedges(fixture_sentences(spark), sorted(I.LEXICONS["hedge"]))
+    return S.stacked_hedges(fixture_sentences(spark, sf_dir), sorted(I.LEXICONS["hedge"]))
 
 
 def title_lines(spark, sf_dir):
@@ -64,23 +64,23 @@ def cloze_gaps(spark, sf_dir):
 
 
 def swapped_numbers(spark, sf_dir):
-    return FACTS.df(spark).select("id", Q.swapped_numbers(F.col("text")).alias("text"))
+    return FACTS.df(spark, sf_dir).select("id", Q.swapped_numbers(F.col("text")).alias("text"))
 
 
 def option_order(spark, sf_dir):
-    return Q.options_in_order(OPTIONS.df(spark))
+    return Q.options_in_order(OPTIONS.df(spark, sf_dir))
 
 
 def glossary(spark, sf_dir):
-    return Q.glossary(X.REPORT.df(spark))
+    return Q.glossary(X.REPORT.df(spark, sf_dir))
 
 
 def card_sync(spark, sf_dir):
-    return Q.new_cards(OFFERED.df(spark), OWNED.df(spark))
+    return Q.new_cards(OFFERED.df(spark, sf_dir), OWNED.df(spark, sf_dir))
 
 
 def viva_next(spark, sf_dir):
-    return Q.next_level(HISTORY.df(spark))
+    return Q.next_level(HISTORY.df(spark, sf_dir))
 
 
 def greedy_spans(spark, sf_dir):
