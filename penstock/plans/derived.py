@@ -112,4 +112,7 @@ DERIVED = {
     "fx_owned": "SELECT c_custkey + 1000, c_name FROM {customer} WHERE c_custkey % 4 > 0",
     "fx_history": "SELECT l_orderkey + 1000, l_linenumber * 1000000 + l_partkey * 1000 + l_suppkey, l_partkey % 3 + 1, CAST(l_suppkey % 101 AS DOUBLE) FROM {lineitem}",
     "fx_facts": f"SELECT doc_id, CAST(doc_id AS STRING) || ' pumps and ' || split_part(text, '. ', 1) || ' or 12.5' FROM {_EN} x",
+    "fx_gates": "SELECT l_orderkey * 8 + l_linenumber + 1000, CAST(l_partkey % 64 AS DOUBLE) / 67, CAST(36 + l_suppkey % 33 AS DOUBLE) / 71, CAST(l_orderkey % 16 AS DOUBLE) / 17, CAST(l_linenumber % 3 AS DOUBLE), CAST(l_partkey % 13 AS DOUBLE) / 63 FROM {lineitem}",
+    "fx_candidates": f"SELECT l_orderkey + 1000, l_linenumber % 2, l_partkey * 10000 + l_suppkey * 10 + l_linenumber, CAST(l_suppkey % 9 AS STRING), l_partkey % 3 + 1, {_cases('l_suppkey', ('meaning', 'fluency', 'grammar'))} FROM {{lineitem}}",
+    "fx_pairs": f"SELECT doc_id, text, 'zzz ' || text, 0, 0, 'zzz ' FROM {_EN} x WHERE n > 0 UNION ALL SELECT doc_id + 1000000, text, text || ' end', n, n, ' end' FROM {_EN} x WHERE n > 0",
 }

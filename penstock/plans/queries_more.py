@@ -136,7 +136,7 @@ def short_pairs_documents(spark, sf_dir):
 
 
 def assembled_changes(spark, sf_dir):
-    return FL.assembled_changes(CHANGES.df(spark, sf_dir).where("doc_id = 1 and change_id <= 5")).select("change_id", "new_start", "new_end")
+    return FL.assembled_changes(CHANGES.df(spark, sf_dir)).select("doc_id", "change_id", "new_start", "new_end")
 
 
 def pending_changes(spark, sf_dir):
@@ -335,8 +335,8 @@ UNION ALL SELECT doc_id, rule, kind || ' ' || number FROM ({RULES['report_figure
     "rhythm_series": f"WITH {SENTENCES} SELECT doc_id, sent_idx, len(words)::BIGINT AS n_words, round(avg(len(words)) OVER (PARTITION BY doc_id), 4) AS mean, round(stddev_pop(len(words)) OVER (PARTITION BY doc_id), 4) AS sd FROM sents",
     "short_pairs": f"WITH {FLOW.cte()}, {_pairs_sql('fx_flow')}",
     "short_pairs_documents": f"WITH {SENTENCES}, {_pairs_sql('(SELECT *, len(words) AS n_words FROM sents)')}",
-    "assembled_changes": f"""WITH {CHANGES.cte()}, d AS (SELECT *, coalesce(sum(length(replacement) - ("end" - start)) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM fx_changes WHERE doc_id = 1 AND change_id <= 5)
-SELECT change_id, (start + k)::BIGINT AS new_start, (start + k + length(replacement))::BIGINT AS new_end FROM d""",
+    "assembled_changes": f"""WITH {CHANGES.cte()}, d AS (SELECT *, coalesce(sum(length(replacement) - ("end" - start)) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM fx_changes)
+SELECT doc_id, change_id, (start + k)::BIGINT AS new_start, (start + k + length(replacement))::BIGINT AS new_end FROM d""",
     "pending_changes": f"""WITH {CHANGES.cte()}, {EDITED.cte()}, d AS (SELECT c.*, (start + coalesce(sum(CASE WHEN decision = 'accepted' THEN length(replacement) - length(original) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, change_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS p FROM fx_changes c),
 n AS (SELECT d.*, text, greatest(0, p - 300) AS lo, instr(substr(text, greatest(0, p - 300) + 1, p - greatest(0, p - 300) + length(original) + 300), original) AS f FROM d JOIN fx_edited e USING (doc_id) WHERE decision IS NULL)
 SELECT doc_id, change_id, (CASE WHEN substr(text, p + 1, length(original)) = original THEN p WHEN trim(original) <> '' AND f > 0 THEN lo + f - 1 END)::BIGINT AS new_start FROM n""",

@@ -16,7 +16,7 @@ from .queries_model import protected_spans
 from .queries_rules import fixture_sentences
 from .queries_text import SENTENCES, docs
 
-CANDIDATES = X.Fixture("fx_candidates", "id long, fluency double, meaning double, style double, grammar double, drop double", [(1, 0.6, 0.95, 0.7, 0.0, 0.02), (2, 0.9, 0.75, 0.9, 0.0, 0.0), (3, 0.5, 0.9, 0.4, 1.0, 0.1), (4, 0.3, 0.85, 0.5, 0.0, 0.3), (5, 0.55, 0.99, 0.8, 0.0, 0.0)])
+CANDIDATES = X.Fixture("fx_gates", "id long, fluency double, meaning double, style double, grammar double, drop double", [(1, 0.6, 0.95, 0.7, 0.0, 0.02), (2, 0.9, 0.75, 0.9, 0.0, 0.0), (3, 0.5, 0.9, 0.4, 1.0, 0.1), (4, 0.3, 0.85, 0.5, 0.0, 0.3), (5, 0.55, 0.99, 0.8, 0.0, 0.0)])
 OPTIONS = X.Fixture("fx_options", "qid long, option string", [(q, o) for q in (1, 2) for o in ("pump", "valve", "hose", "meter")])
 OFFERED = X.Fixture("fx_offered", "card_id long, front string", [(1, "a"), (2, "b"), (2, "c"), (3, "d"), (4, "e")])
 OWNED = X.Fixture("fx_owned", "card_id long, front string", [(1, "z"), (9, "y")])
@@ -100,7 +100,7 @@ QUERIES = {f.__name__: f for f in (length_fits, candidate_gates, centroid_cosine
 _HEDGES = "[" + ", ".join(f"'{h}'" for h in sorted(I.LEXICONS["hedge"])) + "]"
 ORACLES = {
     "length_fits": f"WITH {SENTENCES} SELECT doc_id, round(avg(exp(-0.5::DOUBLE * ((len(words) - 21.0::DOUBLE) / 12.0::DOUBLE) * ((len(words) - 21.0::DOUBLE) / 12.0::DOUBLE))), 4) AS fit FROM sents GROUP BY doc_id",
-    "candidate_gates": f"WITH {CANDIDATES.cte()} SELECT id, round(0.35::DOUBLE * fluency + 0.3::DOUBLE * meaning + 0.15::DOUBLE * style - 0.2::DOUBLE * grammar, 4) AS total, CASE WHEN meaning < 0.8 THEN 'meaning' WHEN \"drop\" > 0.15 THEN 'fluency' WHEN grammar > 0 THEN 'grammar' END AS reason FROM fx_candidates",
+    "candidate_gates": f"WITH {CANDIDATES.cte()} SELECT id, round(0.35::DOUBLE * fluency + 0.3::DOUBLE * meaning + 0.15::DOUBLE * style - 0.2::DOUBLE * grammar, 4) AS total, CASE WHEN meaning < 0.8 THEN 'meaning' WHEN \"drop\" > 0.15 THEN 'fluency' WHEN grammar > 0 THEN 'grammar' END AS reason FROM fx_gates",
     "centroid_cosines": """WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY 1, 2),
 s AS (SELECT vec_id, sum(x * m) AS d, sqrt(sum(x * x)) * sqrt(sum(m * m)) AS z FROM e JOIN m USING (label, i) GROUP BY 1) SELECT vec_id, round(CASE WHEN z > 0 THEN d / z ELSE 0 END, 3) AS cosine FROM s""",
     "turn_overlap": """WITH t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS x, b.w AS y FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn),
