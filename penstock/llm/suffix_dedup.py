@@ -3,8 +3,8 @@
 1. Anchors. Of the first ``span_of(length)`` places of each window of ``length`` bytes, the one whose 16 bytes hash lowest is the
    window's anchor; equal windows have it at the same place. Windows of one anchor are one row: their core (the bytes
    all of them share, hashed), and all bytes that any of them covers (the context, hashed too).
-2. Contexts that occur twice repeat with all their windows. Cores with two contexts or more, one of them unique, need
-   their bytes; cores without company drop out.
+2. Cores that occur once drop out. Contexts that occur twice repeat with all their windows. Cores with two contexts or more, one of
+   them unique, need their bytes.
 3. The suffix array. For each such core a task puts its contexts into one text of symbols: bytes left of the core,
    the core as one symbol, bytes right of it. Contexts that cannot share a window with any other are left out, ends that
    no other shares are cut off, and so are columns in which all contexts of the core agree. Baier's grouping sorts the
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,11 +110,20 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     return row[new], a, s1, s2, core, ctx
 
 
-def stretches(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, offsets, row in batch, place of each row's first byte in its text); long texts come in overlapping parts."""
+def content_buffer(column: pa.Array, by_words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts, or of their codes: a hash of eight bytes for each word (a run without ASCII white space)."""
+    raw, offsets = text_buffer(column)
+    if not by_words:
+        return raw, offsets
+    start, end, row = words(raw, offsets, NOT_SPACE)
+    return hash_words(raw, start, end).view(np.uint8), 8 * np.searchsorted(row, np.arange(offsets.size))
+
+
+def stretches(batch: pa.RecordBatch, length: int, by_words: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, offsets, row in batch, place of each row's first byte in its content); long contents come in overlapping parts."""
     done = 0
     for part in pieces(batch, STRETCH):
-        raw, offsets = text_buffer(part.column(part.schema.get_field_index("text")))
+        raw, offsets = content_buffer(part.column(part.schema.get_field_index("text")), by_words)
         if part.num_rows == 1 and raw.size > 2 * STRETCH:
             for at in range(0, raw.size - length + 1, STRETCH):
                 end = min(raw.size, at + STRETCH + length - 1)
@@ -144,12 +153,12 @@ def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.take(pa.array(keep)) if len(keep) < len(keys) else batch
 
 
-def find_anchors(length: int) -> callable:
+def find_anchors(length: int, by_words: bool) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unseen(batches):
             key = batch.column(batch.schema.get_field_index("key")).to_numpy()
             n = batch.column(batch.schema.get_field_index("n")).to_numpy()
-            for raw, offsets, rows, base in stretches(batch, length):
+            for raw, offsets, rows, base in stretches(batch, length, by_words):
                 row, a, s1, s2, core, ctx = anchors(raw, offsets, length)
                 shift = base[row] - offsets[:-1][row]
                 own = rows[row]
@@ -159,7 +168,7 @@ def find_anchors(length: int) -> callable:
     return run
 
 
-def cut_contexts(length: int) -> callable:
+def cut_contexts(length: int, by_words: bool) -> callable:
     """The bytes of requested contexts, left of the core (reversed) and right of it."""
 
     after = length - span_of(length) + 1
@@ -167,7 +176,7 @@ def cut_contexts(length: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in unseen(batches):
             for part in pieces(batch, STRETCH):
-                raw, offsets = text_buffer(part.column(part.schema.get_field_index("text")))
+                raw, offsets = content_buffer(part.column(part.schema.get_field_index("text")), by_words)
                 whole = raw.tobytes()
                 out = {c: [] for c in ("core", "ctx", "key", "n", "a", "s1", "s2", "left", "right")}
                 for i, (key, n, wanted) in enumerate(zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("key", "n", "wanted")))):
@@ -314,21 +323,13 @@ def hash_windows(length: int) -> callable:
     return run
 
 
-def code_words(carry: list[str]) -> callable:
-    """carry, text, and the text's words (runs without ASCII white space) as eight bytes each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                raw, offsets = text_buffer(part.column(part.schema.get_field_index("text")))
-                start, end, row = words(raw, offsets, NOT_SPACE)
-                code = hash_words(raw, start, end)
-                cut = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
-                arrays = {c: part.column(part.schema.get_field_index(c)) for c in [*carry, "text"]}
-                arrays["_code"] = pa.array([code[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
-                yield pa.record_batch(list(arrays.values()), list(arrays))
-
-    return run
+def add_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the code of each text."""
+    for batch in batches:
+        for part in pieces(batch):
+            raw, offsets = content_buffer(part.column(part.schema.get_field_index("text")), True)
+            whole, cut = raw.tobytes(), offsets.tolist()
+            yield pa.record_batch([*part.columns, pa.array([whole[x:y] for x, y in zip(cut, cut[1:])], pa.binary())], [*part.schema.names, "_code"])
 
 
 def word_runs(text: bytes, found: list[dict], count: int) -> list[list[int]]:
@@ -382,36 +383,44 @@ def cut_out(carry: list[str], length: int, count: int) -> callable:
     return run
 
 
-def content_key(text: Column) -> tuple[Column, Column]:
-    """The first 64 bits of the MD5 of a text or code, and its bytes."""
-    return F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long"), F.octet_length(text)
+def with_keys(rows: DataFrame, by_words: bool) -> DataFrame:
+    """Adds _key, the first 64 bits of the MD5 of the text or its code, and _n, its bytes."""
+    content = "text"
+    if by_words:
+        rows, content = rows.mapInArrow(add_codes, T.StructType([*rows.schema.fields, T.StructField("_code", T.BinaryType())])), "_code"
+    digest = F.conv(F.substring(F.md5(content), 1, 16), 16, -10).cast("long")
+    return rows.withColumns({"_key": digest, "_n": F.octet_length(content)}).drop("_code")
 
 
-def find_repeats(contents: DataFrame, length: int, group_contexts: int) -> tuple[DataFrame, list[int]]:
-    """(key, n, found: ranges of window starts that repeat) of each text (a column without nulls) that has any, and the keys of very frequent texts."""
-    digest, size = content_key(F.col("text"))
-    texts = contents.select("text", digest.alias("key"), size.alias("n")).where(F.col("n") >= length)
-    found = materialise(texts.select("key", "n", "text").mapInArrow(find_anchors(length), ANCHOR), "anchors")
+def find_repeats(rows: DataFrame, length: int, group_contexts: int, by_words: bool) -> tuple[DataFrame, list[int]]:
+    """(key, n, found: ranges of window starts that repeat) of each text that has any, and the keys of very frequent texts."""
+    texts = rows.where(F.col("_n") >= length).select(F.col("_key").alias("key"), F.col("_n").alias("n"), "text")
+    found = materialise(texts.mapInArrow(find_anchors(length, by_words), ANCHOR), "anchors")
     copies = materialise(texts.groupBy("key", "n").agg(F.count("*").alias("c")).where("c > 1"), "copies")
     # A thousand keys at most, whatever the input.
-    hot = [r.key for r in copies.where(F.col("c") >= max(HOT_COPIES, contents.count() // 1000)).select("key").collect()]
+    hot = [r.key for r in copies.where(F.col("c") >= max(HOT_COPIES, rows.count() // 1000)).select("key").collect()]
+
+    # Anchors whose core occurs once drop out first: two numbers of each are exchanged for that.
+    company = found.groupBy("core").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("core").alias("_core"))
+    met = materialise(found.join(company, F.col("core") == F.col("_core"), "left_semi"), "met")
+    drop_table(found)
 
     # Contexts and how they occur; a context occurs twice if its first and last occurrence differ.
     place = F.struct("key", "n", "a", "s1", "s2")
-    contexts = found.groupBy("core", "ctx").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).withColumn("twice", F.col("lo") != F.col("hi"))
-    contexts = materialise(contexts, "contexts")
+    contexts = met.groupBy("core", "ctx").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).withColumn("twice", F.col("lo") != F.col("hi"))
+    contexts = materialise(contexts.select("core", "ctx", "lo", "twice"), "contexts")
     cores = contexts.groupBy("core").agg(F.count("*").alias("many"), F.min(F.col("twice").cast("int")).alias("all_twice")).where("many > 1 and all_twice = 0")
     cores = materialise(cores.select(F.col("core").alias("_core"), "many"), "cores")
-    same = found.join(contexts.where("twice").select(F.col("ctx").alias("_ctx")), F.col("ctx") == F.col("_ctx"), "left_semi").select("key", "n", "s1", "s2")
+    same = met.join(contexts.where("twice").select(F.col("ctx").alias("_ctx")), F.col("ctx") == F.col("_ctx"), "left_semi").select("key", "n", "s1", "s2")
 
     wanted = contexts.join(cores, F.col("core") == F.col("_core")).select("core", "ctx", "many", "lo.*").groupBy("key", "n").agg(F.collect_list(F.struct("core", "ctx", "a", "s1", "s2")).alias("wanted"))
-    single = texts.select("key", "n", "text")
+    single = texts
     if hot:
         single = single.where(~F.col("key").isin(hot)).union(single.where(F.col("key").isin(hot)).mapInArrow(unseen, single.schema))
-    bytes_ = materialise(single.join(wanted, ["key", "n"]).select("key", "n", "text", "wanted").mapInArrow(cut_contexts(length), ANCHOR + ", left binary, right binary"), "bytes")
+    bytes_ = materialise(single.join(wanted, ["key", "n"]).select("key", "n", "text", "wanted").mapInArrow(cut_contexts(length, by_words), ANCHOR + ", left binary, right binary"), "bytes")
     grouped = bytes_.join(cores.where(F.col("many") <= group_contexts), F.col("core") == F.col("_core")).drop("_core", "many")
     partly = grouped.repartition("core").sortWithinPartitions("core").mapInArrow(solve_groups(length), "key long, n int, s1 int, s2 int")
-    spent = [bytes_, contexts, cores, found, copies]
+    spent = [bytes_, contexts, cores, met, copies]
     if cores.where(F.col("many") > group_contexts).limit(1).count():
         large = bytes_.join(cores.where(F.col("many") > group_contexts), F.col("core") == F.col("_core"), "left_semi").dropDuplicates(["core", "ctx"])
         windows = materialise(large.mapInArrow(hash_windows(length), "h long, key long, n int, s1 int"), "windows")
@@ -439,19 +448,12 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length
         raise ValueError("length must be at least 64 bytes, n_words at least 8")
     names = [c for c in carry if c != "text"]
     reserve(names, ["n_bytes", "removed", "kept", "kept_text", "_key", "_n", "_salt", "_found", "_code"])
+    rows = with_keys(docs.select(*names, F.coalesce("text", F.lit("")).alias("text")), bool(n_words))
+    covered, hot = find_repeats(with_keys(docs.select(F.coalesce("text", F.lit("")).alias("text")), bool(n_words)), length, group_contexts, bool(n_words))
     # Texts too short to repeat meet nothing, so each has a key of its own; copies of frequent texts are spread.
-    rows = docs.select(*names, F.coalesce("text", F.lit("")).alias("text"))
-    if n_words:
-        coded = T.StructType([*rows.schema.fields, T.StructField("_code", T.BinaryType())])
-        contents = rows.select("text").mapInArrow(code_words([]), T.StructType(coded.fields[-2:])).select(F.col("_code").alias("text"))
-        rows = rows.mapInArrow(code_words(names), coded)
-    else:
-        contents = rows.select("text")
-    covered, hot = find_repeats(contents, length, group_contexts)
-    digest, size = content_key(F.col("_code" if n_words else "text"))
-    number = F.monotonically_increasing_id()
-    salt = F.when(digest.isin(hot) & (size >= length), F.pmod(number, F.lit(SALTS)).cast("int")).otherwise(0) if hot else F.lit(0)
-    keyed = rows.select(*names, "text", F.when(size >= length, digest).otherwise(number).alias("_key"), F.when(size >= length, size).otherwise(-1).alias("_n"), salt.alias("_salt"))
+    long_, number = F.col("_n") >= length, F.monotonically_increasing_id()
+    salt = F.when(F.col("_key").isin(hot) & long_, F.pmod(number, F.lit(SALTS)).cast("int")).otherwise(0) if hot else F.lit(0)
+    keyed = rows.select(*names, "text", F.when(long_, F.col("_key")).otherwise(number).alias("_key"), F.when(long_, F.col("_n")).otherwise(-1).alias("_n"), salt.alias("_salt"))
     salts = F.when(F.col("key").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
     sides = covered.select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.explode(salts).alias("_salt"), F.col("found").alias("_found"))
     rows = keyed.join(sides, ["_key", "_n", "_salt"], "left")
