@@ -12,7 +12,8 @@
 4. Covered bytes are united per text and cut out.
 
 Texts are known by 64 bits of their MD5 and their length, so copies are handled once; a text with a copy repeats as a
-whole. A core with over ``group_contexts`` different contexts is not sent to one task: its windows are hashed and counted.
+whole. A core with over ``group_contexts`` different contexts (half a million symbols at most stand in one array) is not sent to one
+task: its windows are hashed and counted.
 Texts with a thousandth of all rows or more as copies (so a thousand texts at most) are thinned out in their tasks before they
 meet, and their copies are spread over ``SALTS`` keys when results go back to rows.
 
@@ -401,9 +402,10 @@ def find_repeats(rows: DataFrame, length: int, group_contexts: int, by_words: bo
     hot = [r.key for r in copies.where(F.col("c") >= max(HOT_COPIES, rows.count() // 1000)).select("key").collect()]
 
     # Anchors whose core occurs once drop out first: two numbers of each are exchanged for that.
-    company = found.groupBy("core").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("core").alias("_core"))
+    company = materialise(found.groupBy("core").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("core").alias("_core")), "company")
     met = materialise(found.join(company, F.col("core") == F.col("_core"), "left_semi"), "met")
     drop_table(found)
+    drop_table(company)
 
     # Contexts and how they occur; a context occurs twice if its first and last occurrence differ.
     place = F.struct("key", "n", "a", "s1", "s2")
@@ -436,7 +438,7 @@ def find_repeats(rows: DataFrame, length: int, group_contexts: int, by_words: bo
     return covered, hot
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = 400, group_contexts: int = 100_000, n_words: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = 400, group_contexts: int = 2_000, n_words: int = 0) -> DataFrame:
     """carry, n_bytes, removed (runs of places), kept (bytes), kept_text for each row of docs.
 
     With n_words, what repeats is a window of so many words instead of `length` bytes: words are runs without ASCII white space, the
