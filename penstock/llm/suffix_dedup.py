@@ -12,8 +12,8 @@
 4. Covered bytes are united per text and cut out.
 
 Texts are known by 64 bits of their MD5 and their length, so copies are handled once; a text with a copy repeats as a
-whole. A core with over ``group_contexts`` different contexts (half a million symbols at most stand in one array) is not sent to one
-task: its windows are hashed and counted.
+whole. A core whose contexts have over ``SYMBOLS`` bytes is solved in its task by hashes of its windows instead of an array; one with over
+``group_contexts`` different contexts is not sent to one task: its windows are hashed and counted in Spark.
 Texts with a thousandth of all rows or more as copies (so a thousand texts at most) are thinned out in their tasks before they
 meet, and their copies are spread over ``SALTS`` keys when results go back to rows.
 
@@ -46,6 +46,8 @@ SALTS = 256
 HOT_COPIES = 1000
 #: Contexts that are solved at once, in whole groups.
 AT_ONCE = 20_000
+#: Bytes of contexts, after trimming, that stand in one suffix array at most.
+SYMBOLS = 300_000
 ANCHOR = "core long, ctx long, key long, n int, a int, s1 int, s2 int"
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -255,6 +257,11 @@ def repeated_windows(left: list[bytes], right: list[bytes], group: np.ndarray, l
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
         if b - a < 2:
             continue
+        if int(l_in[a:b].sum() + r_in[a:b].sum()) > SYMBOLS:
+            k = keep[a:b]
+            first_u, last_u = np.maximum(low_u[k], width - r_most[a:b]), np.minimum(high_u[k], l_most[a:b])
+            out += [(int(keep[a + i]), u1, u2) for i, u1, u2 in repeated_by_hash(lb[a:b], rb[a:b], first_u, last_u)]
+            continue
         # Symbols: 0..255 bytes, 256 the core, above that an end of its own for each context.
         text: list[int] = []
         spots: list[tuple[int, np.ndarray, np.ndarray, int]] = []
@@ -282,6 +289,29 @@ def repeated_windows(left: list[bytes], right: list[bytes], group: np.ndarray, l
     return out
 
 
+def repeated_by_hash(lb: np.ndarray, rb: np.ndarray, first_u: np.ndarray, last_u: np.ndarray) -> list[tuple[int, int, int]]:
+    """(context, first u, last u) as repeated_windows(), of one group: windows (u bytes of lb, the rest of rb) whose hash another context has too."""
+    n, width = lb.shape
+    up = powers(width)[0][:width]
+    sides = []
+    for x in (lb, rb):
+        sums = np.zeros((n, width + 1), np.uint64)
+        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up, axis=1, out=sums[:, 1:])
+        sides.append(sums)
+    u = np.arange(width + 1)
+    row, at = np.nonzero((u >= first_u[:, None]) & (u <= last_u[:, None]))
+    h = mix64(mix64(sides[0][row, at]) + sides[1][row, width - at] * MIX + at.astype(np.uint64))
+    del sides
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(h.size, bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    row, at = row[twice], at[twice]
+    begin = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)])) if row.size else np.zeros(0, np.int64)
+    end = np.append(begin[1:], row.size) - 1 if row.size else begin
+    return list(zip(row[begin].tolist(), at[begin].tolist(), at[end].tolist()))
+
+
 def solve_groups(length: int) -> callable:
     """Window starts that repeat, from contexts that come in order of core; some ten thousand are held at once."""
     width = span_of(length) - 1
@@ -403,7 +433,8 @@ def find_repeats(rows: DataFrame, length: int, group_contexts: int, by_words: bo
 
     # Anchors whose core occurs once drop out first: two numbers of each are exchanged for that.
     company = materialise(found.groupBy("core").agg(F.count("*").alias("_c")).where("_c > 1").select(F.col("core").alias("_core")), "company")
-    met = materialise(found.join(company, F.col("core") == F.col("_core"), "left_semi"), "met")
+    # By sorting at every size, so that frequent cores can be split.
+    met = materialise(found.hint("merge").join(company.hint("merge"), F.col("core") == F.col("_core"), "left_semi"), "met")
     drop_table(found)
     drop_table(company)
 
@@ -438,7 +469,7 @@ def find_repeats(rows: DataFrame, length: int, group_contexts: int, by_words: bo
     return covered, hot
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = 400, group_contexts: int = 2_000, n_words: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), length: int = 400, group_contexts: int = 10_000, n_words: int = 0) -> DataFrame:
     """carry, n_bytes, removed (runs of places), kept (bytes), kept_text for each row of docs.
 
     With n_words, what repeats is a window of so many words instead of `length` bytes: words are runs without ASCII white space, the

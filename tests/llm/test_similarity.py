@@ -124,11 +124,12 @@ def brute_repeats(rows, length=400):
     return out
 
 
-@pytest.mark.parametrize("group,length,hot,once", [(100_000, 400, 1000, 20_000), (1, 400, 1000, 20_000), (100_000, 240, 2, 5), (1, 240, 2, 5), (100_000, 64, 1000, 50)])
-def test_repeats(spark, hard, group, length, hot, once, monkeypatch):
-    """All paths: cores solved in a task or counted by hash (group), frequent texts spread (hot), groups solved piecemeal (once)."""
+@pytest.mark.parametrize("group,length,hot,once,symbols", [(100_000, 400, 1000, 20_000, 300_000), (100_000, 400, 1000, 20_000, 0), (1, 400, 1000, 20_000, 300_000), (100_000, 240, 2, 5, 40), (1, 240, 2, 5, 300_000), (100_000, 64, 1000, 50, 300_000), (100_000, 64, 1000, 50, 0)])
+def test_repeats(spark, hard, group, length, hot, once, symbols, monkeypatch):
+    """All paths: cores solved by an array or by hashes in a task (symbols) or counted in Spark (group), frequent texts spread (hot), groups solved piecemeal (once)."""
     from penstock.llm import suffix_dedup
 
+    monkeypatch.setattr(suffix_dedup, "SYMBOLS", symbols)
     monkeypatch.setattr(suffix_dedup, "HOT_COPIES", hot)
     monkeypatch.setattr(suffix_dedup, "AT_ONCE", once)
     rows = [(r.doc_id, r.text) for r in hard.collect() if r.doc_id != 13 or len(r.text) < 9000]
