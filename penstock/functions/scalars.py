@@ -89,3 +89,10 @@ def sm2_step(card: Column, grade: Column, at: Column) -> Column:
         (card["lapses"] + lost.cast("int")).cast("int").alias("lapses"),
         (at + F.when(lost, F.lit(10.0)).otherwise(interval * 1440.0)).alias("due"),
     )
+
+
+def fnv1a36(text: Column) -> Column:
+    """The 32-bit FNV-1a hash over the text's UTF-16 units, in base 36: ids of cards. A null text has none, an empty one the offset's."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    folded = F.aggregate(units, F.lit(0x811C9DC5).cast("long"), lambda h, u: (h.bitwiseXOR(F.conv(u, 16, 10).cast("long")) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.lower(F.conv(folded.cast("string"), 10, 36))

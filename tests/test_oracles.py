@@ -2,11 +2,11 @@
 
 import pytest
 
-from penstock.plans import queries_model, queries_more, queries_rules, queries_study, queries_text
+from penstock.plans import queries_model, queries_more, queries_rules, queries_study, queries_terms, queries_text
 
 from .oracle import compare, connection
 
-MODULES = (queries_text, queries_model, queries_rules, queries_study, queries_more)
+MODULES = (queries_text, queries_model, queries_rules, queries_study, queries_more, queries_terms)
 CASES = [(n, m.QUERIES[n], sql) for m in MODULES for n, sql in m.ORACLES.items()]
 #: The smallest tables have no such rows.
 MAY_BE_EMPTY = {"heading_lines", "word_limit"}
