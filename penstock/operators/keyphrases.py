@@ -33,7 +33,8 @@ def placed_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     found, gaps = F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), F.split(t, TOKEN, -1)
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("token")))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col(text)).repartition("_row").select("_row", "doc_id", F.posexplode(pairs).alias("pos", "s"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that a small table's texts are not joined into one task
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col(text)).repartition(parts, "_row").select("_row", "doc_id", F.posexplode(pairs).alias("pos", "s"))
     order = Window.partitionBy("_row").orderBy("pos")
     rows = rows.select("_row", "doc_id", "pos", "s.*").withColumn("_before", F.lag("token").over(order))
     closed = F.col("_before").rlike("[.!?]$") & (F.col("gap") != "") & F.col("token").rlike('^[A-Z"“(]')
@@ -55,24 +56,22 @@ def word_weights(tokens: DataFrame) -> DataFrame:
     rows = tokens.withColumn("_word", F.when(is_word, low)).withColumn("left", neighbour(1)).withColumn("right", neighbour(-1))
     rows = rows.where("_word is not null").withColumnRenamed("_word", "word").withColumn("stop", (F.length("word") < 3) | F.col("word").isin(STOP))
     same = Window.partitionBy("_row", "word")
-    first_in = lambda c: F.row_number().over(Window.partitionBy("_row", "word", c).orderBy("pos")) == 1
-    letters = F.regexp_replace("token", r"[^\p{L}]", "")
-    shouted = (F.length(letters) > 1) & (letters == F.upper(letters))
-    capital = (F.left("token", F.lit(1)) != F.left("word", F.lit(1))) & (F.col("_fresh") == 0)
-    rows = (
-        rows.withColumn("_l", (first_in("left") & F.col("left").isNotNull()).cast("int"))
-        .withColumn("_r", (first_in("right") & F.col("right").isNotNull()).cast("int"))
-        .withColumn("_s", first_in("sent"))
-        .withColumn("tf", F.count("*").over(same))
-        .withColumn("_one", F.row_number().over(same.orderBy("pos")) == 1)
-    )
-    spread = lambda new, near: F.coalesce(F.try_divide(F.sum(new).over(same), F.count(near).over(same)), F.lit(0.0))
-    rows = (
-        rows.withColumn("context", spread("_l", "left") + spread("_r", "right"))
-        .withColumn("case", F.greatest(F.sum(capital.cast("int")).over(same), F.sum(shouted.cast("int")).over(same)) / (1 + F.log("tf")))
-        .withColumn("place", F.log(F.log(3 + F.median(F.when(F.col("_s"), F.col("sent"))).over(same))))
-        .withColumn("sf", F.count_if(F.col("_s")).over(same))
-    )
+    first_in = lambda c: ((F.row_number().over(Window.partitionBy("_row", "word", c).orderBy("pos")) == 1) & F.col(c).isNotNull()).cast("int")
+    letters = F.translate("token", "'’-", "")
+    shouted = ((F.length(letters) > 1) & (letters == F.upper(letters))).cast("int")
+    capital = ((F.left("token", F.lit(1)) != F.left("word", F.lit(1))) & (F.col("_fresh") == 0)).cast("int")
+    by_place = same.orderBy("pos")
+    rows = rows.select("*", first_in("left").alias("_l"), first_in("right").alias("_r"), capital.alias("_c"), shouted.alias("_u"))
+    rows = rows.select("*", (~F.lag("sent").over(by_place).eqNullSafe(F.col("sent"))).cast("int").alias("_s"), (F.row_number().over(by_place) == 1).alias("_one"))
+    rows = rows.withColumn("_nth", F.when(F.col("_s") == 1, F.sum("_s").over(by_place)))  # which of the word's sentences this one is
+    total = lambda c: F.sum(c).over(same)
+    rows = rows.select("*", F.count("*").over(same).alias("tf"), total("_s").alias("sf"), total("_c").alias("_cs"), total("_u").alias("_us"), total("_l").alias("_ls"), total("_r").alias("_rs"), F.count("left").over(same).alias("_ln"), F.count("right").over(same).alias("_rn"))
+    middle = F.when((F.col("_nth") == F.expr("(sf + 1) div 2")) | (F.col("_nth") == F.expr("(sf + 2) div 2")), F.col("sent"))
+    spread = lambda new, near: F.coalesce(F.try_divide(new, near), F.lit(0.0))
+    rows = rows.select(
+        "_row", "doc_id", "pos", "token", "start", "end", "sent", "word", "stop", "tf", "sf", "_one", (spread("_ls", "_ln") + spread("_rs", "_rn")).alias("context"),
+        (F.greatest("_cs", "_us") / (1 + F.log("tf"))).alias("case"), F.log(F.log(3 + F.avg(middle).over(same))).alias("place"),
+    )
     whole = Window.partitionBy("_row")
     counted = F.when(F.col("_one") & ~F.col("stop"), F.col("tf"))
     usual = F.coalesce(F.avg(counted).over(whole) + F.stddev_pop(counted).over(whole), F.lit(1.0))

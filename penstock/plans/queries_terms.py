@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import fnv1a36
 from ..operators import keyphrases as K
+from ..operators import phrasebook as B
 from .queries_text import docs
+from .seeded import FORM_SEEDS, seeded, seeded_sql
 
 
 def keyphrases(spark, sf_dir):
@@ -24,7 +26,16 @@ def card_ids(spark, sf_dir):
     return turns.select("conv_id", "turn", fnv1a36(F.concat_ws(":", "role", "text")).alias("card_id"))
 
 
-QUERIES = {f.__name__: f for f in (keyphrases, protected_terms, card_ids)}
+def inflected_phrases(spark, sf_dir):
+    """Phrases in all their forms, with the plainer wording, over documents that hold such phrases."""
+    return B.find_phrases(seeded(spark, sf_dir, FORM_SEEDS)).drop("_row")
+
+
+def phrase_savings(spark, sf_dir):
+    return B.phrase_savings(B.find_phrases(seeded(spark, sf_dir, FORM_SEEDS)))
+
+
+QUERIES = {f.__name__: f for f in (keyphrases, protected_terms, card_ids, inflected_phrases, phrase_savings)}
 
 _STOP = ", ".join(f"'{w}'" for w in K.STOP)
 #: Tokens with offsets and sentences, as placed_tokens() has them.
@@ -51,9 +62,36 @@ sc AS (SELECT doc_id, phrase, count(*) AS n, max(p) / (count(*) * (1 + max(q)))
 pool AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 10), phrase) AS k FROM sc QUALIFY k <= 30),
 kept AS (SELECT doc_id, list_reduce(list(phrase ORDER BY k), lambda acc, x: CASE WHEN len(acc) >= 10 OR len(list_filter(acc, lambda y: contains(x, y) OR contains(y, x) OR 1 - levenshtein(x, y) / greatest(length(x), length(y)) > 0.8)) > 0 THEN acc ELSE list_append(acc, x) END, []::VARCHAR[]) AS ps FROM pool GROUP BY 1),
 kp AS (SELECT doc_id, place, phrase, n, score, start, "end" FROM (SELECT doc_id, unnest(ps) AS phrase, generate_subscripts(ps, 1) - 1 AS place FROM kept) JOIN pool USING (doc_id, phrase))"""
+
+
+def _quoted(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+def _matches() -> str:
+    """Pieces of the texts, runs of them that are phrases, the longest of each start, and of those the ones that a walk from the left takes."""
+    table = ", ".join("(" + ", ".join(map(_quoted, p)) + ")" for p in B.build_phrases())
+    sizes = sorted({sum(1 for _ in B.pieces(p.surface)) for p in B.build_phrases()})
+    return rf"""{seeded_sql(seeds=FORM_SEEDS)}, book(phrase, surface, form, wording) AS (VALUES {table}),
+raw AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_-]+|[''’]|\s+|[^\p{{L}}\p{{N}}_\s''’-]') AS r FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT doc_id, unnest(r) AS x, generate_subscripts(r, 1) AS p FROM raw),
+piece AS (SELECT *, CASE WHEN trim(x, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN ' ' WHEN x = '’' THEN chr(39) ELSE lower(x) END AS t, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY p) - length(x) AS start FROM cut),
+ahead AS (SELECT doc_id, p, start, t, list(t) OVER o AS ts, list(x) OVER o AS xs FROM piece WINDOW o AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {max(sizes) - 1} FOLLOWING)),
+firsts AS (SELECT DISTINCT regexp_extract(surface, '^[a-z-]+') AS t FROM book),
+runs AS (SELECT doc_id, p, start, k, array_to_string(ts[1:k], '') AS surface, array_to_string(xs[1:k], '') AS found FROM ahead SEMI JOIN firsts USING (t), unnest({sizes}) AS u(k) WHERE k <= len(ts)),
+longest AS (SELECT doc_id, p::BIGINT AS p, max(k)::BIGINT AS k, arg_max(surface, k) AS surface, arg_max(found, k) AS found, any_value(start)::BIGINT AS start FROM runs SEMI JOIN book USING (surface) GROUP BY 1, 2),
+walk AS (SELECT doc_id, unnest(list_reduce(list({{'p': p, 'e': p + k}} ORDER BY p), lambda a, x: CASE WHEN len(a) > 0 AND x.p < a[-1].e THEN a ELSE list_append(a, x) END, []::STRUCT(p BIGINT, e BIGINT)[])).p AS p FROM longest GROUP BY 1),
+placed AS (SELECT * FROM longest SEMI JOIN walk USING (doc_id, p)),
+said AS (SELECT doc_id, start, (start + length(found))::BIGINT AS "end", phrase, form, found AS surface,
+  CASE WHEN wording = '' THEN '' WHEN found = upper(found) AND length(regexp_replace(found, '[^\p{{L}}]', '', 'g')) > 1 THEN upper(wording) WHEN left(found, 1) <> lower(left(found, 1)) THEN upper(left(wording, 1)) || substr(wording, 2) ELSE wording END AS wording
+  FROM placed JOIN book USING (surface))"""
+
+
 ORACLES = {
     "keyphrases": f'WITH {_KEYPHRASES} SELECT doc_id, place, phrase, n, round(score, 6) AS score, start, "end" FROM kp',
     "protected_terms": f"""WITH {_KEYPHRASES} SELECT doc_id, 'term' AS kind, start, "end", phrase AS surface FROM kp WHERE n >= 2 OR contains(phrase, ' ')""",
     "card_ids": """WITH c AS (SELECT conv_id, turn, concat_ws(':', role, text) AS x FROM conversations)
 SELECT conv_id, turn, lower(to_base(list_reduce(list_transform(list_filter(string_split(x, ''), lambda s: s <> ''), lambda s: unicode(s)::BIGINT), lambda a, u: ((xor(a, u)::HUGEINT * 16777619) % 4294967296)::BIGINT, 2166136261::BIGINT), 36)) AS card_id FROM c""",
+    "inflected_phrases": f"WITH {_matches()} SELECT * FROM said",
+    "phrase_savings": f"""WITH {_matches()} SELECT doc_id, phrase, count(*) AS n, count(DISTINCT form) AS n_forms, sum(CASE WHEN wording IS NULL THEN 0 ELSE "end" - start - length(wording) END)::BIGINT AS saved FROM said GROUP BY 1, 2""",
 }

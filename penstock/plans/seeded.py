@@ -28,11 +28,24 @@ SEEDS = [
     (" is ", " is perhaps always "),
     (" it ", " it is likely that the FEM "),
 ]
+#: Phrases in several forms, cases and spacings, and what only looks like one.
+FORM_SEEDS = [
+    (" of ", " made a comparison of "),
+    (" de ", " takes  the measurement of "),
+    (" the ", " don’t conduct an evaluation of the "),
+    (" la ", " carrying out a\nreview of "),
+    (" and ", " gave an answer to a large number of "),
+    (" to ", " in a careful manner, "),
+    (" in ", " make a study-of "),
+    (" is ", " 'in order to' make make a test of "),
+    (". A", ". PERFORMED AN INSPECTION OF A"),
+    (". T", ". Undertaken a survey of it at the end of the day. T"),
+]
 
 
-def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seeded(spark: SparkSession, sf_dir: str, seeds: list[tuple[str, str]] = SEEDS) -> DataFrame:
     text = F.col("text")
-    for old, new in SEEDS:
+    for old, new in seeds:
         text = F.replace(text, F.lit(old), F.lit(new))
     return read_table(spark, f"{sf_dir}/documents.parquet").withColumn("text", text)
 
@@ -41,9 +54,9 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def seeded_sql(name: str = "documents") -> str:
+def seeded_sql(name: str = "documents", seeds: list[tuple[str, str]] = SEEDS) -> str:
     """A common table expression that puts the seeded documents in the place of the table."""
     text = "text"
-    for old, new in SEEDS:
+    for old, new in seeds:
         text = f"replace({text}, {_quoted(old)}, {_quoted(new)})"
     return f"{name} AS (SELECT * REPLACE ({text} AS text) FROM main.documents)"
