@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import fnv1a36
 from ..operators import keyphrases as K
+from ..functions.text import find_spans
+from ..operators import detectors as D
 from ..operators import phrasebook as B
+from ..operators import sections as S
+from .queries_more import MASKED, _SECT, issues_sql, spans_sql
 from .queries_text import docs
-from .seeded import FORM_SEEDS, seeded, seeded_sql
+from .seeded import FORM_SEEDS, REPORT_SEEDS, seeded, seeded_sql
 
 
 def keyphrases(spark, sf_dir):
@@ -35,7 +39,21 @@ def phrase_savings(spark, sf_dir):
     return B.phrase_savings(B.find_phrases(seeded(spark, sf_dir, FORM_SEEDS)))
 
 
-QUERIES = {f.__name__: f for f in (keyphrases, protected_terms, card_ids, inflected_phrases, phrase_savings)}
+def body_issues(spark, sf_dir):
+    """Issues of documents with sections, without those in headings and references."""
+    return D.analyse(seeded(spark, sf_dir, REPORT_SEEDS), body=True).select("doc_id", "issue_id", "rule", "severity", "start", "end")
+
+
+def issues_by_section(spark, sf_dir):
+    """How many passives and fillers each section of a document has, references included."""
+    docs = seeded(spark, sf_dir, REPORT_SEEDS)
+    found = find_spans(docs, {r: D.RULES[r][0] for r in ("passive", "filler")} | {"heading": S.HEADING_LINE})
+    heads = found.where("kind = 'heading'").select("doc_id", "start", S.heading_name(F.col("surface")).alias("name"))
+    rows = S.section_at(found.where("kind <> 'heading'"), heads)
+    return rows.groupBy("doc_id", "section", F.col("kind").alias("rule")).agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (keyphrases, protected_terms, card_ids, inflected_phrases, phrase_savings, body_issues, issues_by_section)}
 
 _STOP = ", ".join(f"'{w}'" for w in K.STOP)
 #: Tokens with offsets and sentences, as placed_tokens() has them.
@@ -87,6 +105,14 @@ said AS (SELECT doc_id, start, (start + length(found))::BIGINT AS "end", phrase,
   FROM placed JOIN book USING (surface))"""
 
 
+def _sectioned(spans: str) -> str:
+    """Spans of the documents with headings, each with the section it starts in and whether it lies in a heading."""
+    return rf"""{seeded_sql(seeds=REPORT_SEEDS)}, {spans},
+pl0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+heads AS (SELECT doc_id, hend - length(line) - (k > 1)::INT AS hstart, hend, sec FROM (SELECT *, {_SECT} AS sec, (sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1)::BIGINT AS hend FROM pl0) WHERE sec IS NOT NULL),
+secd AS (SELECT i.*, coalesce(h.sec, 'body') AS section, NOT EXISTS (SELECT 1 FROM heads x WHERE x.doc_id = i.doc_id AND x.hstart < i."end" AND i.start < x.hend) AS free FROM iss i ASOF LEFT JOIN heads h ON i.doc_id = h.doc_id AND i.start >= h.hstart)"""
+
+
 ORACLES = {
     "keyphrases": f'WITH {_KEYPHRASES} SELECT doc_id, place, phrase, n, round(score, 6) AS score, start, "end" FROM kp',
     "protected_terms": f"""WITH {_KEYPHRASES} SELECT doc_id, 'term' AS kind, start, "end", phrase AS surface FROM kp WHERE n >= 2 OR contains(phrase, ' ')""",
@@ -94,4 +120,6 @@ ORACLES = {
 SELECT conv_id, turn, lower(to_base(list_reduce(list_transform(list_filter(string_split(x, ''), lambda s: s <> ''), lambda s: unicode(s)::BIGINT), lambda a, u: ((xor(a, u)::HUGEINT * 16777619) % 4294967296)::BIGINT, 2166136261::BIGINT), 36)) AS card_id FROM c""",
     "inflected_phrases": f"WITH {_matches()} SELECT * FROM said",
     "phrase_savings": f"""WITH {_matches()} SELECT doc_id, phrase, count(*) AS n, count(DISTINCT form) AS n_forms, sum(CASE WHEN wording IS NULL THEN 0 ELSE "end" - start - length(wording) END)::BIGINT AS saved FROM said GROUP BY 1, 2""",
+    "body_issues": f"""WITH {_sectioned(issues_sql(MASKED))} SELECT doc_id, issue_id, rule, severity, start, "end" FROM secd WHERE free AND section <> 'references'""",
+    "issues_by_section": f"""WITH {_sectioned(spans_sql('iss', MASKED, {r: D.RULES[r][0] for r in ('passive', 'filler')}))} SELECT doc_id, section, kind AS rule, count(*) AS n FROM secd GROUP BY 1, 2, 3""",
 }

@@ -41,6 +41,8 @@ FORM_SEEDS = [
     (". A", ". PERFORMED AN INSPECTION OF A"),
     (". T", ". Undertaken a survey of it at the end of the day. T"),
 ]
+#: The same with headings of sections, and a line that is none.
+REPORT_SEEDS = [*SEEDS, (".\nT", ".\n3. Results\nT"), (".\nA", ".\nReferences:\nA"), (".\nI", ".\n Methods\nI"), (".\nE", ".\nVery\nE"), (".\nL", ".\nDISCUSSION \nL")]
 
 
 def seeded(spark: SparkSession, sf_dir: str, seeds: list[tuple[str, str]] = SEEDS) -> DataFrame:
