@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def pagerank(weights: np.ndarray, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-8) -> np.ndarray:
     """Power iteration over a symmetric weight matrix; nodes without links spread evenly."""
@@ -56,11 +58,12 @@ def similarities(sentences: DataFrame, threshold: float) -> DataFrame:
 
 def joined_ranks(sentences: DataFrame, threshold: float, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
     """The rows of central_sentences by iterated joins; a document stays as it is once its ranks have settled."""
-    edges = similarities(sentences, threshold).checkpoint()
+    edges = checkpointed(similarities(sentences, threshold))
     size = sentences.groupBy("doc_id").agg(F.count("*").alias("n"))
     out = edges.groupBy("doc_id", F.col("a").alias("sent_idx")).agg(F.sum("w").alias("out"))
     nodes = sentences.select("doc_id", "sent_idx").join(size, "doc_id").join(out, ["doc_id", "sent_idx"], "left")
-    nodes = nodes.select("doc_id", "sent_idx", "n", "out", (1.0 / F.col("n")).alias("rank"), F.lit(False).alias("done")).checkpoint()
+    nodes = nodes.select("doc_id", "sent_idx", "n", "out", (1.0 / F.col("n")).alias("rank"), F.lit(False).alias("done"))
+    nodes = checkpointed(nodes)
     for _ in range(rounds):
         given = edges.join(nodes.where("not done").select("doc_id", F.col("sent_idx").alias("a"), (F.col("rank") / F.col("out")).alias("s")), ["doc_id", "a"])
         given = given.groupBy("doc_id", F.col("b").alias("sent_idx")).agg(F.sum(F.col("s") * F.col("w")).alias("got"))
@@ -68,7 +71,8 @@ def joined_ranks(sentences: DataFrame, threshold: float, damping: float = 0.85,
         new = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / F.col("n"))
         step = nodes.join(given, ["doc_id", "sent_idx"], "left").join(loose, "doc_id").withColumn("new", F.when(F.col("done"), F.col("rank")).otherwise(new))
         moved = step.groupBy("doc_id").agg(F.sum(F.abs(F.col("new") - F.col("rank"))).alias("moved"))
-        nodes = step.join(moved, "doc_id").select("doc_id", "sent_idx", "n", "out", F.col("new").alias("rank"), (F.col("done") | (F.col("moved") < F.col("n") * tolerance)).alias("done")).checkpoint()
+        nodes = step.join(moved, "doc_id").select("doc_id", "sent_idx", "n", "out", F.col("new").alias("rank"), (F.col("done") | (F.col("moved") < F.col("n") * tolerance)).alias("done"))
+        nodes = checkpointed(nodes)
         if nodes.where("not done").isEmpty():
             break
     top = nodes.groupBy("doc_id").agg(F.max("rank").alias("top"))
@@ -77,7 +81,8 @@ def joined_ranks(sentences: DataFrame, threshold: float, damping: float = 0.85,
 
 def central_sentences_any_length(sentences: DataFrame, threshold: float = 0.1, most: int = 500) -> DataFrame:
     """central_sentences for documents of every length: up to `most` sentences in one group, longer ones by iterated joins."""
-    long_ = sentences.groupBy("doc_id").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("doc_id").checkpoint()
+    long_ = sentences.groupBy("doc_id").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("doc_id")
+    long_ = checkpointed(long_)
     short = central_sentences(sentences.join(long_, "doc_id", "left_anti"), threshold)
     if long_.isEmpty():
         return short

@@ -8,6 +8,7 @@ from ..functions.scalars import fnv1a36
 from ..operators import keyphrases as K
 from ..functions.text import find_spans
 from ..operators import detectors as D
+from ..operators import gist as G
 from ..operators import phrasebook as B
 from ..operators import sections as S
 from .queries_more import MASKED, _SECT, issues_sql, spans_sql
@@ -53,7 +54,12 @@ def issues_by_section(spark, sf_dir):
     return rows.groupBy("doc_id", "section", F.col("kind").alias("rule")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (keyphrases, protected_terms, card_ids, inflected_phrases, phrase_savings, body_issues, issues_by_section)}
+def document_gists(spark, sf_dir):
+    """The gist of every document; PageRank, so no SQL: tests hold it against a plain version."""
+    return G.gists(seeded(spark, sf_dir)).select("doc_id", "sent_idx", "gist")
+
+
+QUERIES = {f.__name__: f for f in (keyphrases, protected_terms, card_ids, inflected_phrases, phrase_savings, body_issues, issues_by_section, document_gists)}
 
 _STOP = ", ".join(f"'{w}'" for w in K.STOP)
 #: Tokens with offsets and sentences, as placed_tokens() has them.
