@@ -4,8 +4,9 @@ Sentences of four words or more stand for a text (all, where there is none so lo
 equals; else PageRank over bag-of-words cosines (there are no word vectors here), the first sentence's rank times FIRST. The chosen one loses
 brackets with what they hold, an opening transition and stock phrases, wordy ones give way to plain ones, and what is over `most` words is cut.
 
-Sentences are written once (checkpoint), since ranks come back to them by the number of their row. Documents of up to `dense` sentences are one
-group each; longer ones are ranked by iterated joins. Rows that share an id are texts of their own; a text without words, and a null one, have no row.
+All comes from a text's own row, without an exchange: its sentences go by in order. Up to `dense` sentences the cosines stand in a matrix; longer
+texts are ranked by products with their bags of words, so a text costs a task its words. Rows that share an id are texts of their own; a text
+without words, and a null one, have no row.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import sentences as split_sentences
-from ..session import checkpointed
 from .flow import OPENING
-from .graph import joined_ranks, pagerank
+from .graph import Bags, bags_of, cosines, group_bounds, numbered_words, pagerank, sparse_pagerank, whole_groups, word_numbers
 from .issues import SCORED
 from .phrasebook import Phrase, build_phrases, build_trie, matches, render
 
@@ -29,60 +30,33 @@ from .phrasebook import Phrase, build_phrases, build_trie, matches, render
 FIRST, LEAST_WORDS, MOST_WORDS = 1.15, 4, 22
 
 
-def cosines(bags: list[dict[str, int]]) -> np.ndarray:
-    """Cosines of bags of words, 0 on the diagonal."""
-    words = {w: i for i, w in enumerate(sorted({w for b in bags for w in b}))}
-    m = np.zeros((len(bags), len(words)))
-    for i, b in enumerate(bags):
-        for w, k in b.items():
-            m[i, words[w]] = k
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    sim = m @ m.T
-    np.fill_diagonal(sim, 0)
-    return sim
-
-
-def bag(words) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for w in words:
-        out[w.lower()] = out.get(w.lower(), 0) + 1
-    return out
-
-
-def central(words: list, n_words: list[int]) -> int:
+def central(bags: Bags, n_words: np.ndarray, dense: int = 500) -> int:
     """Which of a text's sentences is the central one; ranks are compared at nine decimals, the earlier of equals wins."""
-    if len(words) <= 2:
+    if bags.n <= 2:
         return int(np.argmax(n_words))
-    rank = pagerank(cosines([bag(w) for w in words]))
+    rank = pagerank(cosines(bags)) if bags.n <= dense else sparse_pagerank(bags)
     rank[0] *= FIRST
     return int(np.argmax(np.round(rank / rank.max(), 9)))
 
 
 def central_rows(sentences: DataFrame, dense: int = 500) -> DataFrame:
-    """_row, doc_id, sent_idx, sentence: the central sentence of each text; sentences must be a written table, as they are read twice."""
-    size = sentences.groupBy("_row").agg(F.count("*").alias("_n"), F.max("n_words").alias("_most"))
-    own = sentences.join(size, "_row").where((F.col("n_words") >= LEAST_WORDS) | (F.col("_most") < LEAST_WORDS))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sent_idx")
-        at = central(pdf["words"].tolist(), pdf["n_words"].tolist())
-        return pdf.iloc[[at]][["_row", "doc_id", "sent_idx", "sentence"]]
-
-    names = "_row long, doc_id long, sent_idx long, sentence string"
-    columns = ["_row", F.col("doc_id").cast("long").alias("doc_id"), "sent_idx", "sentence", "words", "n_words"]
-    short = own.where(F.col("_n") <= dense).select(*columns).groupBy("_row").applyInPandas(choose, names)
-    long_ = own.where(F.col("_n") > dense).select(*columns)
-    if long_.isEmpty():
-        return short
-    ranks = joined_ranks(long_.select(F.col("_row").alias("doc_id"), "sent_idx", "words"), 0.0).withColumnRenamed("doc_id", "_row")
-    ranked = long_.join(ranks, ["_row", "sent_idx"])
-    first = ranked.groupBy("_row").agg(F.min("sent_idx").alias("_first"))
-    weight = F.col("rank") * F.when(F.col("sent_idx") == F.col("_first"), FIRST).otherwise(1.0)
-    best = ranked.join(first, "_row").withColumn("_w", weight)
-    top = best.groupBy("_row").agg(F.max("_w").alias("_top"))
-    best = best.join(top, "_row").withColumn("_w", F.round(F.col("_w") / F.col("_top"), 9))
-    picked = best.groupBy("_row").agg(F.max_by(F.struct("doc_id", "sent_idx", "sentence"), F.struct("_w", -F.col("sent_idx"))).alias("_b"))
-    return short.unionByName(picked.select("_row", "_b.doc_id", "_b.sent_idx", "_b.sentence"))
+    """_row, doc_id, sent_idx, sentence: the central sentence of each text; a text's sentences follow each other, as where they were split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "_row"):
+            bounds = group_bounds(table["_row"].to_numpy())
+            words, offsets = numbered_words(table["_w"])
+            sizes, chosen = np.diff(offsets), []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                own = np.arange(a, b)
+                if (sizes[a:b] >= LEAST_WORDS).any():
+                    own = own[sizes[a:b] >= LEAST_WORDS]
+                places = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in own]) if own.size < b - a else slice(offsets[a], offsets[b])
+                chosen.append(own[central(bags_of(words[places], sizes[own]), sizes[own], dense)])
+            yield from table.select(["_row", "doc_id", "sent_idx", "sentence"]).take(pa.array(chosen)).combine_chunks().to_batches()
+
+    rows = sentences.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "sent_idx", "sentence", word_numbers().alias("_w"))
+    return rows.mapInArrow(run, "_row long, doc_id long, sent_idx long, sentence string")
 
 
 def gist_phrases() -> list[Phrase]:
@@ -120,8 +94,7 @@ def shortened(text: Column, most: int = MOST_WORDS) -> Column:
 
 def gists(docs: DataFrame, text: str = "text", most: int = MOST_WORDS, dense: int = 500) -> DataFrame:
     """_row, doc_id, sent_idx, sentence, gist of each document with a word; gist is null where phrases and brackets were all there was."""
-    own = checkpointed(split_sentences(docs, text).select("_row", "doc_id", "sent_idx", "sentence", "words", "n_words"))
-    rows = central_rows(own, dense)
+    rows = central_rows(split_sentences(docs, text), dense)
     bare = F.regexp_replace("sentence", r"\([^()]*\)", "")
     rows = rows.withColumn("_g", put_plainly(bare)).withColumn("_g", F.regexp_replace("_g", OPENING, ""))
     return rows.select("_row", "doc_id", "sent_idx", "sentence", shortened(F.col("_g"), most).alias("gist"))
