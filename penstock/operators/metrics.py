@@ -56,6 +56,17 @@ def total(array: Column, of=lambda x: x) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + of(x))
 
 
+def spread(values: Column) -> Column:
+    """Population standard deviation of an array, by running means (Welford): a difference of large squares loses digits, and grades at a rounding point with them."""
+    start = F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(a, x):
+        mean = a["mean"] + (x - a["mean"]) / (a["k"] + 1)
+        return let(mean, lambda m: F.struct((a["k"] + 1).alias("k"), m.alias("mean"), (a["m2"] + (x - a["mean"]) * (x - m)).alias("m2")))
+
+    return F.aggregate(values, start, step, lambda a: F.when(a["k"] > 0, F.sqrt(a["m2"] / a["k"])))
+
+
 def monotone_runs(sents: Column) -> Column:
     """Maximal runs of three or more sentences of one paragraph (para_idx, n), all pairs of similar length.
 
@@ -109,12 +120,11 @@ def rhythm_of(text: Column) -> Column:
     def all_of(s: Column) -> Column:
         n = F.size(s).cast("long")
         mean = total(s, lambda x: x["n"]) / n
-        var = total(s, lambda x: x["n"] * x["n"].cast("double")) / n - mean * mean
         runs = monotone_runs(s)
         return F.struct(
             n.alias("n_sents"),
             F.when(n > 0, mean).otherwise(0.0).alias("length_mean"),
-            F.when(n < 2, 8.0).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sentence_length_sd"),
+            F.when(n < 2, 8.0).otherwise(spread(F.transform(s, lambda x: x["n"].cast("double")))).alias("sentence_length_sd"),
             F.when(n < 3, 1.0).otherwise(entropy(F.transform(s, lambda x: x["first"]))).alias("opener_entropy"),
             runs.alias("monotone_runs"),
             F.when(n > 0, runs * 10.0 / n).otherwise(0.0).alias("monotone_runs_per_10s"),
@@ -128,6 +138,11 @@ def rhythm(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", rhythm_of(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits, halves away from 0 once scaled: a half that a sum missed by its last bit counts as one (F.round goes by the shortest decimal)."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def sub_score(name: str) -> Column:
     """Weighted mean of the band scores of a sub-score's metrics; null metrics drop out."""
     score, weight = F.lit(0.0), F.lit(0.0)
@@ -135,14 +150,14 @@ def sub_score(name: str) -> Column:
         there = F.col(metric).isNotNull()
         score += F.when(there, band_score(F.col(metric), points) * w).otherwise(0.0)
         weight += F.when(there, F.lit(w)).otherwise(0.0)
-    return F.when(weight > 0, F.round(score / weight, 1))
+    return F.when(weight > 0, rounded(score / weight, 1))
 
 
 def overall_score(scores: list[str]) -> Column:
     """Weighted mean of the sub-scores that are not null."""
     top = sum((F.coalesce(F.col(s) * WEIGHTS[s], F.lit(0.0)) for s in scores), F.lit(0.0))
     weight = sum((F.when(F.col(s).isNotNull(), WEIGHTS[s]).otherwise(0.0) for s in scores), F.lit(0.0))
-    return F.when(weight > 0, F.round(top / weight, 1))
+    return F.when(weight > 0, rounded(top / weight, 1))
 
 
 def mtld_one_way(words: list[str]) -> float:
