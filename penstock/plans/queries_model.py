@@ -124,7 +124,7 @@ def style_distance(spark, sf_dir):
 
 def style_differences(spark, sf_dir):
     top = ST.top_differences(_features(docs(spark, sf_dir)), PROFILE, "doc_id")
-    return top.select("doc_id", F.col("rank").cast("long"), "feature", F.round("z", 4).alias("z"))
+    return top.select("doc_id", F.col("rank").cast("long"), "feature", M.rounded(F.col("z"), 4).alias("z"))
 
 
 def voice_match(spark, sf_dir):
