@@ -11,6 +11,16 @@ def unit(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low)))
 
 
+#: Letters whose full capital is several letters, and their capitals of one letter.
+_SMALL, _CAPITAL = "ßᾀᾁᾂᾃᾄᾅᾆᾇᾐᾑᾒᾓᾔᾕᾖᾗᾠᾡᾢᾣᾤᾥᾦᾧᾳῃῳ", "ẞᾈᾉᾊᾋᾌᾍᾎᾏᾘᾙᾚᾛᾜᾝᾞᾟᾨᾩᾪᾫᾬᾭᾮᾯᾼῌῼ"
+
+
+def capital(letter: Column) -> Column:
+    """The letter's capital of one letter, or the letter where there is none such: a text keeps its length."""
+    one = F.translate(letter, _SMALL, _CAPITAL)
+    return F.when(F.length(F.upper(one)) == F.length(one), F.upper(one)).when(one != letter, one).otherwise(letter)
+
+
 def band_score(x: Column, points: list[tuple[float, float]]) -> Column:
     """Piecewise linear through ascending points, flat beyond both ends."""
     out = F.when(x <= points[0][0], F.lit(float(points[0][1])))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import capital
 from ..functions.text import let
 from .issues import LEXICONS
 
@@ -17,7 +18,7 @@ def tidy(text: Column) -> Column:
     """One space between words, none before marks, a capital first."""
     t = F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r" ([,.;:!?])", "$1"))
     t = F.regexp_replace(t, r"^[,;:] ?", "")
-    return let(t, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x))))
+    return let(t, lambda x: F.concat(capital(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x))))
 
 
 def simplified(text: Column) -> Column:
