@@ -21,13 +21,19 @@ def tidy(text: Column) -> Column:
     return let(t, lambda x: F.concat(capital(F.substring(x, 1, 1)), x.substr(F.lit(2), F.length(x))))
 
 
+def replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Each phrase in the place of whole words by its wording, one after the other; a text with none of them is looked through once."""
+    whole = lambda phrase: rf"(?i)(^|[^A-Za-z])(?:{phrase})($|[^A-Za-z])"
+    out = text
+    for phrase, plain in pairs:
+        out = F.regexp_replace(out, whole(phrase), f"$1{plain}$2")
+    return F.when(text.rlike(whole("|".join(p for p, _ in pairs))), out).otherwise(text)
+
+
 def simplified(text: Column) -> Column:
     """Wordy phrases in plainer words, fillers dropped."""
-    out = text
     pairs = [(p, r) for name in ("wordy_phrase", "filler") for p, r in LEXICONS[name].items() if r is not None]
-    for phrase, plain in sorted(pairs, key=lambda x: (-len(x[0]), x[0])):
-        out = F.regexp_replace(out, rf"(?i)(^|[^A-Za-z]){phrase}($|[^A-Za-z])", f"$1{plain}$2")
-    return tidy(out)
+    return tidy(replaced(text, sorted(pairs, key=lambda x: (-len(x[0]), x[0]))))
 
 
 def dashes_paired(text: Column) -> Column:
@@ -36,17 +42,17 @@ def dashes_paired(text: Column) -> Column:
 
 
 def expanded(text: Column) -> Column:
-    out = text
-    for short, long_ in EXPANSIONS.items():
-        out = F.regexp_replace(out, rf"(?i)(^|[^A-Za-z]){short}($|[^A-Za-z])", f"$1{long_}$2")
-    return tidy(out)
+    return tidy(replaced(text, list(EXPANSIONS.items())))
 
 
 def candidates(sentences: DataFrame) -> DataFrame:
     """doc_id, sent_idx, transform, text of each rewrite that changes its sentence, and of all in a row."""
     s = F.col("sentence")
-    made = [("phrase_simplify", simplified(s)), ("dash_tidy", dashes_paired(s)), ("contractions", expanded(s)), ("all", expanded(dashes_paired(simplified(s))))]
-    rows = sentences.select("doc_id", "sent_idx", "sentence", F.explode(F.array(*[F.struct(F.lit(n).alias("transform"), c.alias("text")) for n, c in made])).alias("c"))
+    rows = sentences.select("doc_id", "sent_idx", "sentence", simplified(s).alias("phrase_simplify"), dashes_paired(s).alias("dash_tidy"), expanded(s).alias("contractions"))
+    rows = rows.withColumn("all", dashes_paired(F.col("phrase_simplify")))  # in steps, so that each rewrite is made once
+    rows = rows.withColumn("all", expanded(F.col("all")))
+    made = [F.struct(F.lit(n).alias("transform"), F.col(n).alias("text")) for n in ("phrase_simplify", "dash_tidy", "contractions", "all")]
+    rows = rows.select("doc_id", "sent_idx", "sentence", F.explode(F.array(*made)).alias("c"))
     return rows.select("doc_id", "sent_idx", "sentence", "c.transform", "c.text").where("text <> sentence")
 
 
