@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import input_bytes
 from .issues import QUIET
 
 #: A word in any script, or a run of other signs.
@@ -23,6 +24,8 @@ TOKEN = r"[\p{L}][\p{L}'’-]*|[^ \t\r\n\p{L}]+"
 SHORT = "the and but for nor yet any all few one two him her his its our you who how why not too are was were has had did can may let off out per via".split()
 STOP = sorted({*QUIET, *SHORT})
 MOST_WORDS = 3
+#: The bytes of the input's files whose tokens are one task's: a token is some hundred bytes in each of the sorts that a task holds at a time.
+PART_BYTES = 2 << 20
 
 
 def placed_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -33,7 +36,8 @@ def placed_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     found, gaps = F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), F.split(t, TOKEN, -1)
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("token")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that a small table's texts are not joined into one task
+    # Given, so that a small table's texts are not joined into one task, and so many that a task sorts the tokens of PART_BYTES of files at most.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // PART_BYTES))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", F.col(text)).repartition(parts, "_row").select("_row", "doc_id", F.posexplode(pairs).alias("pos", "s"))
     order = Window.partitionBy("_row").orderBy("pos")
     rows = rows.select("_row", "doc_id", "pos", "s.*").withColumn("_before", F.lag("token").over(order))
