@@ -80,14 +80,13 @@ def minimal_edit(old: Column, new: Column) -> Column:
         a, b = p["a"], p["b"]
         most = F.least(F.size(a), F.size(b))
         differ = lambda x, y: F.array_position(F.zip_with(F.slice(x, 1, most), F.slice(y, 1, most), lambda u, v: u != v), True)
-        head = lambda d: F.when(d == 0, most).otherwise(d.cast("int") - 1)
-        first = head(differ(a, b))
-        last = F.least(head(differ(F.reverse(a), F.reverse(b))), most - first)
+        head = lambda x, y: let(differ(x, y), lambda d: F.when(d == 0, most).otherwise(d.cast("int") - 1))
         joined = lambda x: F.array_join(x, "")
-        return F.struct(
+        span = lambda first, last: F.struct(
             F.length(joined(F.slice(a, 1, first))).cast("long").alias("start"),
             (F.length(joined(a)) - F.length(joined(F.slice(a, F.size(a) - last + 1, last)))).cast("long").alias("end"),
             joined(F.slice(b, first + 1, F.size(b) - last - first)).alias("replacement"),
         )
+        return let(head(a, b), lambda first: let(F.least(head(F.reverse(a), F.reverse(b)), most - first), lambda last: span(first, last)))
 
     return F.when(old != new, let(F.struct(parts(old).alias("a"), parts(new).alias("b")), of))
