@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from penstock.functions.text import WORD, sentences
 from penstock.operators import questions as Q
 from penstock.operators import rewriting as W
@@ -35,3 +37,26 @@ def test_candidates_make_each_rewrite_once(spark):
     assert got[0, "all"] == "Because it do not work, much it is old."
     assert got[2, "all"] == "It is, too much, odd; do not." and got[4, "phrase_simplify"] == "A much a lot of it."
     assert not {k for k, _ in got} & {1, 5, 6}
+
+
+def test_a_glossary_looks_for_definitions_only_where_one_ends(spark):
+    lines = [(1, 0, "A finite element method (FEM) was used, and FEM (fem) again."), (1, 1, "no definition " * 20), (2, 0, "heat-flux meter (HM)x and (AB)"), (2, 1, None), (3, 0, "(XY) alone")]
+    rows = Q.glossary(spark.createDataFrame(lines, "doc_id long, line_idx long, line string"))
+    assert {tuple(r) for r in rows.collect()} == {(1, "FEM", "finite element method"), (2, "HM", "heat-flux meter")}
+    assert Q.BRACKETED in plan(rows).split("Filter")[-1]
+
+
+def test_a_minimal_edit_compares_from_each_end_once(spark):
+    from penstock.operators.editing import minimal_edit
+
+    rows = spark.createDataFrame([("a b c d", "a x c d"), ("a", "a a"), ("", "x"), ("same", "same"), (None, "x")], "old string, new string").select(minimal_edit(F.col("old"), F.col("new")).alias("e"))
+    assert plan(rows).count("zip_with") == 2
+    assert [tuple(r.e) if r.e else None for r in rows.collect()] == [(2, 3, "x"), (1, 1, " a"), (0, 0, "x"), None, None]
+
+
+def test_the_checks_of_a_report_make_its_lines_once(spark):
+    from penstock.operators.services import report_issues
+
+    lines = spark.createDataFrame([(1, 0, "Results"), (1, 1, "The mass was 5.")], "doc_id long, line_idx long, line string").where("line_idx >= 0")
+    rows = report_issues(lines)
+    assert "InMemoryRelation" in rows._jdf.queryExecution().withCachedData().toString() and ("units.missing", "1") in {(r.rule, r.about) for r in rows.collect()}
