@@ -9,6 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import input_bytes
+
+
+#: The bytes of the input's files whose spans are one task's in a join, which sorts them.
+PART_BYTES = 2 << 20
+
+
+def _in_parts(*sides: DataFrame) -> list[DataFrame]:
+    """Both sides of a join by document, in as many parts as their files ask for: else the session's number, or what is small once packed, decides what a task sorts."""
+    size = sum(map(input_bytes, sides))
+    parts = max(sides[0].sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    return [x.repartition(parts, "doc_id") for x in sides] if size else list(sides)
+
 
 def _islands(spans: DataFrame, touching: bool, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     order = Window.partitionBy(*by).orderBy("start", "end")
@@ -45,24 +58,26 @@ def overlaps(a: DataFrame, b: DataFrame) -> Column:
 
 def without_overlap(spans: DataFrame, barred: DataFrame) -> DataFrame:
     """Spans that overlap no barred span."""
-    b = barred.select("doc_id", "start", "end")
+    spans, b = _in_parts(spans, barred.select("doc_id", "start", "end"))
     return spans.join(b, overlaps(spans, b), "left_anti")
 
 
 def with_overlap(spans: DataFrame, wanted: DataFrame) -> DataFrame:
-    w = wanted.select("doc_id", "start", "end")
+    spans, w = _in_parts(spans, wanted.select("doc_id", "start", "end"))
     return spans.join(w, overlaps(spans, w), "left_semi")
 
 
 def fully_covered(spans: DataFrame, cover: DataFrame) -> DataFrame:
     """Spans inside one span of the merged cover."""
-    m = merge_spans(cover.select("doc_id", "start", "end"))
+    spans, cover = _in_parts(spans, cover.select("doc_id", "start", "end"))
+    m = merge_spans(cover)
     inside = (spans["doc_id"] == m["doc_id"]) & (m["start"] <= spans["start"]) & (spans["end"] <= m["end"])
     return spans.join(m, inside, "left_semi")
 
 
 def clipped(spans: DataFrame, windows: DataFrame) -> DataFrame:
     """doc_id, window_id and the part of each span inside each window it overlaps."""
+    spans, windows = _in_parts(spans, windows)
     w = windows.select(F.col("doc_id").alias("_d"), "window_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
     hit = (F.col("doc_id") == F.col("_d")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end"))
     return spans.join(w, hit).select("doc_id", "window_id", F.greatest("start", "_s").alias("start"), F.least("end", "_e").alias("end"))

@@ -25,3 +25,15 @@ def test_tokens_of_so_many_bytes_are_one_task(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     monkeypatch.setattr(K, "PART_BYTES", S.input_bytes(docs) // 30)
     assert K.placed_tokens(docs).rdd.getNumPartitions() >= 30
+
+
+def test_joins_of_spans_are_dealt_by_bytes_in_every_session(spark, sf, monkeypatch):
+    from penstock.operators import spans as P
+
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey doc_id", "l_partkey % 90 start", "l_partkey % 90 + 5 end", "'a' kind")
+    windows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey doc_id", "1 window_id", "30 start", "60 end")
+    want = [sorted(map(tuple, x.collect())) for x in (P.with_overlap(rows, windows), P.without_overlap(rows, windows), P.fully_covered(rows, windows), P.clipped(rows, windows))]
+    monkeypatch.setattr(P, "PART_BYTES", S.input_bytes(rows) // 30)
+    parts = [P.with_overlap(rows, windows), P.without_overlap(rows, windows), P.fully_covered(rows, windows), P.clipped(rows, windows)]
+    assert [sorted(map(tuple, x.collect())) for x in parts] == want and len(want[0]) + len(want[1]) == rows.count()
+    assert all(x.rdd.getNumPartitions() >= 30 for x in parts)
