@@ -7,7 +7,10 @@
    too few shared ones is linked with nothing. Of the others the rarest shingles that prefix filtering asks for become edges
    to one set of the shingle, never between all its sets. Components of these edges hold all links. Shingles that very many
    sets have are found first, by partial counts; they stay with their sets instead of meeting in a task.
-3. T-occurrence search. A component's sets meet in one task (a large component in several, by pairs of blocks). There
+   A component too large for a task is a chain of chance meetings in most cases, so its sets are held whole against each other
+   first: the same filter over all of their shingles, where only sets that have a shingle among their rarest meet. What is left
+   falls into components again.
+3. T-occurrence search. A component's sets meet in one task (one that is still too large in several, by pairs of blocks). There
    each set looks for sets that share at least T of its shingles: short inverted lists are merged and counted, what they
    find is looked up in the long lists by binary search (DivideSkip), and sizes decide exactly. A set that has been
    reached need not be found again, so a search only looks for sets that are not in a class yet. In a large component all
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, drop_table, hash_words, hot_keys, materialise, partitions, pieces, reserve, text_buffer, whole_groups, window_hashes, words
+from .common import LOWER, NOT_SPACE, drop_table, hash_words, hot_keys, materialise, mix64, partitions, pieces, reserve, text_buffer, whole_groups, window_hashes, words
 from .components import connected_components
 
 WORDS = 5
@@ -41,8 +44,8 @@ NEED, OF = 75, 100
 #: Bytes of text handled at once, and how many sets of such a slice make a shingle worth counting.
 SLICE = 2 << 20
 OFTEN = 4
-#: Sampled shingles of a bucket, which a task holds at once; rows of sets that a task turns into edges at once.
-BUCKET = 4_000_000
+#: Shingles of a bucket, which a task holds at once, and the least number of buckets; rows of sets that a task turns into edges at once.
+BUCKET, BUCKETS = 2_000_000, 12
 SETS_AT_ONCE = 20_000
 #: A text is very frequent from so many copies on, or a thousandth of all rows where that is more.
 HOT_COPIES = 1000
@@ -147,6 +150,26 @@ def own_common_shingles(shared) -> callable:
     return run
 
 
+def dealt_shingles(token: np.ndarray, own: np.ndarray, sigs: list[int], sizes: list[int], buckets: int) -> pa.RecordBatch:
+    """A row per bucket of shingles: the shingles (48 bits), which of the bucket's sets has each, and these sets."""
+    bucket = (token & np.uint64(0xFFFFFF)).astype(np.int64) * buckets >> 24
+    order = np.argsort(bucket, kind="stable")
+    token, own, bucket = token[order] >> np.uint64(16), own[order], bucket[order]
+    cut = np.searchsorted(bucket, np.arange(buckets + 1))
+    sig, size = np.array(sigs, "<i8"), np.array(sizes, "<u4")
+    out = {c: [] for c in ("bucket", "low", "high", "own", "sig", "size")}
+    for b in np.unique(bucket).tolist():
+        t, o = token[cut[b] : cut[b + 1]], own[cut[b] : cut[b + 1]]
+        there, o = np.unique(o, return_inverse=True)
+        out["bucket"].append(b)
+        out["low"].append((t & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
+        out["high"].append((t >> np.uint64(32)).astype("<u2").tobytes())
+        out["own"].append(o.astype("<u2" if there.size < 1 << 16 else "<u4").tobytes())
+        out["sig"].append(sig[there].tobytes())
+        out["size"].append(size[there].tobytes())
+    return pa.record_batch([pa.array(v, pa.int32() if c == "bucket" else pa.binary()) for c, v in out.items()], list(out))
+
+
 def deal_samples(buckets: int, shared=None) -> callable:
     """For each slice and bucket of shingles: the sampled shingles (48 bits), which set of the slice has each, and the sets.
 
@@ -176,22 +199,26 @@ def deal_samples(buckets: int, shared=None) -> callable:
                     at[at == common.size] = 0
                     rare = common[at] != token >> np.uint64(16)
                     own, token = own[rare], token[rare]
-                bucket = (token & np.uint64(0xFFFFFF)).astype(np.int64) * buckets >> 24
-                order = np.argsort(bucket, kind="stable")
-                token, own, bucket = token[order] >> np.uint64(16), own[order], bucket[order]
-                cut = np.searchsorted(bucket, np.arange(buckets + 1))
-                sig, size = np.array(sigs, "<i8"), np.array(sizes, "<u4")
-                out = {c: [] for c in ("bucket", "low", "high", "own", "sig", "size")}
-                for b in np.unique(bucket).tolist():
-                    t, o = token[cut[b] : cut[b + 1]], own[cut[b] : cut[b + 1]]
-                    there, o = np.unique(o, return_inverse=True)
-                    out["bucket"].append(b)
-                    out["low"].append((t & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
-                    out["high"].append((t >> np.uint64(32)).astype("<u2").tobytes())
-                    out["own"].append(o.astype("<u2" if there.size < 1 << 16 else "<u4").tobytes())
-                    out["sig"].append(sig[there].tobytes())
-                    out["size"].append(size[there].tobytes())
-                yield pa.record_batch([pa.array(v, pa.int32() if c == "bucket" else pa.binary()) for c, v in out.items()], list(out))
+                yield dealt_shingles(token, own, sigs, sizes, buckets)
+
+    return run
+
+
+def deal_whole_sets(buckets: int) -> callable:
+    """The same of all shingles of sets (sig, root, grams): those of different components never meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, root, grams = (batch.column(i).to_pylist() for i in range(3))
+            a, total = 0, 0
+            for b in range(1, len(sig) + 1):
+                total += len(grams[b - 1])
+                if total >= SLICE or b == len(sig):
+                    sizes = [len(g) // 8 for g in grams[a:b]]
+                    own = np.repeat(np.arange(b - a, dtype="<u4"), sizes)
+                    salt = mix64(np.array(root[a:b], np.int64).view(np.uint64))
+                    yield dealt_shingles(mix64(np.frombuffer(b"".join(grams[a:b]), "<u8") ^ salt[own]), own, sig[a:b], sizes, buckets)
+                    a, total = b, 0
 
     return run
 
@@ -255,7 +282,11 @@ def prefix_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from edges_of_sets(t)
 
 
-def edges_of_sets(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def rarest_shared(t: pa.Table, sampled: callable, least: callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sig, token, root) of the rarest shared shingles of each set, one of which any linked set has among its own too.
+
+    Of sampled(n) shingles of a set of n, any linked set shares least(n) or more; nothing for sets that share fewer with all others.
+    """
     parts = {c: [] for c in ("sig", "n", "df", "token", "root")}
     size = [len(x) // 4 for x in t["df"].to_pylist()]
     parts["sig"].append(np.repeat(t["sig"].to_numpy(), size))
@@ -266,18 +297,30 @@ def edges_of_sets(t: pa.Table) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((token, df, sig))
     sig, n, root, token = sig[order], n[order], root[order], token[order]
     once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (token[1:] != token[:-1])])  # copies in other tasks
-    sig, n, root = sig[once], n[once], root[once]
+    sig, n, root, token = sig[once], n[once], root[once], token[once]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     many = np.diff(np.append(first, sig.size))
     place = np.arange(sig.size) - np.repeat(first, many)
-    least = common_sampled(n)
-    alone = sample_size(n) - np.repeat(many, many)
-    use = (np.repeat(many, many) >= least) & (place < sample_size(n) - least + 1 - alone) & (sig != root)
-    pairs = np.unique(np.stack([sig[use], root[use]], axis=1), axis=0) if use.any() else np.zeros((0, 2), np.int64)
+    alone = sampled(n) - np.repeat(many, many)
+    use = (np.repeat(many, many) >= least(n)) & (place < sampled(n) - least(n) + 1 - alone)
+    return sig[use], token[use], root[use]
+
+
+def edges_of_sets(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    sig, _, root = rarest_shared(t, sample_size, common_sampled)
+    pairs = np.unique(np.stack([sig, root], axis=1)[sig != root], axis=0)
     for a in range(0, len(pairs), 100_000):
         yield pa.record_batch([pa.array(pairs[a : a + 100_000, 0]), pa.array(pairs[a : a + 100_000, 1])], ["a", "b"])
 
 
+def rarest_of_whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, sig) of the rarest shingles of whole sets, which come in order of set."""
+    for t in whole_groups(batches, "sig", SETS_AT_ONCE):
+        sig, token, _ = rarest_shared(t, lambda n: n, required)
+        for a in range(0, sig.size, 100_000):
+            yield pa.record_batch([pa.array(token[a : a + 100_000].view(np.int64)), pa.array(sig[a : a + 100_000])], ["token", "sig"])
+
+
 def send_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """unit, sig, linked (to the component's pivot) and the whole set, for each unit a candidate belongs to; copies that meet in this task go once."""
     seen: set[tuple[int, int]] = set()
@@ -427,19 +470,37 @@ def against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([batch.column(0), pa.array(linked, pa.bool_())], ["sig", "linked"])
 
 
-def split_components(members: DataFrame, texts: DataFrame, large: DataFrame, unit_shingles: int) -> tuple[DataFrame, DataFrame]:
-    """(links to pivots, (key, sig, units, linked) of the rest) of components that are too large for a task.
+def refined(inside: DataFrame) -> DataFrame:
+    """Sets (sig, root, grams) of components, of those that may have links, with the smaller components that these are in.
+
+    All shingles of a set are exchanged once, packed, and its rarest ones once more: linear in the sets, however long the chain.
+    """
+    spark = inside.sparkSession
+    tasks, shingles = partitions(spark), inside.agg(F.coalesce(F.sum(F.octet_length("grams")), F.lit(0))).first()[0] // 8
+    buckets = max(1, -(-shingles // BUCKET))
+    dealt = inside.select("sig", "root", "grams").mapInArrow(deal_whole_sets(buckets), "bucket int, low binary, high binary, own binary, sig binary, size binary")
+    dealt = dealt.repartitionById(tasks, F.col("bucket") % tasks).sortWithinPartitions("bucket")
+    shared = dealt.mapInArrow(shared_shingles, "sig long, n long, df binary, token binary, root binary")
+    rare = materialise(shared.repartition("sig").sortWithinPartitions("sig").mapInArrow(rarest_of_whole_sets, "token long, sig long"), "rare")
+    first = rare.groupBy("token").agg(F.min("sig").alias("b"), F.count("*").alias("c")).where("c > 1").select("token", "b")
+    edges = rare.join(first.hint("merge"), "token").where("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
+    found = connected_components(edges)
+    out = materialise(inside.drop("root").join(found.hint("merge"), F.col("sig") == F.col("node")).select("sig", "root", "grams"), "refined")
+    drop_table(rare)
+    return out
+
+
+def split_components(inside: DataFrame, unit_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """(links to pivots, (unit, sig, linked, grams) of the rest) of the sets (sig, root, grams) of components that are too large for a task.
 
     The sets a pivot does not link to are dealt to blocks, all sets of the component to blocks too, and each pair of the two
     kinds is a unit. A set goes to as many units as there are blocks of the other kind.
     """
-    inside = members.join(large.select("root"), "root")
+    inside = materialise(inside.dropDuplicates(["sig"]), "large")
     pivots = inside.groupBy("root").agg(F.min("sig").alias("pivot"))
-    with_root = inside.select("key", "sig", "root", F.array(F.lit(0).cast("long")).alias("units"), F.lit(False).alias("linked"))
-    grams = materialise(texts.select("key", "text").join(with_root.hint("merge"), "key").mapInArrow(send_sets, SETS).select("sig", "grams").dropDuplicates(["sig"]).join(inside.select("sig", "root"), "sig"), "large")
-    of_pivot = grams.join(pivots, (grams["root"] == pivots["root"]) & (F.col("sig") == F.col("pivot"))).select(pivots["root"].alias("_root"), F.col("grams").alias("_grams"))
-    held = materialise(grams.join(of_pivot, F.col("root") == F.col("_root")).select("sig", "grams", "_grams").mapInArrow(against_pivot, "sig long, linked boolean"), "pivots")
-    state = inside.join(held, "sig").join(pivots, "root")
+    of_pivot = inside.join(pivots.select("pivot"), F.col("sig") == F.col("pivot")).select(F.col("root").alias("_root"), F.col("grams").alias("_grams"))
+    held = materialise(inside.join(of_pivot, F.col("root") == F.col("_root")).select("sig", "grams", "_grams").mapInArrow(against_pivot, "sig long, linked boolean"), "pivots")
+    state = inside.select("sig", "root", (F.octet_length("grams") / 8).cast("long").alias("n")).join(held, "sig").join(pivots, "root")
     links = state.where("linked and sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
     half = F.lit(unit_shingles / 2)
     sizes = state.groupBy("root").agg(F.ceil(F.sum("n") / half).cast("int").alias("all_blocks"), F.ceil(F.sum(F.when(~F.col("linked"), F.col("n")).otherwise(0)) / half).cast("int").alias("open_blocks")).where("open_blocks > 0")
@@ -448,7 +509,8 @@ def split_components(members: DataFrame, texts: DataFrame, large: DataFrame, uni
     every = F.transform(F.sequence(F.lit(0), F.col("open_blocks") - 1), lambda i: unit(i, of("all_blocks", 1)))
     open_ = F.transform(F.sequence(F.lit(0), F.col("all_blocks") - 1), lambda j: unit(of("open_blocks", 2), j))
     units = F.when(F.col("linked"), every).otherwise(F.array_distinct(F.concat(every, open_)))
-    return links, state.join(sizes, "root").select("key", "sig", units.alias("units"), "linked")
+    placed = state.join(sizes, "root").select("sig", units.alias("units"), "linked")
+    return links, inside.select("sig", "grams").join(placed, "sig").select(F.explode("units").alias("unit"), "sig", "linked", "grams")
 
 
 def once_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,7 +535,7 @@ def classified(docs: DataFrame, unit_shingles: int, hot_sets: int) -> DataFrame:
     spark = docs.sparkSession
     shingles = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tasks = partitions(spark)
-    buckets = tasks * max(1, -(-2 * shingles // (5 * BUCKET * tasks)))
+    buckets = max(min(tasks, BUCKETS), -(-2 * shingles // (5 * BUCKET)))  # a set is a row in each bucket, so no more than needed
     common = common_shingles(texts, hot_sets)
     known = None
     if common.num_rows:
@@ -493,19 +555,30 @@ def classified(docs: DataFrame, unit_shingles: int, hot_sets: int) -> DataFrame:
     single = texts.select("key", "text")
     if hot := hot_keys(described, "key", HOT_COPIES):
         single = single.where(~F.col("key").isin(hot)).union(single.where(F.col("key").isin(hot)).mapInArrow(once_per_task, single.schema))
-    large = sizes.where(F.col("total") > unit_shingles)
-    placed = members.join(sizes.where(F.col("total") <= unit_shingles), "root").select("key", "sig", F.array("root").alias("units"), F.lit(False).alias("linked"))
-    split = large.limit(1).count() > 0
-    if split:
-        pivoted, rest = split_components(members, single, large, unit_shingles)
-        placed = placed.unionByName(rest)
+    large = sizes.where(F.col("total") > unit_shingles).select("root")
     # Members grow with the corpus, so they are never broadcast, however few they are.
+    placed = members.select("key", "sig", F.array("root").alias("units"), F.lit(False).alias("linked"))
     sets = single.join(placed.hint("merge"), "key").mapInArrow(send_sets, SETS)
+    spent, pivoted = [edges, members, sizes, described], None
+    if large.limit(1).count():
+        sets = materialise(sets, "sets")
+        held = sets.withColumnRenamed("unit", "root")
+        # Few of the components are large: one in unit_shingles shingles at most.
+        alone = refined(held.join(F.broadcast(large), "root", "left_semi").select("sig", "root", "grams"))
+        spent += [sets, alone]
+        still = materialise(alone.groupBy("root").agg(F.sum(F.octet_length("grams")).alias("total")).where(F.col("total") > 8 * unit_shingles).select("root"), "still")
+        spent.append(still)
+        fits = alone.join(F.broadcast(still), "root", "left_anti").select(F.col("root").alias("unit"), "sig", F.lit(False).alias("linked"), "grams")
+        sets = sets.join(F.broadcast(large), F.col("unit") == F.col("root"), "left_anti").unionByName(fits)
+        if still.limit(1).count():
+            pivoted, rest = split_components(alone.join(F.broadcast(still), "root", "left_semi"), unit_shingles)
+            sets = sets.unionByName(rest)
     links = materialise(sets.repartition("unit").sortWithinPartitions("unit").mapInArrow(solve_units, "a long, b long"), "links")
-    classes = connected_components(links.union(pivoted)) if split else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    spent.append(links)
+    classes = connected_components(links.union(pivoted)) if pivoted is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     rows = described.join(classes, F.col("sig") == F.col("node"), "left").select("doc_id", "key", "n", F.coalesce("root", "sig").alias("class"))
     rows = materialise(rows, "classes")
-    for t in (edges, members, sizes, links, described):
+    for t in spent:
         drop_table(t)
     return rows
 

@@ -69,6 +69,18 @@ def test_classes(spark, hard, unit, hot, once, monkeypatch):
     assert len({c for _, _, c in got}) < len(rows) - 20
 
 
+def test_chain_of_chance_meetings(spark, monkeypatch):
+    """Sets that share a third with the next hang together in one component; whole, they fall apart, and none goes to several units."""
+    from penstock.llm import ngram_jaccard
+
+    chain = prose(1300, 98).split()
+    rows = [(k, " ".join(chain[32 * k : 32 * k + 48])) for k in range(40)] + [(900 + k, edited(" ".join(chain[:48]), k, 1)) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_jaccard, "split_components", lambda *a: pytest.fail("a set would go to a unit for each block"))
+    got = Counter(tuple(r) for r in near_duplicate_classes(docs, 300).collect())
+    assert got == brute_classes(rows)
+
+
 def test_classes_empty(empty):
     assert near_duplicate_classes(empty).count() == 0
     assert first_of_each_class(empty, ("doc_id", "text")).count() == 0
