@@ -4,8 +4,8 @@ A phrase is words with blanks between; a leading verb may stand in any of its fi
 of" gives "compared"). A match starts and ends where no letter, digit, underscore or hyphen goes on; white space between words may be any;
 case does not count and a curly apostrophe is a straight one. Matches do not overlap: the first start wins, then the longest.
 
-Texts are cut into pieces (runs of word signs, apostrophes, white space, other signs) that walk down a trie of pieces, so a text is read once
-and a step back is at most the longest phrase. Rows of a batch go out in blocks, whatever a text's length. A null or empty text gives no row;
+Texts are cut into pieces (runs of word signs, apostrophes, white space, other signs) that walk down a trie of pieces; words that start no phrase
+are passed over, and a step back is at most the longest phrase. Rows of a batch go out in blocks, whatever a text's length. A null or empty text gives no row;
 rows that share an id are told apart by `_row`.
 """
 
@@ -114,29 +114,31 @@ def build_trie(phrases: list[Phrase]) -> Trie:
     return root
 
 
+WORD = re.compile(r"[\w-]+")
+
+
 def matches(text: str, trie: Trie) -> Iterator[tuple[int, int, int]]:
-    """(start, end, number of the phrase), leftmost and longest. Pieces wait in a list no longer than the longest phrase."""
-    stream, ahead, done = pieces(text), [], False
+    """(start, end, number of the phrase), leftmost and longest. Only words that start a phrase are walked on from."""
+    starts = WORD if all(WORD.fullmatch(x) for x in trie if x) else PIECE
+    at = 0
     while True:
-        node, k, found = trie, 0, None
-        while True:
-            if k == len(ahead):
-                step = None if done else next(stream, None)
-                if step is None:
-                    done = True
-                    break
-                ahead.append(step)
-            node = node.get(ahead[k][0])
+        for m in starts.finditer(text, at):
+            if (node := trie.get(m[0].lower())) is not None or starts is PIECE:
+                break
+        else:
+            return
+        stop, found = m.start(), None
+        while step := PIECE.match(text, stop):
+            x = step[0]
+            node = (trie if stop == m.start() else node).get(" " if x.isspace() else "'" if x == "’" else x.lower())
             if node is None:
                 break
-            k += 1
+            stop = step.end()
             if None in node:
-                found = (k, node[None])
-        if not ahead:
-            return
+                found = stop, node[None]
         if found:
-            yield ahead[0][1], ahead[found[0] - 1][2], found[1]
-        del ahead[: found[0] if found else 1]
+            yield m.start(), *found
+        at = found[0] if found else m.end()
 
 
 def render(wording: str | None, surface: str) -> str | None:

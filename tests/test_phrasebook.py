@@ -83,3 +83,17 @@ def test_own_phrases_with_apostrophes(spark):
     own = [B.Phrase("don't worry", "don't worry", "base", None), B.Phrase("worry", "worry", "base", "care")]
     docs = spark.createDataFrame([(1, "Don’t  worry, do not WORRY, worry-free")], "doc_id long, text string")
     assert [(r.surface, r.wording) for r in B.find_phrases(docs, own).orderBy("start").collect()] == [("Don’t  worry", None), ("WORRY", "CARE")]
+
+
+def test_words_that_start_no_phrase_are_passed_over(monkeypatch):
+    from types import SimpleNamespace
+
+    from penstock.operators import phrasebook as P
+
+    trie = P.build_trie(P.build_phrases())
+    walked, piece = [], P.PIECE
+    counted = lambda f: lambda *a: walked.append(a) or f(*a)
+    monkeypatch.setattr(P, "PIECE", SimpleNamespace(match=counted(piece.match), finditer=lambda *a: (counted(lambda m: m)(m) for m in piece.finditer(*a))))
+    text = "zebra, quilt " * 200 + "make a comparison of it"
+    assert [(text[a:b]) for a, b, _ in P.matches(text, trie)] == ["make a comparison of"]
+    assert len(walked) < 20
