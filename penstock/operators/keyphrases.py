@@ -1,8 +1,9 @@
 """Keyphrases of each document by the statistics of its words (Campos et al., "YAKE!", 2020), without a model, and phrases as protected terms.
 
 A word's weight joins case, place, frequency, context and spread over sentences; the lower, the more it matters. A phrase is one to three
-words in a row, none of them a stop word (closed classes, or shorter than three letters), with only white space between. Of the `pool` best of
-a document those stay, best first, that neither hold nor lie in a phrase kept before and are not within `alike` of its spelling, up to `top`.
+words in a row, none of them a stop word (closed classes, or shorter than three letters), with only white space between. All phrases of a
+document stand in line, best first; one stays that neither holds nor lies in a phrase kept before and is not within `alike` of its spelling, until
+`top` have stayed. With `pool`, only so many stand in line; no query gives it.
 
 One exchange brings a row's text to its task; running sums and windows do the rest over partitions of the row's number, so a word's statistics
 are never joined back and contexts are counted as first occurrences, not collected into sets. A text without phrases, and a null one, give no
@@ -103,11 +104,13 @@ def phrase_scores(words: DataFrame) -> DataFrame:
     return own.select("_row", "doc_id", "phrase", "n", (F.col("_p") / (F.col("n") * (1 + F.col("_s")))).alias("score"), "_at.start", "_at.end")
 
 
-def keyphrases(docs: DataFrame, text: str = "text", top: int = 10, pool: int = 30, alike: float = 0.8) -> DataFrame:
+def keyphrases(docs: DataFrame, text: str = "text", top: int = 10, pool: int | None = 30, alike: float = 0.8) -> DataFrame:
     """_row, doc_id, place (from 0), phrase (lower case), n, score, start, end of each document's keyphrases."""
     scored = phrase_scores(word_weights(placed_tokens(docs, text)))
     best = Window.partitionBy("_row").orderBy(F.round("score", 10), "phrase")
-    pooled = scored.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= pool)
+    pooled = scored.withColumn("_k", F.row_number().over(best))
+    if pool is not None:
+        pooled = pooled.where(F.col("_k") <= pool)
     lists = pooled.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("_k", "phrase", "n", "score", "start", "end"))).alias("_l"))
 
     def taken(kept: Column, x: Column) -> Column:
@@ -124,5 +127,5 @@ def keyphrases(docs: DataFrame, text: str = "text", top: int = 10, pool: int = 3
 
 def terms(docs: DataFrame, text: str = "text", least: int = 2) -> DataFrame:
     """Protected spans of kind `term` (_row, doc_id, kind, start, end, surface): first occurrences of keyphrases of two words or more, or that occur `least` times."""
-    found = keyphrases(docs, text).where((F.col("n") >= least) | F.col("phrase").contains(" "))
+    found = keyphrases(docs, text, pool=None).where((F.col("n") >= least) | F.col("phrase").contains(" "))
     return found.select("_row", "doc_id", F.lit("term").alias("kind"), "start", "end", F.col("phrase").alias("surface"))

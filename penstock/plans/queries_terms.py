@@ -18,7 +18,7 @@ from .seeded import FORM_SEEDS, REPORT_SEEDS, seeded, seeded_sql
 
 def keyphrases(spark, sf_dir):
     """The ten best phrases of every document."""
-    return K.keyphrases(docs(spark, sf_dir)).select("doc_id", "place", "phrase", "n", F.round("score", 6).alias("score"), "start", "end")
+    return K.keyphrases(docs(spark, sf_dir), pool=None).select("doc_id", "place", "phrase", "n", F.round("score", 6).alias("score"), "start", "end")
 
 
 def protected_terms(spark, sf_dir):
@@ -83,7 +83,7 @@ cand AS (SELECT doc_id, phrase, s, e, weight AS p, weight AS q FROM s1
   UNION ALL SELECT a.doc_id, a.phrase || ' ' || b.phrase, a.s, b.e, a.weight * b.weight, a.weight + b.weight FROM s1 a JOIN s1 b ON a.doc_id = b.doc_id AND a.sent = b.sent AND b.pos = a.pos + 1
   UNION ALL SELECT a.doc_id, a.phrase || ' ' || b.phrase || ' ' || c.phrase, a.s, c.e, a.weight * b.weight * c.weight, a.weight + b.weight + c.weight FROM s1 a JOIN s1 b ON a.doc_id = b.doc_id AND a.sent = b.sent AND b.pos = a.pos + 1 JOIN s1 c ON a.doc_id = c.doc_id AND a.sent = c.sent AND c.pos = a.pos + 2),
 sc AS (SELECT doc_id, phrase, count(*) AS n, max(p) / (count(*) * (1 + max(q))) AS score, min(s) AS start, arg_min(e, s) AS "end" FROM cand GROUP BY 1, 2),
-pool AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 10), phrase) AS k FROM sc QUALIFY k <= 30),
+pool AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 10), phrase) AS k FROM sc),
 kept AS (SELECT doc_id, list_reduce(list(phrase ORDER BY k), lambda acc, x: CASE WHEN len(acc) >= 10 OR len(list_filter(acc, lambda y: contains(x, y) OR contains(y, x) OR 1 - levenshtein(x, y) / greatest(length(x), length(y)) > 0.8)) > 0 THEN acc ELSE list_append(acc, x) END, []::VARCHAR[]) AS ps FROM pool GROUP BY 1),
 kp AS (SELECT doc_id, place, phrase, n, score, start, "end" FROM (SELECT doc_id, unnest(ps) AS phrase, generate_subscripts(ps, 1) - 1 AS place FROM kept) JOIN pool USING (doc_id, phrase))"""
 
