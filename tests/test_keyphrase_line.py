@@ -43,3 +43,49 @@ def test_the_query_and_the_terms_take_every_phrase(spark, sf):
     assert {d: [(i, p, n, a, b) for i, p, n, _, a, b in v] for d, v in of(rows, "doc_id").items()} == {d: [(i, p, n, a, b) for i, p, n, _, a, b in v] for d, v in want.items()}
     terms = {(r.doc_id, r.surface) for r in Q.protected_terms(spark, sf).collect()}
     assert terms == {(d, p) for d, v in want.items() for _, p, n, *_ in v if n >= 2 or " " in p}
+
+
+def odd_texts(n=300, seed=7):
+    rng = random.Random(seed)
+    letters = ["a", "b", "B", "é", "É", "ß", "ñ", "'", "’", "-", " ", " ", " ", "\n", "\t", "\r", "1", "_", ".", "!", ",", "“", "(", "Σ", "я", "中", "𝄞"]
+    words = ["alpha", "Alpha", "ALPHA", "the", "Gamma-ray", "don't", "été", "ÉTÉ", "x", "Straße", "alphas", "alphabet", "1990", "...", "“Quote", "(Note", "über"]
+    for k in range(n):
+        pool, ends, size = (letters, [""], 60) if k % 2 else (words, [" ", " ", "\n", ". ", "! ", ", ", "-", ""], 40)
+        yield "".join(rng.choice(pool) + rng.choice(ends) for _ in range(rng.randrange(size)))
+
+
+def test_odd_texts_in_blocks_of_any_size_equal_brute_force(spark, monkeypatch):
+    texts = [*odd_texts(), None, "", alike_first()]
+    for block in (1, 500, 1 << 20):  # a text of its own each; some; all
+        monkeypatch.setattr(K, "BLOCK", block)
+        got = defaultdict(list)
+        first = 0
+        for start, held in K._blocks(K.pa.array(texts)):
+            assert start == first
+            first += len(held)
+            for d, *r in K.block_phrases(held, 10, None, 0.8):
+                got[start + d].append((*r[:3], round(r[3], 8), *r[4:]))
+        assert first == len(texts)
+        assert dict(got) == {i: w for i, t in enumerate(texts) if (w := plain_keyphrases(t, pool=EVERY))}
+
+
+def test_a_text_takes_one_exchange_and_no_window(spark, sf):
+    plan = Q.keyphrases(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Join" not in plan
+
+
+def test_tokens_are_words_and_other_signs(spark):
+    rows = K.placed_tokens(spark.createDataFrame([(7, "It's 1990.  A-b 'c'\nd"), (7, None), (8, " x")], "doc_id long, text string"))
+    got = sorted((r.doc_id, r.pos, r.token, r.start, r.end, r.sent) for r in rows.collect())
+    assert got == [(7, 0, "It's", 0, 4, 0), (7, 1, "1990.", 5, 10, 0), (7, 2, "A-b", 12, 15, 1), (7, 3, "'", 16, 17, 1), (7, 4, "c'", 17, 19, 1), (7, 5, "d", 20, 21, 2), (8, 0, "x", 1, 2, 0)]
+
+
+def test_edit_distances_within_a_bound():
+    from .test_terms import distance
+
+    rng = random.Random(1)
+    for _ in range(5000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(2))
+        most = rng.randrange(-1, 5)
+        assert K.within(a, b, most) == (distance(a, b) <= most)
+    assert [K.most_edits(n, 0.8) for n in (1, 5, 6, 10, 11, 16)] == [max((k for k in range(n) if 1 - k / n > 0.8), default=-1) for n in (1, 5, 6, 10, 11, 16)]
