@@ -89,3 +89,8 @@ def test_edit_distances_within_a_bound():
         most = rng.randrange(-1, 5)
         assert K.within(a, b, most) == (distance(a, b) <= most)
     assert [K.most_edits(n, 0.8) for n in (1, 5, 6, 10, 11, 16)] == [max((k for k in range(n) if 1 - k / n > 0.8), default=-1) for n in (1, 5, 6, 10, 11, 16)]
+
+
+def test_terms_take_one_exchange_and_no_window(spark, sf):
+    plan = Q.protected_terms(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and not any(x in plan for x in ("Window", "Sort", "Join", "Generate"))
